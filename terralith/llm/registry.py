@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from terralith.llm import ngram_join
+from terralith.llm import ngram_join, pieces
 
 
 def queries() -> dict:
-    return {"op2_ngram_jaccard_join": ngram_join.op2_ngram_jaccard_join}
+    return {"op2_ngram_jaccard_join": ngram_join.op2_ngram_jaccard_join, "op6_sentencepiece": pieces.op6_sentencepiece}
 
 
 def oracle_sql() -> dict[str, str]:
