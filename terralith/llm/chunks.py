@@ -13,7 +13,7 @@ import numpy as np
 from terralith.llm.common import span_hashes
 
 #: Slots of the table, and what it may hold before it starts anew.
-SLOT_BITS = 20
+SLOT_BITS = 22
 MAX_ENTRIES = 1_500_000
 MAX_VALUES = 24_000_000
 
@@ -51,7 +51,7 @@ class ChunkTable:
 
     def _clear(self) -> None:
         self.keys = np.zeros(1 << SLOT_BITS, dtype=np.uint64)
-        self.entry = np.zeros(1 << SLOT_BITS, dtype=np.int64)
+        self.entry = np.zeros(1 << SLOT_BITS, dtype=np.int32)
         self.ids, self.bytes = _Pool(np.uint32), _Pool(np.uint8)
         self.spans = [_Pool(np.int64) for _ in range(4)]  # start and length of ids, of bytes
 
@@ -62,7 +62,7 @@ class ChunkTable:
         h = span_hashes(data, start, end)
         h[h == 0] = 1  # 0 marks a free slot
         slot = (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
-        found = self.entry[slot]
+        found = self.entry[slot].astype(np.int64)
         miss = np.flatnonzero(self.keys[slot] != h)
         if len(miss):
             new, first, inverse = np.unique(h[miss], return_index=True, return_inverse=True)
