@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from terralith.llm import ngram_join, pieces
+from terralith.llm import decontaminate, ngram_join, pieces, sstable
 
 
 def queries() -> dict:
-    return {"op2_ngram_jaccard_join": ngram_join.op2_ngram_jaccard_join, "op6_sentencepiece": pieces.op6_sentencepiece}
+    return {
+        "op2_ngram_jaccard_join": ngram_join.op2_ngram_jaccard_join,
+        "op3_token_sstable": sstable.op3_token_sstable,
+        "op6_sentencepiece": pieces.op6_sentencepiece,
+        "op9_decontamination": decontaminate.op9_decontamination,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_decontamination": decontaminate.OP9_SQL}
