@@ -2,17 +2,30 @@
 
 from __future__ import annotations
 
-from terralith.llm import decontaminate, ngram_join, pieces, sstable
+from terralith.llm import decontaminate, flac, html, licenses, ngram_join, pieces, quality, sstable, urls, warc
+
+
+def _pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
 
 
 def queries() -> dict:
     return {
+        "op1_html_extract": html.op1_html_extract,
         "op2_ngram_jaccard_join": ngram_join.op2_ngram_jaccard_join,
         "op3_token_sstable": sstable.op3_token_sstable,
+        "op4_url_filter": urls.op4_url_filter,
+        "op5_license_scan": licenses.op5_license_scan,
         "op6_sentencepiece": pieces.op6_sentencepiece,
+        "op7_quality_gam": quality.op7_quality_gam,
+        "op8_warc": warc.op8_warc,
         "op9_decontamination": decontaminate.op9_decontamination,
+        "op10_flac": flac.op10_flac,
+        "pipeline": _pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_decontamination": decontaminate.OP9_SQL}
+    return {"op8_warc": warc.OP8_SQL, "op9_decontamination": decontaminate.OP9_SQL}
