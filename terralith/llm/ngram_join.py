@@ -10,8 +10,10 @@ results, a coarse count only makes the order less sharp.
    sketch are dealt over several ranges
 3. round A joins neighbours in the (size, class) order of each shared prefix shingle, keeps one partner per class,
    verifies it once, and contracts components: large groups of copies collapse here, with one check per class
-4. round B joins, on the prefix shingle, all remaining pairs between different components that pass the length and
-   positional filters, the suffix filter (bin histograms bound the symmetric difference), and the exact check
+4. round B takes, for each prefix shingle, all remaining pairs between different components that pass the length and
+   positional filters. Shingles of at most `GROUP` classes join rows, then come the suffix filter (bin histograms bound
+   the symmetric difference) and the exact check. Larger ones are cut into blocks of bounded size, and a task takes two
+   blocks, keeps pairs that share no earlier prefix shingle, counts their overlaps at once and returns a forest of links
 
 So every link between different texts counts for the components, while pairs inside a component are never listed.
 
@@ -43,6 +45,9 @@ BINS = 64
 #: Prefix entries that one range of shingles holds on average, and the count from which a shingle is dealt out.
 RANGE_ENTRIES = 400_000
 HOT = 4096
+#: Classes of a shingle whose pairs are joined as rows, and shingles of all classes in a block beyond that.
+GROUP = 64
+BLOCK_SHINGLES = 250_000
 #: Map-side rows are written after so many steps.
 FLUSH_STEPS = 8
 
@@ -96,12 +101,22 @@ def _sketch(parts: DataFrame) -> np.ndarray:
     return out.reshape(-1)
 
 
+def _rank(counts: np.ndarray) -> np.ndarray:
+    return np.round(8 * np.log2(counts + 1.0)).astype(np.uint64)
+
+
+def _global_order(rows: np.ndarray, h: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Puts every row's shingles, sorted by hash, in the global order: coarse frequency, then hash."""
+    key = (rank[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] << np.uint64(48)) | (h >> np.uint64(16))
+    return np.lexsort((key, rows))  # stable: equal keys keep the order of their hashes
+
+
 def _prefixes(sketch, n_ranges: int):
     """Packs every class's prefix entries by range of shingles; copies of a class within a flush are packed once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = sketch.value
-        rank = np.round(8 * np.log2(counts + 1.0)).astype(np.uint64)
+        rank = _rank(counts)
         held: list[tuple[np.ndarray, ...]] = []
         seen: set[bytes] = set()
 
@@ -128,8 +143,7 @@ def _prefixes(sketch, n_ranges: int):
                         seen.add(c)
                         fresh[i] = True
                 slot = (h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
-                key = (rank[slot] << np.uint64(48)) | (h >> np.uint64(16))
-                order = np.lexsort((key, rows))  # stable: equal keys keep the order of their hashes
+                order = _global_order(rows, h, rank)
                 pos = np.arange(len(h)) - begin[rows]
                 size = count[rows]
                 keep = (pos < size - (NUM * size + DEN - 1) // DEN + 1) & fresh[rows]
@@ -223,6 +237,91 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield part.select(["a", "b"]).filter(pa.array(DEN * both >= NUM * union))
 
 
+def _count(of: np.ndarray, h: np.ndarray, left: np.ndarray, right: np.ndarray, n: int, columns: int = 4096) -> np.ndarray:
+    """How many values of h each row of left shares with each row of right; of: the row of each value."""
+    out = np.zeros((len(left), len(right)), dtype=np.float32)
+    _, column, times = np.unique(h, return_inverse=True, return_counts=True)
+    shared = times > 1
+    keep = shared[column]
+    of, column = of[keep], (np.cumsum(shared) - 1)[column[keep]]
+    order = np.argsort(column, kind="stable")
+    of, column = of[order], column[order]
+    at = np.full((2, n), -1, dtype=np.int64)
+    at[0, left], at[1, right] = np.arange(len(left)), np.arange(len(right))
+    for first in range(0, int(shared.sum()), columns):
+        a, b = np.searchsorted(column, [first, first + columns])
+        sides = []
+        for k, rows in ((0, left), (1, right)):
+            side = np.zeros((len(rows), columns), dtype=np.float32)
+            to = at[k, of[a:b]]
+            side[to[to >= 0], column[a:b][to >= 0] - first] = 1
+            sides.append(side)
+        out += sides[0] @ sides[1].T
+    return out
+
+
+def _blocks(sketch):
+    """Links between two blocks of one shingle's classes; rows arrive sorted by (token, lo, hi)."""
+
+    def links(rows: list[tuple]) -> tuple[list[bytes], list[bytes]]:
+        token, lo, hi = rows[0][:3]
+        cls, comp, text = ([r[k] for r in rows] for k in (4, 5, 8))
+        blk, size, pos = (np.array([r[k] for r in rows], dtype=np.int64) for k in (3, 6, 7))
+        comp = np.unique(np.array([c.hex() for c in comp]), return_inverse=True)[1]
+        left, right = np.flatnonzero(blk == lo), np.flatnonzero(blk == hi)
+        ok = comp[left][:, None] != comp[right][None, :]
+        if lo == hi:
+            ok &= left[:, None] < right[None, :]
+        sl, sr = size[left][:, None], size[right][None, :]
+        ok &= (DEN * sl >= NUM * sr) & (DEN * sr >= NUM * sl)
+        ok &= (NUM + DEN) * np.minimum(sl - pos[left][:, None], sr - pos[right][None, :]) >= NUM * (sl + sr)
+        if not ok.any():
+            return [], []
+        left, right, ok = left[ok.any(1)], right[ok.any(0)], ok[ok.any(1)][:, ok.any(0)]
+        got = [(r + a, h) for a, _, data, off in text_steps(pa.RecordBatch.from_arrays([pa.array(text, pa.string())], names=["text"])) for r, h in [shingle_hashes(data, off, WIDTH)]]
+        of, h = np.concatenate([r for r, _ in got]), np.concatenate([x for _, x in got])
+        order = _global_order(of, h, _rank(sketch.value))
+        begin = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(rows)))])
+        place = np.arange(len(h)) - begin[of]
+        earlier = place < pos[of]
+        ok &= _count(of[earlier], h[order][earlier], left, right, len(rows)) == 0
+        if not ok.any():
+            return [], []
+        both = _count(of, h, left, right, len(rows))
+        ok &= DEN * both >= NUM * (size[left][:, None] + size[right][None, :] - both)
+        i, j = np.nonzero(ok)
+        i, j = left[i], right[j]
+        label = np.arange(len(rows))
+        while True:  # a forest of the links: each class to the least of its component here
+            least = np.minimum(label[i], label[j])
+            new = label.copy()
+            np.minimum.at(new, i, least)
+            np.minimum.at(new, j, least)
+            new = new[new]
+            if (new == label).all():
+                break
+            label = new
+        moved = np.flatnonzero(label != np.arange(len(rows)))
+        return [cls[k] for k in moved], [cls[k] for k in label[moved]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and row[:3] != held[0][:3]:
+                    a, b = links(held)
+                    if a:
+                        yield pa.RecordBatch.from_arrays([binary_column(a), binary_column(b)], names=["a", "b"])
+                    held = []
+                held.append(row)
+        if held:
+            a, b = links(held)
+            if a:
+                yield pa.RecordBatch.from_arrays([binary_column(a), binary_column(b)], names=["a", "b"])
+
+    return run
+
+
 class NearDuplicates:
     """Classes, links and components of a table of documents; tables are in the shared folder until close()."""
 
@@ -257,9 +356,9 @@ class NearDuplicates:
         # round B: all pairs between components
         label = named.join(comp_a.select(F.col("node").alias("cls"), "component").hint("merge"), "cls", "left").select("cid", "cls", "n", F.coalesce("component", "cls").alias("comp"))
         entries = shared.select("token", "cid", "size", "pos").join(label.select("cid", "cls", "comp").hint("merge"), "cid").drop("cid")
-        mixed = entries.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("token")
+        mixed = entries.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("group"), F.sum("size").alias("sizes")).filter("lo < hi").select("token", "group", F.ceil(F.col("sizes") / BLOCK_SHINGLES).alias("blocks"))
         open_rows = materialize(entries.join(mixed.hint("merge"), "token"), "open")
-        a, b = (open_rows.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("cls", "comp", "size", "pos")]) for x in "ab")
+        a, b = (open_rows.filter(F.col("group") <= GROUP).select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("cls", "comp", "size", "pos")]) for x in "ab")
         where = f"""comp_a <> comp_b and (size_a < size_b or size_a = size_b and cls_a < cls_b)
             and {DEN} * size_a >= {NUM} * size_b
             and pos_a < size_a - ceil({2 * NUM} * size_a / {NUM + DEN}) + 1
@@ -267,7 +366,11 @@ class NearDuplicates:
         more = a.hint("merge").join(b, "token").filter(where).select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).distinct()
         side = named.select("cls", "n", "bins")
         more = more.join(side.select(F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("bins").alias("bins_a")).hint("merge"), "a").join(side.select(F.col("cls").alias("b"), F.col("n").alias("n_b"), F.col("bins").alias("bins_b")).hint("merge"), "b")
-        links_b = materialize(self._check(more.select("a", "b", "n_a", "n_b", "bins_a", "bins_b"), held), "links")
+        few = self._check(more.select("a", "b", "n_a", "n_b", "bins_a", "bins_b"), held)
+        dealt = open_rows.filter(F.col("group") > GROUP).withColumn("blk", F.expr("pmod(xxhash64(cls), blocks)")).join(held.hint("merge"), "cls")
+        dealt = dealt.withColumn("k", F.explode(F.expr("sequence(0L, blocks - 1)"))).select("token", F.least("blk", "k").alias("lo"), F.greatest("blk", "k").alias("hi"), "blk", "cls", "comp", "size", "pos", "text")
+        many = dealt.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi").mapInArrow(_blocks(sketch), "a binary, b binary")
+        links_b = materialize(few.union(many), "links")
         edges = comp_a.filter("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v")).union(links_b.select("a", "b"))
         comp = components(edges)
         names = comp.join(classes.select(F.col("cls").alias("node"), "rep").hint("merge"), "node").groupBy("component").agg(F.min("rep").alias("component_id"))
