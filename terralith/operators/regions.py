@@ -68,6 +68,6 @@ def siege_boxes(rows: DataFrame, width: int, height: int, reach: int = 7) -> Dat
 def fnv1a(text: Column) -> Column:
     """FNV-1a of the UTF-8 bytes, unsigned 32 bits; the product stays below 2**57."""
     data = F.hex(text.cast("binary"))
-    pairs = F.transform(F.sequence(F.lit(0), F.length(data) / 2 - 1), lambda i: F.conv(F.substr(data, (i * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("bigint"))
+    pairs = F.transform(F.sequence(F.lit(0), (F.length(data) / 2).cast("int") - 1), lambda i: F.conv(F.substr(data, (i * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("bigint"))
     step = lambda h, b: (h.bitwiseXOR(b) * 16777619).bitwiseAND(0xFFFFFFFF)
     return F.when(F.length(data) == 0, F.lit(2166136261)).otherwise(F.aggregate(pairs, F.lit(2166136261).cast("bigint"), step))

@@ -1,6 +1,6 @@
 """Queries over the driver's tables, each with an independent SQL form."""
 
-from terralith.plans import selection  # noqa: F401
+from terralith.plans import grouping, selection  # noqa: F401
 from terralith.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

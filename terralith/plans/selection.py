@@ -37,9 +37,9 @@ def prop_query(v):
     return filters.prop_query(v("props"), asset="ROCK", tag="SNOW", circle=(25.0, 150.0, 100.0)).select("id", "model", "kind")
 
 
-@query("SELECT p_partkey AS ordinal, p_type AS path FROM part WHERE contains(lower(p_type), 'steel') AND (lower(p_type) LIKE '%steel' OR lower(p_type) LIKE '%brass') ORDER BY path, ordinal LIMIT 50")
+@query("SELECT p_partkey AS ordinal, p_type AS path FROM part WHERE contains(lower(p_type), 'm') AND (lower(p_type) LIKE '%um' OR lower(p_type) LIKE '%my') ORDER BY path, ordinal LIMIT 50")
 def asset_find(v):
-    return filters.find_assets(v("part").select(F.col("p_partkey").alias("ordinal"), F.col("p_type").alias("path")), "STEEL", ["steel", "brass"], 50)
+    return filters.find_assets(v("part").select(F.col("p_partkey").alias("ordinal"), F.col("p_type").alias("path")), "M", ["um", "my"], 50)
 
 
 @query("""WITH m AS (SELECT p_partkey AS ordinal, p_name AS path FROM part WHERE contains(lower(p_name), 'a'))
