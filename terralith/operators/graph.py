@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import heapq
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -120,6 +123,7 @@ def movement_edges(hexes: DataFrame, allowed: DataFrame, bridges: DataFrame | No
 
 def shortest_paths(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """(start, id, cost): least cost from every start, by relaxing only what changed; edges (src, dst, cost)."""
+    edges = settle(edges.select("src", "dst", "cost"))
     best = front = settle(starts.select("start", F.col("id"), F.lit(0).cast("bigint").alias("cost")))
     for _ in range(MAX_ROUNDS):
         reach = front.withColumnRenamed("id", "src").join(edges.select("src", "dst", F.col("cost").alias("w")), "src").groupBy("start", F.col("dst").alias("id")).agg(F.min(F.col("cost") + F.col("w")).alias("c"))
@@ -131,6 +135,39 @@ def shortest_paths(edges: DataFrame, starts: DataFrame) -> DataFrame:
     raise RuntimeError("paths did not settle")
 
 
+def search_tables(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """(start, id, cost) like shortest_paths, by one heap search a start in a task of its own.
+
+    For many starts on one map: each task holds the map's edges, so a map must fit in a task; shortest_paths has no such
+    bound.
+    """
+
+    def search(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        nodes, inverse = np.unique(np.concatenate([frame["src"], frame["dst"], frame["first"].iloc[:1]]), return_inverse=True)
+        n = len(frame)
+        src, dst, w = inverse[:n], inverse[n : 2 * n], frame["cost"].to_numpy()
+        order = np.argsort(src, kind="stable")
+        begin = np.searchsorted(src[order], np.arange(len(nodes) + 1)).tolist()
+        dst, w = dst[order].tolist(), w[order].tolist()
+        best = {int(inverse[-1]): 0}
+        heap, done = [(0, int(inverse[-1]))], set()
+        while heap:
+            cost, k = heapq.heappop(heap)
+            if k in done:
+                continue
+            done.add(k)
+            for e in range(begin[k], begin[k + 1]):
+                c = cost + w[e]
+                if c < best.get(dst[e], c + 1):
+                    best[dst[e]] = c
+                    heapq.heappush(heap, (c, dst[e]))
+        ids = np.fromiter(best, dtype=np.int64)
+        return pd.DataFrame({"start": key[0], "id": nodes[ids], "cost": np.fromiter(best.values(), dtype=np.int64)})
+
+    every = edges.select("src", "dst", "cost").crossJoin(F.broadcast(starts.select("start", F.col("id").alias("first"))))
+    return every.groupBy("start").applyInPandas(search, "start bigint, id bigint, cost bigint")
+
+
 def erase_inward(hexes: DataFrame, todo: DataFrame, value: str = "rgb") -> DataFrame:
     """Rounds from the rim: a hex to erase takes the commonest value of its settled neighbours, ties to the least value."""
     left = settle(todo.select("id"))

@@ -110,11 +110,11 @@ def flood_fill(v):
     return graph.flood(v("hexes"), 5, 5, "cat").select("id")
 
 
-@query(f"""WITH RECURSIVE {EDGES}, m AS (SELECT src, dst, CASE WHEN (road >> dir) & 1 = 1 THEN 5 ELSE 10 + n_terrain END AS cost FROM e WHERE src < 300 AND dst < 300 AND NOT impassable AND NOT n_impassable),
+@query(f"""WITH RECURSIVE {EDGES}, m AS (SELECT src, dst, CASE WHEN (road >> dir) & 1 = 1 THEN 5 ELSE 10 + n_terrain END AS cost FROM e WHERE src < 150 AND dst < 150 AND NOT impassable AND NOT n_impassable),
     p AS (SELECT CAST(1 AS BIGINT) AS id, 0 AS cost UNION SELECT m.dst, p.cost + m.cost FROM p JOIN m ON m.src = p.id WHERE p.cost + m.cost <= 60)
     SELECT 1 AS start, id, CAST(min(cost) AS BIGINT) AS cost FROM p GROUP BY id""")
 def shortest_paths(v):
-    h = v("hexes").filter("id < 300 and not impassable")
+    h = v("hexes").filter("id < 150 and not impassable")
     road = F.expr("(road >> dir) & 1 = 1")
     e = graph.hex_edges(h).select("src", "dst", F.when(road, 5).otherwise(10 + F.col("n_terrain")).cast("bigint").alias("cost"))
     return graph.shortest_paths(e, h.filter("id = 1").select(F.lit(1).alias("start"), "id")).filter("cost <= 60")
@@ -122,7 +122,7 @@ def shortest_paths(v):
 
 @query()
 def landmark_paths(v):
-    """Costs from eight landmarks to every hex and back; compared with a heap search in the tests."""
+    """Costs from eight landmarks to every hex and back; compared with the relaxing loop in the tests."""
     from terralith.operators import spatial
 
     h = v("hexes").filter("not impassable")
@@ -130,8 +130,8 @@ def landmark_paths(v):
     allowed = spark.range(5).select(F.col("id").alias("t1")).crossJoin(spark.range(5).select(F.col("id").alias("t2")))
     e = graph.settle(graph.movement_edges(h, allowed).select("src", "dst", "cost"))
     marks = spatial.landmarks(h).join(h.select("col", "row", "id"), ["col", "row"]).select((F.col("landmark") * 2).alias("start"), "id")
-    there = graph.shortest_paths(e, marks)
-    back = graph.shortest_paths(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "cost"), marks.withColumn("start", F.col("start") + 1))
+    there = graph.search_tables(e, marks)
+    back = graph.search_tables(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "cost"), marks.withColumn("start", F.col("start") + 1))
     return there.union(back)
 
 
