@@ -3,7 +3,7 @@
 DataFrame functions only. The trees are fitted on labelled URLs: those given (url, allow 0/1; at most `MAX_TRAIN` of them,
 least xxhash64 of the URL first), or `labelled_urls()`, a seeded list of plain and unwanted addresses. The fitted trees are
 one expression over columns. Suffix statistics are smoothed shares of allowed URLs: for the last host label, and for the
-labels and dashed parts of the host, of which the least counts; both for the `MAX_PARTS` commonest ones of the labelled
+labels and dashed parts of the host, or learned parts of four letters or more inside them, of which the least counts; both for the `MAX_PARTS` commonest ones of the labelled
 URLs, others have the share of all. Without labels of both kinds the verdict is the commoner label, and allow without any.
 
 null URLs and those without :// have an empty host and path and no rule, and are judged like any. Repeated rows stay rows.
@@ -128,10 +128,18 @@ def judge(pages: DataFrame, rules=RULES, labelled: DataFrame | None = None, most
     y = np.array([r.page_id for r in sample], dtype=float)
     prior = float((y.sum() + 1) / (len(y) + 2)) if len(y) else 0.9
     suffixes, parts = _stats([[r.suffix] for r in sample], y, prior), _stats([list(r.parts) for r in sample], y, prior)
-    x = np.array([[*(r[f] for f in plain), suffixes.get(r.suffix, prior), min(parts.get(p, prior) for p in r.parts)] for r in sample]).reshape(len(sample), len(FEATURES))
+    inside = {p: v for p, v in parts.items() if len(p) >= 4}
+
+    def _least(names: list[str]) -> float:
+        return min([*(parts.get(n, prior) for n in names), *(v for p, v in inside.items() if any(p in n for n in names))])
+
+    x = np.array([[*(r[f] for f in plain), suffixes.get(r.suffix, prior), _least(r.parts)] for r in sample]).reshape(len(sample), len(FEATURES))
     forest = gbt.fit(FEATURES, x, y) if len(y) else gbt.Forest(FEATURES, 2.2)
     rows = lexical(pages, rules)
-    rows = rows.withColumn("f_suffix", F.coalesce(F.element_at(_map(suffixes), F.col("suffix")), F.lit(prior))).withColumn("f_part", F.array_min(F.transform("parts", lambda p: F.coalesce(F.element_at(_map(parts), p), F.lit(prior)))))
+    own = F.array_min(F.transform("parts", lambda p: F.coalesce(F.element_at(_map(parts), p), F.lit(prior))))
+    within = F.array_min(F.map_values(F.map_filter(_map(inside), lambda p, _: F.exists("parts", lambda n: F.contains(n, p)))))
+    part = F.least(own, within)
+    rows = rows.withColumn("f_suffix", F.coalesce(F.element_at(_map(suffixes), F.col("suffix")), F.lit(prior))).withColumn("f_part", part)
     score = F.lit(1.0) / (1 + F.exp(-F.expr(forest.sql())))
     out = rows.select("page_id", "host", "path", "rule", "ruled", score.alias("score"))
     return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("score") >= 0.5, "allow").otherwise("block")).alias("verdict"), "score")
