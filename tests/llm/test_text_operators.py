@@ -3,9 +3,8 @@
 import random
 import re
 
-import pytest
-
-from terralith.llm import decontaminate, licenses, ngram_join, quality
+import corpus_pipeline
+from terralith.llm import decontaminate, licenses, ngram_join, pieces, quality
 
 WORDS = [f"w{i}" for i in range(400)]
 _W = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -138,9 +137,6 @@ def test_licenses(spark):
 
 
 def test_pipeline(spark, tmp_path):
-    corpus_pipeline = pytest.importorskip("corpus_pipeline")
-    from terralith.llm import pieces
-
     rng = random.Random(3)
     good = lambda: ". ".join(" ".join(rng.choices(WORDS, k=9)).capitalize() for _ in range(6)) + "."
     item = " ".join(rng.choices(WORDS, k=25))
