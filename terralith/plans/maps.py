@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from terralith.operators import graph, journal, merge, raster, validator
+from terralith.operators import graph, journal, merge, raster, routes, validator
 from terralith.plans.registry import query
 from terralith.plans.selection import NEIGHBOURS
 
@@ -361,3 +361,28 @@ def event_windows(v):
 
     return counts(v("events"), "1 hour").select(F.col("window.start").alias("hour"), "event_type", "n")
 
+
+
+def _areas(v):
+    h = v("hexes").select("id", "col", "row", "region", "terrain")
+    return graph.hex_edges(h).select("src", "dst", (100 + F.col("n_terrain") * 10).cast("bigint").alias("cost"), F.col("region").alias("area"), F.col("n_region").alias("n_area"))
+
+
+_AREAS = f"{EDGES}, r AS (SELECT e.src, e.dst, 100 + n_terrain * 10 AS cost, a.region AS area, b.region AS n_area FROM e JOIN hexes a ON a.id = e.src JOIN hexes b ON b.id = e.dst)"
+
+
+@query(f"WITH {_AREAS} SELECT area, n_area, count(*) AS steps, count(DISTINCT dst) AS hexes, min(dst) AS first, max(cost) AS dearest FROM r WHERE area <> n_area GROUP BY area, n_area")
+def area_borders(v):
+    return routes.borders(_areas(v))
+
+
+@query(f"WITH {_AREAS}, d AS (SELECT DISTINCT area, n_area, dst AS id FROM r WHERE area <> n_area), l AS (SELECT *, lag(id) OVER (PARTITION BY area, n_area ORDER BY id) AS p FROM d) SELECT area, n_area, id FROM l WHERE p IS NULL OR id - p >= 10")
+def area_transitions(v):
+    return routes.transitions(_areas(v))
+
+
+@query()
+def area_cost_tables(v):
+    """Costs between every hundredth hex of each area; compared with the relaxing loop in the tests."""
+    points = v("hexes").filter("id % 100 = 7").select(F.col("region").alias("area"), "id")
+    return routes.area_costs(_areas(v), points)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from terralith.functions.hexgrid import neighbours
-from terralith.operators import aggregates as agg
 from terralith.operators import filters, spatial
 from terralith.plans.registry import query
 

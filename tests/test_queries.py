@@ -135,3 +135,15 @@ def test_streamed_windows(spark, tmp_path):
     got = {(r.start, r.event_type): r.n for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     want = {(r.window.start, r.event_type): r.n for r in windows.counts(events, "1 hour").collect()}
     assert got and all(want[k] == n for k, n in got.items())
+
+
+def test_routes(spark):
+    from terralith.operators import graph, routes
+
+    edges = spark.createDataFrame([(1, 2, 5, 0, 0), (2, 3, 5, 0, 0), (1, 3, 20, 0, 0), (3, 9, 1, 0, 1), (9, 2, 1, 1, 0)], "src bigint, dst bigint, cost bigint, area bigint, n_area bigint")
+    points = spark.createDataFrame([(0, 1), (0, 3)], "area bigint, id bigint")
+    got = sorted(map(tuple, routes.area_costs(edges, points).collect()))
+    inner = graph.shortest_paths(edges.filter("area = n_area"), points.selectExpr("id as start", "id")).filter("id in (1, 3)")
+    assert got == sorted((0, *r) for r in map(tuple, inner.collect())) == [(0, 1, 1, 0), (0, 1, 3, 10), (0, 3, 3, 0)]
+    assert routes.refine([(0, 0), (1, 0.1), (2, 3), (4, 0)], 0.5) == [0, 1, 2, 3]
+    assert routes.refine([(0, 0), (1, 0.1), (2, 0)], 0.5) == [0, 2]
