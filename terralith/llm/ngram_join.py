@@ -42,7 +42,8 @@ NUM, DEN = 3, 4
 SKETCH_BITS = 20
 SLICES = 64
 BINS = 64
-#: Prefix entries that one range of shingles holds on average, and the count from which a shingle is dealt out.
+#: Prefix entries that one range of shingles holds on average, and the count, beyond what any slot of the sketch holds,
+#: from which a shingle is dealt out.
 RANGE_ENTRIES = 400_000
 HOT = 4096
 #: Classes of a shingle whose pairs are joined as rows, and shingles of all classes in a block beyond that.
@@ -117,6 +118,7 @@ def _prefixes(sketch, n_ranges: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = sketch.value
         rank = _rank(counts)
+        crowd = 2 * int(counts.mean())  # what a slot of the sketch holds of rare shingles
         held: list[tuple[np.ndarray, ...]] = []
         seen: set[bytes] = set()
 
@@ -150,7 +152,7 @@ def _prefixes(sketch, n_ranges: int):
                 order = order[keep]
                 r = rows[keep]
                 cid = np.frombuffer(b"".join(c or bytes(16) for c in cls), "<u8")[::2][r]
-                deal = -(-counts[slot[order]] // HOT)
+                deal = -(-np.maximum(counts[slot[order]] - crowd, 0) // HOT)
                 salt = np.where(deal > 1, cid % np.maximum(deal, 1).astype(np.uint64) + np.uint64(1), np.uint64(0)).astype(np.uint32)
                 held.append((h[order], cid, size[keep].astype(np.uint32), pos[keep].astype(np.uint32), salt))
                 if len(held) >= FLUSH_STEPS:
