@@ -136,11 +136,11 @@ def catalogue_merge(v):
     return v("part").groupBy(F.col("p_brand").alias("name")).agg(F.sort_array(F.collect_set("p_type")).alias("origins"), F.count("*").alias("packs"))
 
 
-@query("""WITH s AS (SELECT l_partkey % 97 AS tree, l_linenumber % 5 AS season, arg_max(l_quantity, l_orderkey * 8 + l_linenumber) AS q FROM lineitem GROUP BY 1, 2)
+@query("""WITH s AS (SELECT l_partkey % 97 AS tree, l_linenumber % 5 AS season, arg_max(l_quantity, (l_orderkey * 8 + l_linenumber) * 100 + l_quantity) AS q FROM lineitem GROUP BY 1, 2)
     SELECT tree, list(season ORDER BY season = 0, season) AS seasons FROM s WHERE q > 20 GROUP BY tree""")
 def tree_seasons(v):
     """Latest row of each season wins; its seasons ascend, the default one (0) last."""
-    rows = v("lineitem").select((F.col("l_partkey") % 97).alias("tree"), (F.col("l_linenumber") % 5).alias("season"), F.col("l_quantity").alias("q"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("ordinal"))
+    rows = v("lineitem").select((F.col("l_partkey") % 97).alias("tree"), (F.col("l_linenumber") % 5).alias("season"), F.col("l_quantity").alias("q"), ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 100 + F.col("l_quantity")).alias("ordinal"))
     last = agg.last_rows(rows, ["tree", "season"]).filter("q > 20")
     return last.groupBy("tree").agg(F.transform(F.sort_array(F.collect_list(F.struct((F.col("season") == 0).alias("d"), "season"))), lambda s: s["season"]).alias("seasons"))
 

@@ -39,9 +39,9 @@ def prefab_expansion(v):
     return scene.expand_prefabs(instances, members).drop("path")
 
 
-@query("SELECT l_partkey AS instance, l_linenumber AS member, arg_max(l_quantity, l_orderkey * 8 + l_linenumber) AS value FROM lineitem WHERE l_partkey < 400 GROUP BY 1, 2")
+@query("SELECT l_partkey AS instance, l_linenumber AS member, arg_max(l_quantity, (l_orderkey * 8 + l_linenumber) * 100 + l_quantity) AS value FROM lineitem WHERE l_partkey < 400 GROUP BY 1, 2")
 def last_overrides(v):
-    rows = v("lineitem").filter("l_partkey < 400").selectExpr("l_partkey as instance", "l_linenumber as member", "l_quantity as value", "l_orderkey * 8 + l_linenumber as ordinal")
+    rows = v("lineitem").filter("l_partkey < 400").selectExpr("l_partkey as instance", "l_linenumber as member", "l_quantity as value", "(l_orderkey * 8 + l_linenumber) * 100 + l_quantity as ordinal")
     return scene.last_overrides(rows)
 
 
