@@ -110,11 +110,11 @@ def flood_fill(v):
     return graph.flood(v("hexes"), 5, 5, "cat").select("id")
 
 
-@query(f"""WITH RECURSIVE {EDGES}, m AS (SELECT src, dst, CASE WHEN (road >> dir) & 1 = 1 THEN 5 ELSE 10 + n_terrain END AS cost FROM e WHERE src < 150 AND dst < 150 AND NOT impassable AND NOT n_impassable),
+@query(f"""WITH RECURSIVE {EDGES}, m AS (SELECT src, dst, CASE WHEN (road >> dir) & 1 = 1 THEN 5 ELSE 10 + n_terrain END AS cost FROM e WHERE src % 50 < 8 AND src // 50 < 8 AND dst % 50 < 8 AND dst // 50 < 8 AND NOT impassable AND NOT n_impassable),
     p AS (SELECT CAST(1 AS BIGINT) AS id, 0 AS cost UNION SELECT m.dst, p.cost + m.cost FROM p JOIN m ON m.src = p.id WHERE p.cost + m.cost <= 60)
     SELECT 1 AS start, id, CAST(min(cost) AS BIGINT) AS cost FROM p GROUP BY id""")
 def shortest_paths(v):
-    h = v("hexes").filter("id < 150 and not impassable")
+    h = v("hexes").filter("col < 8 and row < 8 and not impassable")
     road = F.expr("(road >> dir) & 1 = 1")
     e = graph.hex_edges(h).select("src", "dst", F.when(road, 5).otherwise(10 + F.col("n_terrain")).cast("bigint").alias("cost"))
     return graph.shortest_paths(e, h.filter("id = 1").select(F.lit(1).alias("start"), "id")).filter("cost <= 60")
