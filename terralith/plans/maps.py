@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from terralith.operators import graph, journal, merge, raster, routes, validator
+from terralith.operators import graph, journal, merge, raster, routes, spatial, validator
 from terralith.plans.registry import query
 from terralith.plans.selection import NEIGHBOURS
 
@@ -105,6 +105,20 @@ def tile_holes(v):
     return graph.holes(v("hexes").filter("id < 2500 and id % 7 < 3").selectExpr("id", "col as x", "row as y"), 50, 300)
 
 
+@query()
+def hex_components_whole(v):
+    """hex_components over every hex; compared with a union-find loop in the tests."""
+    return graph.hex_components(v("hexes").select("id", "col", "row", "cat"), "cat").groupBy("comp").agg(F.count("*").alias("size"))
+
+
+@query()
+def tile_holes_whole(v):
+    """Holes of every cell that no area covers, on a map as high as the table; compared with a union-find loop in the tests."""
+    h = v("hexes")
+    cells = spatial.uncovered(h.selectExpr("id", "col as x", "row as y"), v("areas"))
+    return graph.holes(cells.select("id", "x", "y"), 50, (h.agg(F.max("row")).first()[0] or 0) + 1)
+
+
 @query(f"""WITH RECURSIVE {EDGES}, l AS (SELECT id FROM hexes WHERE col = 5 AND row = 5 UNION SELECT e.dst FROM l JOIN e ON e.src = l.id WHERE e.cat = e.n_cat) SELECT id FROM l""")
 def flood_fill(v):
     return graph.flood(v("hexes"), 5, 5, "cat").select("id")

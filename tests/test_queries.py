@@ -147,3 +147,57 @@ def test_routes(spark):
     assert got == sorted((0, *r) for r in map(tuple, inner.collect())) == [(0, 1, 1, 0), (0, 1, 3, 10), (0, 3, 3, 0)]
     assert routes.refine([(0, 0), (1, 0.1), (2, 3), (4, 0)], 0.5) == [0, 1, 2, 3]
     assert routes.refine([(0, 0), (1, 0.1), (2, 0)], 0.5) == [0, 2]
+
+
+def small_map(spark, tmp_path, rows):
+    """orders and part of a map of 50 columns and so many rows, at tmp_path."""
+    spark.range(50 * rows).selectExpr("id as o_orderkey", "id * 7 % 31 as o_custkey", "cast(id * 37 % 9000 as double) as o_totalprice").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.range(200).selectExpr("id as p_partkey", "id % 3 as p_size").filter("p_partkey % 4 <> 1").write.parquet(str(tmp_path / "part.parquet"))
+    return str(tmp_path)
+
+
+def hex_ring(c, r):
+    return [(c, r - 1), (c, r + 1), *((c + d, r + e + c % 2 - 1) for d in (-1, 1) for e in (0, 1))]
+
+
+def union_find(cells, near):
+    parent = {c: c for c in cells}
+
+    def find(c):
+        while parent[c] != c:
+            c = parent[c]
+        return c
+
+    for c in cells:
+        for d in near(c):
+            if d in parent and cells[d][1] == cells[c][1]:
+                a, b = find(c), find(d)
+                parent[max(a, b, key=lambda k: cells[k][0])] = min(a, b, key=lambda k: cells[k][0])
+    groups = {}
+    for c in cells:
+        groups.setdefault(cells[find(c)][0], []).append(c)
+    return groups
+
+
+def test_whole_components(spark, tmp_path):
+    sf = small_map(spark, tmp_path, 60)
+    cells = {(i % 50, i // 50): (i, (i // 50 // 3 * 5 + i % 50 // 4) % 12) for i in range(3000)}
+    want = {k: len(g) for k, g in union_find(cells, lambda c: hex_ring(*c)).items()}
+    got = {r.comp: r["size"] for r in plans.QUERIES["hex_components_whole"](spark, sf).collect()}
+    assert got == want and max(want) >= 1500 and sum(want.values()) == 3000
+
+
+def test_whole_holes(spark, tmp_path):
+    sf = small_map(spark, tmp_path, 60)
+    covered = set()
+    for k in range(200):
+        if k % 4 != 1:
+            x, y, n = k * 3 % 50, k * 7 % 30, 1 + k % 3
+            covered |= {(i, j) for i in range(max(0, x - n), x + n + 1) for j in range(max(0, y - n), y + n + 1)}
+    cells = {(i % 50, i // 50): (i, 0) for i in range(3000) if (i % 50, i // 50) not in covered}
+    want = []
+    for k, g in union_find(cells, lambda c: [(c[0] + a, c[1] + b) for a, b in ((1, 0), (-1, 0), (0, 1), (0, -1))]).items():
+        xs, ys = zip(*g, strict=True)
+        want.append((k, len(g), min(xs), max(xs), min(ys), max(ys), any(x < 2 or y < 2 or x >= 48 or y >= 58 for x, y in g)))
+    got = sorted(map(tuple, plans.QUERIES["tile_holes_whole"](spark, sf).collect()))
+    assert got == sorted(want) and len(want) > 1 and max(w[5] for w in want) == 59
