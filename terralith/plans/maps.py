@@ -134,6 +134,14 @@ def shortest_paths(v):
     return graph.shortest_paths(e, h.filter("id = 1").select(F.lit(1).alias("start"), "id")).filter("cost <= 60")
 
 
+@query()
+def shortest_paths_whole(v):
+    """shortest_paths over every passable hex and at any cost, from hex 1; compared with a heap search in the tests."""
+    h = v("hexes").filter("not impassable")
+    e = graph.hex_edges(h).select("src", "dst", F.when(F.expr("(road >> dir) & 1 = 1"), 5).otherwise(10 + F.col("n_terrain")).cast("bigint").alias("cost"))
+    return graph.search_tables(graph.settle(e), h.filter("id = 1").select(F.lit(1).alias("start"), "id"))
+
+
 @query()
 def landmark_paths(v):
     """Costs from eight landmarks to every hex and back; compared with the relaxing loop in the tests."""

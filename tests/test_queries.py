@@ -1,5 +1,6 @@
 """Every query with SQL against DuckDB on the smallest tables, and some against loops."""
 
+import heapq
 import math
 
 import duckdb
@@ -201,3 +202,21 @@ def test_whole_holes(spark, tmp_path):
         want.append((k, len(g), min(xs), max(xs), min(ys), max(ys), any(x < 2 or y < 2 or x >= 48 or y >= 58 for x, y in g)))
     got = sorted(map(tuple, plans.QUERIES["tile_holes_whole"](spark, sf).collect()))
     assert got == sorted(want) and len(want) > 1 and max(w[5] for w in want) == 59
+
+
+def test_whole_paths(spark, tmp_path):
+    sf = small_map(spark, tmp_path, 60)
+    ring = [(0, 1), (1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0)], [(0, 1), (1, 1), (1, 0), (0, -1), (-1, 0), (-1, 1)]
+    best, heap = {1: 0}, [(0, 1)]
+    while heap:
+        cost, k = heapq.heappop(heap)
+        for d, (dc, dr) in enumerate(ring[k % 50 % 2]):
+            c, r = k % 50 + dc, k // 50 + dr
+            n = 50 * r + c
+            if cost == best[k] and 0 <= c < 50 and 0 <= r < 60 and n % 17:
+                step = cost + (5 if k * 7 % 64 >> d & 1 else 10 + n % 5)
+                if step < best.get(n, step + 1):
+                    best[n] = step
+                    heapq.heappush(heap, (step, n))
+    got = {r.id: r.cost for r in plans.QUERIES["shortest_paths_whole"](spark, sf).collect()}
+    assert got == best and len(best) > 2500 and max(best.values()) > 60
