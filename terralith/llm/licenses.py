@@ -1,11 +1,16 @@
 """Licence scan: a trained paragraph classifier whose predictions a template must confirm.
 
-DataFrame functions only. A paragraph is a line; its grams are its lower-cased words of letters, digits, dots and dashes
+DataFrame functions only. A paragraph is a line, or neighbouring lines over which a notice is wrapped; lines without letters
+and digits end it. Its grams are its lower-cased words of letters, digits, dots and dashes
 that hold a letter, and pairs of neighbours. A sparse multinomial logistic regression over the grams names a licence
 family or none; it is fitted here, on paragraphs made from the templates below and on paragraphs of ordinary prose, which
 make up the unknown class. Scores are divided by a temperature that makes held-back paragraphs likeliest, and families
 below `SURE` are unknown. A prediction holds only if one of the family's templates has at least `SAME` of its grams in
-the paragraph. As every template holds a word of `ANCHORS`, lines without any are left out before the model is asked.
+the paragraph. As every template holds a word of `ANCHORS`, paragraphs without any are left out before the model is asked.
+
+Of neighbouring lines, every run with fewer than `REACH` words between its first and last line is asked, with at most
+`REACH` words of those two; a template is far shorter, so however it is wrapped, some run holds it. Single lines that are
+found stand first. Then come the runs, most similar first, then shortest, then first, where no line is taken yet.
 
 null and blank texts have no rows; a document has one row for each licence paragraph, so repeated rows repeat them.
 """
@@ -38,6 +43,8 @@ TEMPLATES = {
 }
 ANCHORS = r"licen[cs]e|spdx|redistribut|permission|public domain|rights reserved|proprietary"
 SURE, SAME = 0.5, 0.6
+#: Words that a run may have between its first and last line: half as many again as the longest template's.
+REACH = max(len(t.split()) for ts in TEMPLATES.values() for t in ts) * 3 // 2
 VOCABULARY = 400
 _PROSE = "the of and to in for is on that by with as it was at from are this be or an not have which all new can more about under one out if time there will work use copy person general source public terms free charge file version form rights software reserved released subject".split()
 
@@ -109,7 +116,7 @@ def classify(text: str) -> tuple[str, float, float] | None:
     p /= p.sum()
     k = int(np.argmax(p))
     family = model["families"][k]
-    if not family or p[k] < SURE or not re.search(ANCHORS, text.lower()):
+    if not family or p[k] < SURE or not re.search(ANCHORS, re.sub(r"[^a-z0-9.\-]+", " ", text.lower())):
         return None
     same = max(len(set(_grams(t)) & set(grams)) / len(_grams(t)) for t in TEMPLATES[family])
     return (family, float(p[k]), same) if same >= SAME else None
@@ -131,13 +138,41 @@ def grams(text: Column) -> Column:
     return _with(words, lambda w: F.array_distinct(F.concat(w, pairs(w))))
 
 
+def _runs(docs: DataFrame) -> DataFrame:
+    """The lines, and runs of lines, that hold an anchor, each once: under the first line in which, or from which on, it has one."""
+    words = F.transform("lines", lambda x: F.trim(F.regexp_replace(F.lower(x), r"[^a-z0-9.\-]+", " ")))
+    docs = docs.select("row", "doc_id", _once(words).alias("w"))
+    held = F.transform("w", lambda x, i: F.when(F.concat_ws(" ", x, F.get(F.col("w"), i + 1)).rlike(ANCHORS), i))
+    docs = docs.withColumn("at", _once(F.filter(held, lambda i: i.isNotNull())))
+    lo = lambda a, k: F.greatest(F.coalesce(F.get(F.col("at"), k - 1) + 1, F.lit(0)), a - REACH)
+    spots = docs.select("row", "doc_id", F.explode(F.transform("at", lambda a, k: F.struct(a.alias("a"), lo(a, k).alias("lo"), F.slice("w", lo(a, k) + 1, a - lo(a, k) + REACH + 2).alias("w")))).alias("s"))
+    starts = spots.select("row", "doc_id", (F.col("s.a") - F.col("s.lo")).alias("a"), F.posexplode(F.slice("s.w", F.lit(1), F.col("s.a") - F.col("s.lo") + 1)).alias("i", "_x"), "s.lo", "s.w")
+    starts = starts.select("row", "doc_id", (F.col("lo") + F.col("i")).alias("first"), (F.col("a") - F.col("i")).alias("need"), F.slice("w", F.col("i") + 1, REACH + 2).alias("w"))
+    # ends: the last lines that the run from here may have; n: words between, or REACH where no line may follow
+    none = F.struct(F.lit(0).alias("n"), F.lit(0).alias("k"), F.array().cast("array<int>").alias("ends"))
+    size = lambda x: F.size(F.split(x, " "))
+
+    def step(s, x):
+        fits = (s.n < REACH) & (x != "")
+        n = F.when(fits, F.when(s.k == 0, 0).otherwise(s.n + size(x))).otherwise(REACH)
+        return F.struct(n.cast("int").alias("n"), (s.k + 1).cast("int").alias("k"), F.when(fits, F.array_append(s.ends, s.k)).otherwise(s.ends).alias("ends"))
+
+    ends = F.filter(F.aggregate("w", none, step, lambda s: s.ends), lambda j: j >= F.col("need"))
+    runs = starts.select("row", "doc_id", "first", "w", F.explode(ends).alias("j"))
+    words_of = lambda k: F.split(F.get(F.col("w"), k), " ")
+    head, tail = words_of(F.lit(0)), words_of(F.col("j"))
+    text = F.when(F.col("j") == 0, F.get("w", F.lit(0))).otherwise(F.concat_ws(" ", F.slice(head, F.greatest(F.size(head) - REACH + 1, F.lit(1)), REACH), F.slice("w", F.lit(2), F.greatest(F.col("j") - 1, F.lit(0))), F.slice(tail, 1, REACH)))
+    return runs.select("row", "doc_id", "first", (F.col("first") + F.col("j")).alias("last"), _once(text).alias("line")).filter(F.col("line").rlike(ANCHORS))
+
+
 def scan(documents: DataFrame) -> DataFrame:
-    """doc_id, paragraph (line number from 0), family, confidence and similarity of every licence paragraph."""
+    """doc_id, paragraph (number from 0 of its first line), family, confidence and similarity of every licence paragraph."""
     model = train()
     strings = lambda xs: F.from_json(F.lit(json.dumps(list(xs))), "array<string>")  # noqa: E731  folded into one literal
     docs = documents.select(F.col("`doc_id`").cast("bigint").alias("doc_id"), F.col("`text`").cast("string").alias("text"))
-    lines = docs.filter(F.col("text").rlike(f"(?i)({ANCHORS})")).select("doc_id", F.posexplode(F.split("text", r"\r\n|\n|\r")).alias("paragraph", "line"))
-    rows = lines.filter(F.lower("line").rlike(ANCHORS)).select("doc_id", "paragraph", _once(grams(F.col("line"))).alias("grams"))
+    docs = docs.filter(F.col("text").rlike(f"(?i)({ANCHORS.replace(' ', '[^a-z0-9.-]+')})"))
+    docs = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.split("text", r"\r\n|\n|\r").alias("lines"))
+    rows = _runs(docs).select("row", "doc_id", "first", "last", _once(grams(F.col("line"))).alias("grams"))
     vocabulary = strings(model["vocabulary"])
     rows = rows.withColumn("hit", _once(F.transform(F.array_intersect("grams", vocabulary), lambda g: F.array_position(vocabulary, g).cast("int"))))
 
@@ -146,7 +181,7 @@ def scan(documents: DataFrame) -> DataFrame:
         return F.aggregate("hit", F.lit(float(weights[-1])), lambda a, i: a + F.element_at(table, i))
 
     sums = [total_of(w) for w in model["weights"].T]
-    rows = rows.select("doc_id", "paragraph", "grams", _once(F.array(*sums)).alias("z"))
+    rows = rows.select("row", "doc_id", "first", "last", "grams", _once(F.array(*sums)).alias("z"))
     rows = rows.withColumn("most", _once(F.array_max("z"))).withColumn("k", _once(F.array_position("z", F.col("most")).cast("int"))).filter(F.col("k") <= len(TEMPLATES))
     total = F.aggregate("z", F.lit(0.0), lambda a, v: a + F.exp(v - F.col("most")))
     rows = rows.withColumn("confidence", _once(1 / total)).filter(F.col("confidence") >= SURE)
@@ -156,7 +191,13 @@ def scan(documents: DataFrame) -> DataFrame:
         best = F.greatest(*share) if len(share) > 1 else share[0]
         same = F.when(F.col("k") == k, best) if same is None else same.when(F.col("k") == k, best)
     rows = rows.withColumn("similarity", _once(same)).filter(F.col("similarity") >= SAME)
-    return rows.select("doc_id", F.col("paragraph").cast("bigint").alias("paragraph"), F.element_at(strings(TEMPLATES), F.col("k")).alias("family"), "confidence", "similarity")
+    length = F.col("last") - F.col("first")
+    found = F.struct((length > 0).alias("joined"), (-F.col("similarity")).alias("_s"), length.alias("_n"), "first", "last", F.element_at(strings(TEMPLATES), F.col("k")).alias("family"), "confidence", "similarity")
+    every = rows.groupBy("row", "doc_id").agg(F.sort_array(F.collect_list(found)).alias("every"))
+    free = lambda taken, x: ~F.exists(taken, lambda t: (t.first <= x.last) & (x.first <= t.last))
+    kept = F.aggregate("every", F.slice("every", 1, 0), lambda taken, x: F.when(free(taken, x), F.array_append(taken, x)).otherwise(taken))
+    out = every.select("doc_id", F.explode(kept).alias("x"))
+    return out.select("doc_id", F.col("x.first").cast("bigint").alias("paragraph"), "x.family", "x.confidence", "x.similarity")
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

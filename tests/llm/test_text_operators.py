@@ -136,6 +136,22 @@ def test_licenses(spark):
     assert got == want == [(0, 1, "mit"), (1, 0, "cc-by-nc"), (1, 0, "cc-by-nc"), (5, 0, "proprietary"), (5, 1, "gpl"), (6, 1, "apache")]
 
 
+def test_wrapped_licenses(spark):
+    bsd = "Redistribution and use in source and binary forms, with or without{}modification,{}are permitted provided that the following conditions are met:"
+    gpl = "This program is free software: you can redistribute it and/or modify{}it under the terms of the GNU General Public License as published by{}the Free Software Foundation, either version 3 of the License."
+    apache = "Licensed under the{}Apache License,{}Version 2.0 (the License);"
+    wraps = [(family, text.format(*gaps)) for family, text in (("bsd", bsd), ("gpl", gpl), ("apache", apache)) for gaps in (("\n", " "), (" ", "\n"), ("\r\n * ", "\n * "))]
+    wraps += [("bsd", bsd.format(" ", " ").replace(" ", "\n")), ("gpl", gpl.format(" ", " ").replace(" ", "\n# ")), ("proprietary", "(c) Us. All rights\n * reserved.")]
+    texts = ["Some prose.\n\n" + t + "\nMore prose follows here." for _, t in wraps]
+    # a blank line parts, a line that is found alone stands, two notices in one block are two, words beyond the lines' ends don't count
+    texts += ["Redistribution and use in source and binary\n\nforms, with or without modification", "Released under the MIT License.\nLicensed under the\nMPL-2.0\nlicense", "prose " * 300 + gpl.format("\n", "\n") + " prose" * 300]
+    got = sorted((r.doc_id, r.paragraph, r.family) for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect())
+    n = len(wraps)
+    assert [(i, f) for i, _, f in got if i < n] == [(i, f) for i, (f, _) in enumerate(wraps)] and all(k >= 2 for i, k, _ in got if i < n)
+    assert [x for x in got if x[0] >= n] == [(n + 1, 0, "mit"), (n + 1, 1, "mpl"), (n + 2, 0, "gpl")]
+    assert not any(licenses.classify(line) for line in gpl.format("\n", "\n").split("\n"))
+
+
 def test_pipeline(spark, tmp_path):
     rng = random.Random(3)
     good = lambda: ". ".join(" ".join(rng.choices(WORDS, k=9)).capitalize() for _ in range(6)) + "."
