@@ -218,6 +218,11 @@ def siege_boxes(v):
     return regions.siege_boxes(spatial.boxes_by_list(v("settlements"), v("areas").filter("ordinal < 60"), {"std": 0}), 50, 30)
 
 
+@query()
+def siege_boxes_whole(v):
+    return regions.siege_boxes(spatial.boxes_by_list(v("settlements"), v("areas"), {"std": 0}), 50, 30)
+
+
 @query("""WITH t AS (SELECT id, region_key AS k FROM settlements), f AS (SELECT id, list_reduce(list_prepend(CAST(2166136261 AS HUGEINT), list_transform(string_split(k, ''), lambda c: CAST(ascii(c) AS HUGEINT))), lambda h, b: (xor(h, b) * 16777619) % 4294967296) AS fnv FROM t) SELECT id, CAST(fnv AS BIGINT) AS fnv FROM f""")
 def row_ids(v):
     return v("settlements").select("id", regions.fnv1a(F.col("region_key")).alias("fnv"))

@@ -194,6 +194,11 @@ def raster_enlarge(v):
     return raster.enlarge(v("raster").filter("y < 20"), 4)
 
 
+@query()
+def raster_enlarge_whole(v):
+    return raster.enlarge(v("raster"), 4)
+
+
 @query("SELECT a.x, a.y, a.v AS height, b.v AS climate FROM raster a LEFT JOIN (SELECT x, y, v % 7 AS v FROM raster WHERE x < 30) b ON a.x = b.x AND a.y = b.y")
 def channel_zip(v):
     r = v("raster")
@@ -220,6 +225,12 @@ def raster_pad(v):
     return raster.pad(v("raster").filter("y < 40"), (50, 40), (2, 1, 3, 3))
 
 
+@query()
+def raster_pad_whole(v):
+    r = v("raster")
+    return raster.pad(r, (50, (r.agg(F.max("y")).first()[0] or 0) + 1), (2, 1, 3, 3))
+
+
 @query("SELECT x, y, v + 500 * CASE WHEN sqrt((x - 20) * (x - 20) + (y - 15) * (y - 15)) < 8 THEN 0.5e0 + 0.5e0 * cos(sqrt((x - 20) * (x - 20) + (y - 15) * (y - 15)) / 8 * pi()) ELSE 0 END AS v FROM raster")
 def raise_brush(v):
     return raster.brush(v("raster"), 20, 15, 8, "raise", 500.0)
@@ -352,12 +363,24 @@ def batch_edits(v):
     return journal.apply_edits(v("base_t"), ops, "a")
 
 
+@query()
+def batch_edits_whole(v):
+    ops = v("events").selectExpr("event_id as seq", "event_id * 7 % 1200 as id", "case event_id % 5 when 0 then 'delete' else 'set' end as op", "event_type as value")
+    return journal.apply_edits(v("base_t"), ops, "a")
+
+
 @query("SELECT p.id, p.x + coalesce(m.dx, 0) AS x, p.z + coalesce(m.dz, 0) AS z, p.scale * coalesce(m.f, 1) AS scale FROM props p LEFT JOIN (SELECT event_id % 500 AS id, sum(event_id % 3) AS dx, sum(event_id % 5) AS dz, product(1 + event_id % 2) AS f FROM events WHERE event_id < 2000 GROUP BY 1) m ON m.id = p.id")
 def prop_moves(v):
     moves = v("events").filter("event_id < 2000").selectExpr("event_id % 500 as id", "cast(event_id % 3 as double) as dx", "0D as dy", "cast(event_id % 5 as double) as dz", "cast(1 + event_id % 2 as double) as factor")
     return journal.move_props(v("props"), moves).select("id", "x", "z", "scale")
 
 
+@query()
+def prop_moves_whole(v):
+    moves = v("events").selectExpr("event_id % 500 as id", "cast(event_id % 3 as double) as dx", "0D as dy", "cast(event_id % 5 as double) as dz", "cast(1 + event_id % 2 as double) as factor")
+    return journal.move_props(v("props"), moves).select("id", "x", "z", "scale")
+
+
 @query("SELECT id, CASE tags WHEN 'night,Snow' THEN 'Snow,fog,night' WHEN 'snow' THEN 'fog,snow' WHEN '' THEN 'fog' ELSE 'fog' END AS tags FROM props")
 def tag_edits(v):
     return journal.edit_tags(v("props"), ["fog"], ["day"]).select("id", "tags")

@@ -28,6 +28,14 @@ def class_match(v):
     return scene.match_class(v("hexes").filter("id < 3000").select("id", comps.alias("comps")), types)
 
 
+@query()
+def class_match_whole(v):
+    spark = v("region").sparkSession
+    comps = F.filter(F.array(*[F.when(F.col("road").bitwiseAND(1 << k) != 0, n) for k, n in enumerate("abcd")]), lambda c: c.isNotNull())
+    types = spark.sql("select * from values ('x', 0, array('a', 'b')), ('y', 1, array('a', 'b', 'c')), ('z', 2, array('d')), ('w', 3, array('c', 'd')) as t(type, ordinal, comps)")
+    return scene.match_class(v("hexes").select("id", comps.alias("comps")), types)
+
+
 _MEMBERS = "m AS (SELECT p_partkey % 12 AS prefab, p_partkey AS member, CASE WHEN p_partkey % 3 = 0 AND p_partkey % 12 < 9 THEN p_partkey % 12 + 3 END AS ref, CAST(p_size AS DOUBLE) AS dx, CAST(p_size % 7 AS DOUBLE) AS dz FROM part WHERE p_partkey < 60)"
 
 
@@ -45,6 +53,11 @@ def last_overrides(v):
     return scene.last_overrides(rows)
 
 
+@query()
+def last_overrides_whole(v):
+    return scene.last_overrides(v("lineitem").selectExpr("l_partkey as instance", "l_linenumber as member", "l_quantity as value", "(l_orderkey * 8 + l_linenumber) * 100 + l_quantity as ordinal"))
+
+
 @query("SELECT p_name AS key, count(*) AS paths, arg_min(p_brand, p_partkey) AS used FROM part GROUP BY p_name HAVING count(*) > 1")
 def duplicate_keys(v):
     return scene.duplicate_keys(v("part").selectExpr("p_name as key", "p_brand as path", "p_partkey as ordinal"))

@@ -138,6 +138,21 @@ def radius_anti_join(v):
     return spatial.within(v("props").filter("id % 3 = 0"), right, 3.0, "left_anti").select("id")
 
 
+@query()
+def radius_join_whole(v):
+    """radius_join of every prop with every other, without the bounds of its SQL; so are the other _whole queries."""
+    right = v("props").select(F.col("id").alias("other"), F.col("x").alias("rx"), F.col("z").alias("rz"))
+    return spatial.within(v("props").select("id", "x", "z"), right, 1.0).filter("id < other").select("id", "other")
+
+
+@query()
+def radius_anti_join_whole(v):
+    """Props with no other prop within 3: id is compared too, as each is near itself."""
+    right = v("props").select(F.col("id").alias("other"), F.col("x").alias("rx"), F.col("z").alias("rz"))
+    near = spatial.within(v("props").select("id", "x", "z"), right, 3.0).filter("id <> other").select("id")
+    return v("props").select("id").join(near, "id", "left_anti")
+
+
 @query("""SELECT rgb, name, distance FROM (SELECT h.rgb, p.name, greatest(abs((h.rgb >> 16 & 255) - (p.rgb >> 16 & 255)), abs((h.rgb >> 8 & 255) - (p.rgb >> 8 & 255)), abs((h.rgb & 255) - (p.rgb & 255))) AS distance,
     row_number() OVER (PARTITION BY h.rgb ORDER BY greatest(abs((h.rgb >> 16 & 255) - (p.rgb >> 16 & 255)), abs((h.rgb >> 8 & 255) - (p.rgb >> 8 & 255)), abs((h.rgb & 255) - (p.rgb & 255))), p.ordinal) AS k
     FROM (SELECT DISTINCT v * 251 % 16777216 AS rgb FROM raster WHERE x < 9) h CROSS JOIN palette p) WHERE k = 1""")
@@ -145,6 +160,11 @@ def nearest_colour(v):
     return spatial.nearest_colour(v("raster").filter("x < 9").selectExpr("v * 251 % 16777216 as rgb"), v("palette"))
 
 
+@query()
+def nearest_colour_whole(v):
+    return spatial.nearest_colour(v("raster").selectExpr("v * 251 % 16777216 as rgb"), v("palette"))
+
+
 _DIST = "greatest(abs(col - {x}), abs((row - (col - col % 2) // 2) - ({y} - ({x} - {x} % 2) // 2)), abs((-col - (row - (col - col % 2) // 2)) - (-{x} - ({y} - ({x} - {x} % 2) // 2))))"
 
 
