@@ -17,15 +17,22 @@ PATTERNED = (BEACH, CLIFF, CLIFF_END, RIVER, START, MOUTH, CROSSING)
 GOOD_CROSSINGS = ("0,3|1,4", "0,3|1,5", "0,3|2,5", "0,2|1,5", "0,2|1,3", "0,3|1,2,4", "0|1,4")
 
 
-def around(hexes: DataFrame, value: str = "cat") -> DataFrame:
-    """Hexes with one join's worth of neighbour facts: counts by kind and bit masks of river and road sides."""
-    n = F.col(f"n_{value}")
-    side = F.expr("shiftleft(1, dir)")
-    facts = hex_edges(hexes.select("id", "col", "row", F.col(value).alias(value))).groupBy(F.col("src").alias("id")).agg(
+def _facts(value: str) -> list[Column]:
+    """Sums over a hex's neighbours: counts by kind and bit masks of river and road sides."""
+    n, side = F.col(f"n_{value}"), F.expr("shiftleft(1, dir)")
+    return [
         F.count_if(n == F.col(value)).alias("same"), F.count_if(n == SEA).alias("seas"), F.count_if(n == BEACH).alias("beaches"), F.count_if(n.isin(*RIVERS)).alias("rivers"),
         F.sum(F.when(n.isin(*RIVERS), side).otherwise(0)).alias("river_sides"), F.sum(F.when(n == ROAD, side).otherwise(0)).alias("road_sides"),
-    )
-    return hexes.join(facts, "id", "left").na.fill(0, ["same", "seas", "beaches", "rivers", "river_sides", "road_sides"])
+    ]
+
+
+_FACTS = ["same", "seas", "beaches", "rivers", "river_sides", "road_sides"]
+
+
+def around(hexes: DataFrame, value: str = "cat") -> DataFrame:
+    """Hexes with one join's worth of neighbour facts: counts by kind and bit masks of river and road sides."""
+    facts = hex_edges(hexes.select("id", "col", "row", F.col(value).alias(value))).groupBy(F.col("src").alias("id")).agg(*_facts(value))
+    return hexes.join(facts, "id", "left").na.fill(0, _FACTS)
 
 
 def _sides(mask: Column, turn: Column) -> Column:
@@ -41,9 +48,8 @@ def crossing_layout(rivers: Column, roads: Column) -> Column:
     return F.array_min(forms)
 
 
-def rules(hexes: DataFrame) -> DataFrame:
-    """line.thick, coast.missing_ring, coast.cliff_end, river.ends and river.crossing of every hex, from one neighbour join."""
-    h = around(hexes)
+def _codes() -> Column:
+    """The codes that a hex with its facts breaks."""
     cat = F.col("cat")
     tests = [
         ("line.thick", cat.isin(*LINES) & (F.col("same") >= 4)),
@@ -52,8 +58,12 @@ def rules(hexes: DataFrame) -> DataFrame:
         ("river.ends", (cat == START) & (F.col("rivers") != 1) | (cat == MOUTH) & ((F.col("rivers") != 1) | (F.col("seas") == 0)) | (cat == RIVER) & (F.col("rivers") < 1)),
         ("river.crossing", (cat == CROSSING) & ~crossing_layout(F.col("river_sides"), F.col("road_sides")).isin(*GOOD_CROSSINGS)),
     ]
-    codes = F.filter(F.array(*[F.when(t, code) for code, t in tests]), lambda c: c.isNotNull())
-    return h.select("id", "col", "row", F.explode(codes).alias("code")).withColumn("severity", F.lit("warning"))
+    return F.filter(F.array(*[F.when(t, code) for code, t in tests]), lambda c: c.isNotNull())
+
+
+def rules(hexes: DataFrame) -> DataFrame:
+    """line.thick, coast.missing_ring, coast.cliff_end, river.ends and river.crossing of every hex, from one neighbour join."""
+    return around(hexes).select("id", "col", "row", F.explode(_codes()).alias("code")).withColumn("severity", F.lit("warning"))
 
 
 def unseen_patterns(hexes: DataFrame, reference: DataFrame) -> DataFrame:
@@ -163,12 +173,6 @@ def _rules_by_key(cells: DataFrame) -> DataFrame:
     from terralith.functions.hexgrid import neighbours
 
     here = cells.select("key", F.col("col").alias("ncol"), F.col("row").alias("nrow"), F.col("cat").alias("n_cat"))
-    n = F.col("n_cat")
-    facts = neighbours(cells.select("key", "id", "col", "row", "cat")).join(here, ["key", "ncol", "nrow"]).groupBy("id").agg(
-        F.count_if(n == F.col("cat")).alias("same"), F.count_if(n == SEA).alias("seas"), F.count_if(n == BEACH).alias("beaches"), F.count_if(n.isin(*RIVERS)).alias("rivers")
-    )
-    h = cells.join(facts, "id", "left").na.fill(0, ["same", "seas", "beaches", "rivers"])
-    cat = F.col("cat")
-    tests = [("line.thick", cat.isin(*LINES) & (F.col("same") >= 4)), ("coast.missing_ring", (cat == AREA) & (F.col("seas") > 0)), ("coast.cliff_end", (cat == CLIFF) & (F.col("beaches") > 0) | (cat == CLIFF_END) & (F.col("beaches") == 0)), ("river.ends", (cat == START) & (F.col("rivers") != 1) | (cat == MOUTH) & ((F.col("rivers") != 1) | (F.col("seas") == 0)) | (cat == RIVER) & (F.col("rivers") < 1))]
-    codes = F.filter(F.array(*[F.when(t, code) for code, t in tests]), lambda c: c.isNotNull())
-    return h.select("key", "ring", "target", "code", "real", F.explode(codes).alias("hit"))
+    facts = neighbours(cells.select("key", "id", "col", "row", "cat")).join(here, ["key", "ncol", "nrow"]).groupBy("id").agg(*_facts("cat"))
+    h = cells.join(facts, "id", "left").na.fill(0, _FACTS)
+    return h.select("key", "ring", "target", "code", "real", F.explode(_codes()).alias("hit"))

@@ -73,9 +73,9 @@ def surrounding_land(v):
 
 @query()
 def fix_scores(v):
-    """Two candidates a finding, scored on their windows; compared with a brute-force form in the tests."""
+    """Up to two candidates for every finding, scored on their windows; compared with a brute-force form in the tests."""
     h = v("hexes")
-    found = validator.rules(h).filter("code in ('coast.missing_ring', 'coast.cliff_end')").select("id", "code")
+    found = validator.rules(h).select("id", "code")
     return validator.score_fixes(h, validator.fix_candidates(found, h))
 
 

@@ -251,3 +251,22 @@ def test_whole_tables(spark, name):
     df = plans.QUERIES[f"{name}_whole"](spark, sf)
     assert sorted(df.columns) == sorted(names) and rows_of(df.columns, df.collect()) == rows
     print(name, con.sql(plans.SQL[name]).shape[0], len(rows))
+
+
+def test_fix_scores_of_all_codes(spark, tmp_path):
+    """Every code of the rules is scored; crossings, made or broken, count."""
+    from terralith.operators import validator
+
+    found = {r.code for r in validator.rules(spark.createDataFrame([(i, i % 50, i // 50, (i // 50 // 3 * 5 + i % 50 // 4) % 12) for i in range(3000)], "id bigint, col bigint, row bigint, cat bigint")).select("code").distinct().collect()}
+    assert {r.code for r in plans.QUERIES["fix_scores"](spark, small_map(spark, tmp_path, 60)).select("code").distinct().collect()} == found >= {"line.thick", "river.ends", "river.crossing"}
+    # a river along column 4 with a crossing that roads meet on one side; beside it a river hex to be painted over
+    cats = {(4, r): 5 for r in range(9)} | {(4, 4): 8, (5, 4): 9, (1, 1): 8, (1, 2): 7, (7, 7): 8, (7, 8): 5}
+    cells = [(c + 9 * r, c, r, cats.get((c, r), 10)) for c in range(9) for r in range(9)]
+    make = lambda rows: spark.createDataFrame(rows, "id bigint, col bigint, row bigint, cat bigint")
+    hexes = make(cells)
+    count = validator.rules(hexes).count()
+    scores = validator.score_fixes(hexes, validator.fix_candidates(validator.rules(hexes).select("id", "code"), hexes)).collect()
+    assert {"river.crossing", "river.ends"} <= {s.code for s in scores}
+    for s in scores:
+        after = validator.rules(make([(i, c, r, s.to_cat if i == s.id else k) for i, c, r, k in cells]))
+        assert s.change == after.count() - count
