@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import gc
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -19,25 +19,40 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_BASE = 0x9E3779B97F4A7C15
-_M64 = (1 << 64) - 1
-_BASE_INV = pow(_BASE, -1, 1 << 64)
+#: Fixed values of the span hash: two primes below 2**31 with a base each. A prefix sum over fewer than `_PLAIN` bytes fits
+#: 63 bits without reduction.
+_PRIMES = ((1 << 31) - 1, (1 << 31) - 19)
+_BASES = (1_540_483_477, 1_103_515_245)
+_PLAIN = 1 << 23
+#: Spans above this length are hashed by BLAKE2b instead.
+LONG_SPAN = 256
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the folder that the cluster shares (spark.checkpoint.dir; a temporary one only where that is unset)."""
+    """A new path in the folder that the cluster shares (spark.checkpoint.dir). Where it is unset a local session, as in tests, gets a temporary one and a cluster an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="terralith-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/terralith-{label}-{uuid.uuid4().hex}"
 
 
+#: Drops the shuffle files of a write as soon as it is done: the next plan reads the written table, never those.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Writes df in the shared folder and reads it back: lineage ends here and lost executors cost one stage at most."""
     spark = df.sparkSession
     path = scratch(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out
@@ -53,12 +68,6 @@ def drop_scratch(*tables: DataFrame) -> None:
             hpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hpath, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop the shuffle files of plans that are done."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def columns(df: DataFrame, *wanted: str) -> DataFrame:
     """Only the wanted columns, by exact name; other columns of whatever name stay out of the operator."""
     return df.select(*[F.col(f"`{c}`") for c in wanted])
@@ -75,29 +84,47 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_POWERS: dict[str, np.ndarray] = {}
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    have = _POWERS.get("up")
-    if have is None or len(have) < n + 1:
-        size = max(n + 1, 1 << 16)
-        up, down = np.full(size, _BASE, dtype=np.uint64), np.full(size, _BASE_INV, dtype=np.uint64)
-        up[0] = down[0] = 1
-        up, down = np.multiply.accumulate(up), np.multiply.accumulate(down)
-        if size > 8 * STEP_BYTES:  # a giant text's table isn't kept
-            return up, down
-        _POWERS.update(up=up, down=down)
-    return _POWERS["up"], _POWERS["down"]
+def _powers(lane: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of a lane's base and of its inverse, from 0 to n at least."""
+    have = _POWERS.get(lane)
+    if have is None or len(have[0]) < n + 1:
+        p = _PRIMES[lane]
+        out = []
+        for base in (_BASES[lane], pow(_BASES[lane], -1, p)):
+            up = np.ones(1 << max(16, n.bit_length()), dtype=np.int64)
+            done = 1
+            while done < len(up):  # doubling: up[done + i] = up[i] * base**done
+                up[done : 2 * done] = up[:done] * pow(base, done, p) % p
+                done *= 2
+            out.append(up)
+        have = out[0], out[1]
+        if n <= _PLAIN:  # a giant text's table isn't kept
+            _POWERS[lane] = have
+    return have
 
 
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of data[start:end] for many spans: polynomial prefix sums mod 2**64, moved to a common origin, then mixed with the length."""
-    up, down = _powers(len(data))
-    total = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
-    raw = (total[end] - total[start]) * down[start]
-    return mix(raw + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    """64-bit hashes of data[start:end] for many spans.
+
+    Two polynomials modulo primes, from prefix sums moved to a common origin, are mixed with the length; a span of more
+    than `LONG_SPAN` bytes has its BLAKE2b digest. Equal bytes have equal hashes wherever they stand.
+    """
+    lanes = []
+    for lane, p in enumerate(_PRIMES):
+        up, down = _powers(lane, len(data))
+        term = (data.astype(np.int64) + 1) * up[: len(data)]
+        if len(data) >= _PLAIN:
+            term %= p
+        total = np.zeros(len(data) + 1, dtype=np.int64)
+        np.cumsum(term, out=total[1:])
+        lanes.append((total[end] - total[start]) % p * down[start] % p)
+    out = mix((lanes[0] << 32 | lanes[1]).astype(np.uint64) + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    for k in np.flatnonzero(end - start > LONG_SPAN):
+        out[k] = int.from_bytes(hashlib.blake2b(data[start[k] : end[k]], digest_size=8).digest(), "little")
+    return out
 
 
 def text_steps(batch: pa.RecordBatch, name: str = "text", step: int = STEP_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

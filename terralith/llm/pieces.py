@@ -2,9 +2,11 @@
 
 No piece of the vocabulary crosses from a character into a whitespace marker (checked when the model is loaded), so a
 text falls into chunks, each a run of markers and the characters up to the next marker; merges never leave a chunk.
-Every distinct chunk is segmented once by the library, and ids and decoded bytes are joined back by position.
+Every distinct chunk is segmented once by the library, and ids are joined back by position. Decoding gathers the bytes of
+each id's piece; byte pieces of a text always make up whole characters.
 
-null and empty texts have the begin and end id alone and decode to nothing. Rows are kept as they are, repeats included.
+null and empty texts have the begin and end id alone and decode to nothing. Rows are kept as they are, repeats included. A
+text longer than a step is one step: it takes some 60 bytes of a worker a byte of text.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terralith.llm.chunks import ChunkTable
+from terralith.llm.chunks import ChunkTable, gather
 from terralith.llm.common import text_steps
 
 MODEL = "piece_bpe_32k.model"
@@ -39,15 +41,26 @@ class Pieces:
         special = [model.is_control(i) or model.is_unknown(i) for i in range(len(names))]
         self.whole = any(_MARK in p.lstrip(_MARK) for p, s in zip(names, special, strict=True) if not s)
         self._space = model.piece_to_id(_MARK)
-        self._bytes = [b"" if s else bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace(_MARK, " ").encode() for i, (p, s) in enumerate(zip(names, special, strict=True))]
-        self.table = ChunkTable(self._encode, self._surface)
+        shown = [b"" if s else bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace(_MARK, " ").encode() for i, (p, s) in enumerate(zip(names, special, strict=True))]
+        self._shown_size = np.array([len(b) for b in shown], dtype=np.int64)
+        self._shown_at = np.cumsum(self._shown_size) - self._shown_size
+        self._shown = np.frombuffer(b"".join(shown), np.uint8)
+        self.table = ChunkTable(self._encode)
 
     def _encode(self, chunks: list[bytes]) -> list[list[int]]:
         out = self.model.encode([c[1:].decode() for c in chunks], num_threads=1)
         return [x or [self._space] for x in out]  # a lone marker is a piece; the library adds none to an empty text
 
-    def _surface(self, ids: list[int]) -> bytes:
-        return b"".join(map(self._bytes.__getitem__, ids))
+    def decode_ids(self, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes, bytes before each row) of rows of ids; the blank of a row's first piece, which stands for the opening marker, is left out."""
+        size = self._shown_size[ids]
+        raw = gather(self._shown, self._shown_at[ids], size)
+        past = np.concatenate([[0], np.cumsum(size)])[at]
+        opens = past[:-1][past[1:] > past[:-1]]
+        opens = opens[raw[opens] == _SPACE]
+        keep = np.ones(len(raw), dtype=bool)
+        keep[opens] = False
+        return raw[keep], past - np.searchsorted(opens, past, side="left")
 
     @classmethod
     def load(cls, path: str) -> Pieces:
@@ -57,8 +70,8 @@ class Pieces:
                 raise ValueError("pieces of this model cross whitespace markers")
         return _LOADED[path]
 
-    def encode_rows(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(ids, ids before each row, decoded bytes, bytes before each row), without begin and end ids; the marker that opens a row isn't decoded."""
+    def encode_rows(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ids before each row), without begin and end ids."""
         if (data == 0xE2).any() and b"\xe2\x96\x81" in data.tobytes():  # a marker in a text is a space to the model
             rows = [data[a:b].tobytes().replace(b"\xe2\x96\x81", b" ") for a, b in zip(off[:-1], off[1:], strict=True)]
             data = np.frombuffer(b"".join(rows), np.uint8)
@@ -78,11 +91,7 @@ class Pieces:
         row = np.searchsorted(new, start, side="right") - 1
         entry = self.table.look_up(marked, start, end)
         ids, n_ids = self.table.take_ids(entry)
-        raw, n_raw = self.table.take_bytes(entry)
-        n = len(off) - 1
-        past_ids = np.concatenate([[0], np.cumsum(np.bincount(row, weights=n_ids, minlength=n).astype(np.int64))])
-        past_raw = np.concatenate([[0], np.cumsum(np.bincount(row, weights=n_raw, minlength=n).astype(np.int64))])
-        return ids, past_ids, raw, past_raw
+        return ids, np.concatenate([[0], np.cumsum(np.bincount(row, weights=n_ids, minlength=len(off) - 1).astype(np.int64))])
 
 
 def _digests(path: str, carried: list[str]):
@@ -91,7 +100,8 @@ def _digests(path: str, carried: list[str]):
         begin, end = (np.array([x], "<u4").tobytes() for x in (pieces.begin, pieces.end))
         for batch in batches:
             for lo, hi, data, off in text_steps(batch):
-                ids, at, raw, raw_at = pieces.encode_rows(data, off)
+                ids, at = pieces.encode_rows(data, off)
+                raw, raw_at = pieces.decode_ids(ids, at)
                 ids = ids.astype("<u4", copy=False)
                 of_ids, of_raw = [], []
                 for i in range(hi - lo):
@@ -99,8 +109,7 @@ def _digests(path: str, carried: list[str]):
                     h.update(ids[at[i] : at[i + 1]])
                     h.update(end)
                     of_ids.append(h.hexdigest())
-                    text = raw[raw_at[i] + (raw_at[i + 1] > raw_at[i]) : raw_at[i + 1]]
-                    of_raw.append(hashlib.sha256(np.ascontiguousarray(text)).hexdigest())
+                    of_raw.append(hashlib.sha256(raw[raw_at[i] : raw_at[i + 1]]).hexdigest())
                 kept = [batch.column(batch.schema.get_field_index(c)).slice(lo, hi - lo) for c in carried]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(np.diff(at) + 2, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_raw, pa.string())], names=[*carried, "n_tokens", "ids_sha256", "decoded_sha256"])
 
@@ -112,7 +121,7 @@ def _encoded(path: str):
         pieces = Pieces.load(path)
         for batch in batches:
             for lo, hi, data, off in text_steps(batch):
-                ids, at, _, _ = pieces.encode_rows(data, off)
+                ids, at = pieces.encode_rows(data, off)
                 n = hi - lo
                 full = np.full(len(ids) + 2 * n, pieces.end, dtype=np.int32)
                 new = at + 2 * np.arange(n + 1)

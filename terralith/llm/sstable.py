@@ -13,15 +13,18 @@ nine zero bytes and comes first. Values are ids of 2 or 4 bytes. Shards are deal
 order is reading the corpus in ascending doc_id order. Writers name files by task attempt and only files named by a
 finished task are in the manifest, so a lost executor leaves no half shard behind.
 
-null and empty texts have the end id alone. Repeated rows stay rows, ordered by text within a doc_id.
+null and empty texts have the end id alone. Repeated rows stay rows, ordered by xxhash64(text) and text within a doc_id; an
+identifier with many rows, or many rows without one, may go on in the next shard. A value is at most 4 GiB of ids.
 """
 
 from __future__ import annotations
 
 import bisect
+import math
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +40,8 @@ from terralith.llm.common import materialize, mix, scratch, text_steps
 MAGIC = b"TLSST001"
 END_ID = 2
 BLOCK_BYTES = 1 << 16
+#: Bytes of a shard's input, on average, where that makes more shards than spark.sql.shuffle.partitions.
+SHARD_BYTES = 256 << 20
 BITS_A_KEY, PROBES = 10, 7
 _ENTRY = struct.Struct("<BBI")
 _INDEX = struct.Struct("<9s9sQIIQ")
@@ -57,9 +62,8 @@ def _probes(keys: np.ndarray, bits: int) -> np.ndarray:
     return (a[:, None] + np.arange(PROBES, dtype=np.uint64) * b[:, None]) % np.uint64(bits)
 
 
-def _key_hash(keys: list[bytes]) -> np.ndarray:
-    raw = np.frombuffer(b"".join(keys), np.uint8).reshape(-1, 9)
-    return np.ascontiguousarray(raw[:, 1:]).view("<u8").ravel() + raw[:, 0]
+def _key_hash(key: bytes) -> int:
+    return (int.from_bytes(key[1:], "little") + key[0]) & ((1 << 64) - 1)
 
 
 class Writer:
@@ -68,7 +72,8 @@ class Writer:
     def __init__(self, stream, width: int):
         self.stream, self.width, self.dtype = stream, width, {2: "<u2", 4: "<u4"}[width]
         self.at = self.tokens = self.before = 0
-        self.keys: list[bytes] = []
+        self.hashes = array("Q")  # 8 bytes a document until the filter's size is known
+        self.first_key = self.last_key = b""
         self.index: list[bytes] = []
         self._open()
 
@@ -76,8 +81,9 @@ class Writer:
         self.parts, self.size, self.entries, self.first, self.last, self.before = [], 0, 0, b"", b"", self.tokens
 
     def add(self, key: bytes, ids: np.ndarray) -> None:
-        if self.keys and key < self.keys[-1]:
+        if key < self.last_key:
             raise ValueError("keys must ascend")
+        self.first_key = self.first_key or key
         shared = 0
         if self.entries:
             while shared < 9 and key[shared] == self.last[shared]:
@@ -88,8 +94,8 @@ class Writer:
         self.parts += [_ENTRY.pack(shared, 9 - shared, len(value)), key[shared:], value]
         self.size += _ENTRY.size + 9 - shared + len(value)
         self.entries += 1
-        self.last = key
-        self.keys.append(key)
+        self.last = self.last_key = key
+        self.hashes.append(_key_hash(key))
         self.tokens += len(ids)
         if self.size >= BLOCK_BYTES:
             self._close()
@@ -106,14 +112,15 @@ class Writer:
     def finish(self) -> int:
         self._close()
         index = b"".join(self.index)
-        bits = max(64, BITS_A_KEY * len(self.keys))
-        bloom = np.zeros(-(-bits // 8) * 8, dtype=np.uint8)
-        if self.keys:
-            bloom[_probes(_key_hash(self.keys), bits).ravel().astype(np.int64)] = 1
-        packed = np.packbits(bloom).tobytes()
+        bits = max(64, BITS_A_KEY * len(self.hashes))
+        bloom = np.zeros(-(-bits // 8), dtype=np.uint8)
+        for k in range(0, len(self.hashes), 100_000):
+            at = _probes(np.frombuffer(self.hashes[k : k + 100_000], np.uint64), bits).ravel().astype(np.int64)
+            np.bitwise_or.at(bloom, at >> 3, (0x80 >> (at & 7)).astype(np.uint8))
+        packed = bloom.tobytes()
         self.stream.write(index)
         self.stream.write(packed)
-        self.stream.write(_FOOTER.pack(self.at, len(index), self.at + len(index), bits, len(self.keys), self.tokens, self.width, MAGIC))
+        self.stream.write(_FOOTER.pack(self.at, len(index), self.at + len(index), bits, len(self.hashes), self.tokens, self.width, MAGIC))
         return self.at + len(index) + len(packed) + _FOOTER.size
 
 
@@ -159,7 +166,7 @@ class Reader:
         key = key_of(doc_id)
         if self._bloom is None:
             self._bloom = np.unpackbits(np.frombuffer(self.file.read_at(self.bloom[1], self.bloom[0]), np.uint8))
-        if not self._bloom[_probes(_key_hash([key]), self.bits).ravel().astype(np.int64)].all():
+        if not self._bloom[_probes(np.array([_key_hash(key)], np.uint64), self.bits).ravel().astype(np.int64)].all():
             return []
         out: list[np.ndarray] = []
         k = max(0, bisect.bisect_left(self.first_keys, key) - 1)
@@ -190,17 +197,25 @@ def _write(folder: str, path: str, end_id: int):
         if writer is not None:
             size = writer.finish()
             stream.close()
-            yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([writer.keys[0]], pa.binary()), pa.array([len(writer.keys)], pa.int64()), pa.array([writer.tokens], pa.int64()), pa.array([size], pa.int64())], names=["path", "first_key", "n_docs", "n_tokens", "n_bytes"])
+            yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([writer.first_key], pa.binary()), pa.array([len(writer.hashes)], pa.int64()), pa.array([writer.tokens], pa.int64()), pa.array([size], pa.int64())], names=["path", "first_key", "n_docs", "n_tokens", "n_bytes"])
 
     return run
 
 
+def _size(df: DataFrame) -> int:
+    """What the optimiser takes for the size of df in bytes."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+
+
 def write(documents: DataFrame, folder: str | None = None, path: str | None = None, end_id: int = END_ID, shards: int | None = None) -> DataFrame:
     """Encodes and writes documents; returns the manifest (one row a shard, first_key ascending) as a written table."""
     spark = documents.sparkSession
     folder = folder or scratch(spark, "sstable")
+    shards = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(_size(documents) / SHARD_BYTES))
     docs = documents.select(F.col("`doc_id`").cast("bigint").alias("doc_id"), F.col("`text`").cast("string").alias("text"))
-    dealt = docs.repartitionByRange(shards or int(spark.conf.get("spark.sql.shuffle.partitions")), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    docs = docs.withColumns({"_text": F.xxhash64("text"), "_row": F.monotonically_increasing_id()})
+    order = [F.col("doc_id").asc_nulls_first(), F.col("_text"), F.col("_row")]
+    dealt = docs.repartitionByRange(shards, *order).sortWithinPartitions(order[0], "_text", "text").select("doc_id", "text")
     return materialize(dealt.mapInArrow(_write(folder, path or default_path(), end_id), MANIFEST), "manifest")
 
 

@@ -1,6 +1,7 @@
 """SentencePiece digests against the library."""
 
 import hashlib
+import random
 
 import numpy as np
 import public_tokenizers
@@ -9,6 +10,8 @@ import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from terralith.llm import chunks
+from terralith.llm import pieces as pieces_module
 from terralith.llm.common import text_steps
 from terralith.llm.pieces import MODEL, Pieces, digests, encode, decode
 
@@ -21,10 +24,10 @@ def both(texts):
     pieces = Pieces.load(PATH)
     out = []
     for lo, hi, data, off in text_steps(pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])):
-        ids, at, raw, raw_at = pieces.encode_rows(data, off)
+        ids, at = pieces.encode_rows(data, off)
+        raw, raw_at = pieces.decode_ids(ids, at)
         for i in range(hi - lo):
-            a = raw_at[i] + (raw_at[i + 1] > raw_at[i])
-            out.append(([1, *ids[at[i] : at[i + 1]].tolist(), 2], raw[a : raw_at[i + 1]].tobytes().decode()))
+            out.append(([1, *ids[at[i] : at[i + 1]].tolist(), 2], raw[raw_at[i] : raw_at[i + 1]].tobytes().decode()))
     return out
 
 
@@ -37,6 +40,28 @@ def test_edges():
     assert both(EDGE) == [expected(t) for t in EDGE]
 
 
+def thue_morse(n):
+    a, b = "a", "b"
+    for _ in range(n):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_long_words():
+    """Words that polynomials modulo powers of two can't tell apart, alone and repeated, and random long words."""
+    rng = random.Random(3)
+    texts = [*thue_morse(10), *thue_morse(11), *thue_morse(7), " ".join(thue_morse(10)), *("".join(rng.choices("abé", k=2048)) for _ in range(4))]
+    assert both(texts + texts[::-1]) == [expected(t) for t in texts + texts[::-1]]
+
+
+def test_equal_hashes(monkeypatch):
+    """Chunks of one hash stay apart, in one step and over steps."""
+    monkeypatch.setattr(chunks, "span_hashes", lambda data, start, end: np.full(len(start), 5 << 60, np.uint64) + (end - start).astype(np.uint64) % np.uint64(2))
+    monkeypatch.setattr(pieces_module, "_LOADED", {})
+    texts = ["one two three", "six ten two one", "three", "", "ten ten one"]
+    assert both(texts) + both(texts[::-1]) == [expected(t) for t in texts + texts[::-1]]
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(alphabet=st.one_of(st.sampled_from("ab ▁ \n\té漢"), st.characters(exclude_categories=["Cs"])), max_size=40), max_size=6))
 def test_random(texts):

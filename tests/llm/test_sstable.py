@@ -17,7 +17,10 @@ BITS = ["'s", "'t", "'re", "'ve", "'m", "'ll", "'d", "'", " ", "  ", "\n", "\t",
 
 def test_ids_as_the_library():
     random.seed(2)
-    texts = ["", "x" * 5000, *("".join(random.choices(BITS, k=random.randint(0, 14))) for _ in range(4000))]
+    a, b = "a", "b"
+    for _ in range(10):  # words that polynomials modulo powers of two can't tell apart
+        a, b = a + b, b + a
+    texts = ["", a, b, a + " " + b, *("".join(random.choices("abé", k=2048)) for _ in range(4)), "x" * 5000, *("".join(random.choices(BITS, k=random.randint(0, 14))) for _ in range(4000))]
     bpe = ByteBpe.load(default_path())
     got = []
     for lo, hi, data, off in text_steps(pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"]), step=5000):
@@ -32,7 +35,8 @@ def test_round_trip(spark):
     manifest = sstable.write(df)
     got = sorted(map(tuple, sstable.read_digests(manifest).collect()), key=lambda r: r[1])
     want, start = [], 0
-    for doc_id, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):
+    hashed = {r.text: r.h for r in df.selectExpr("text", "xxhash64(text) as h").collect()}
+    for doc_id, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashed[r[1]])):
         ids = LIB.encode(text or "", add_special_tokens=False).ids + [2]
         want.append((doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
@@ -47,3 +51,12 @@ def test_round_trip(spark):
 
 def test_empty(spark):
     assert sstable.read_digests(sstable.write(spark.createDataFrame([], "doc_id bigint, text string"))).count() == 0
+
+
+def test_one_identifier(spark):
+    """Nine of ten rows without an identifier are dealt over the shards."""
+    df = spark.createDataFrame([(None if i % 10 else i, "same text" if i % 3 else f"text {i}") for i in range(4000)], "doc_id bigint, text string")
+    manifest = sstable.write(df.repartition(8), shards=8).collect()
+    assert sum(r.n_docs for r in manifest) == 4000 and max(r.n_docs for r in manifest) < 1200
+    got = sorted(map(tuple, sstable.read_digests(sstable.write(df)).select("start", "n_tokens").collect()))
+    assert all(a + n == b for (a, n), (b, _) in zip(got, got[1:])) and len(got) == 4000
