@@ -203,8 +203,9 @@ def _write(folder: str, path: str, end_id: int):
 
 
 def _size(df: DataFrame) -> int:
-    """What the optimiser takes for the size of df in bytes."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    """What the optimiser takes for the size of df in bytes; 0 if it doesn't know."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else 0
 
 
 def write(documents: DataFrame, folder: str | None = None, path: str | None = None, end_id: int = END_ID, shards: int | None = None) -> DataFrame:
