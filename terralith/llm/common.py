@@ -43,16 +43,21 @@ def scratch(spark: SparkSession, label: str) -> str:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Writes df in the shared folder and reads it back: lineage ends here and lost executors cost one stage at most."""
+def write_table(df: DataFrame, path: str) -> None:
     spark = df.sparkSession
-    path = scratch(spark, label)
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
+
+
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """Writes df in the shared folder and reads it back: lineage ends here and lost executors cost one stage at most."""
+    spark = df.sparkSession
+    path = scratch(spark, label)
+    write_table(df, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out
@@ -68,6 +73,31 @@ def drop_scratch(*tables: DataFrame) -> None:
             hpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hpath, True)
 
 
+#: A key with more than 1/HOT_SHARE of all rows, and more than HOT_ROWS of them, is hot: there are at most HOT_SHARE such keys.
+HOT_SHARE = 10_000
+HOT_ROWS = 64
+
+
+def hot_keys(counted: DataFrame, key: str, count: str) -> DataFrame:
+    """key and _parts, the number of parts that its rows are dealt over, of the hot keys of a table with one row a key; at most HOT_SHARE rows."""
+    total = counted.agg(F.sum(count)).first()[0] or 0
+    share = max(total / HOT_SHARE, HOT_ROWS)
+    return counted.filter(F.col(count) > share).select(key, F.ceil(F.col(count) / share).alias("_parts"))
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """The inner join of left and right, which has one row a key, with the rows of hot keys dealt over tasks.
+
+    The list of hot keys is of bounded size, so it is broadcast; right's rows of hot keys are copied once a part, 2 * HOT_SHARE
+    times in all at most. left is read in a fixed order, as from a table, so that a task that is run again deals alike.
+    """
+    hot = F.broadcast(hot)
+    salt = F.when(F.col("_parts").isNotNull(), F.expr("pmod(monotonically_increasing_id(), _parts)")).otherwise(F.lit(0))
+    dealt = left.join(hot, key, "left").withColumn("_salt", salt.cast("bigint")).drop("_parts")
+    copies = right.join(hot, key, "left").withColumn("_salt", F.explode(F.expr("sequence(0L, coalesce(_parts, 1L) - 1)"))).drop("_parts")
+    return dealt.join(copies.hint("merge"), [key, "_salt"]).drop("_salt")
+
+
 def columns(df: DataFrame, *wanted: str) -> DataFrame:
     """Only the wanted columns, by exact name; other columns of whatever name stay out of the operator."""
     return df.select(*[F.col(f"`{c}`") for c in wanted])

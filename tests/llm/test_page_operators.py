@@ -3,10 +3,13 @@
 import hashlib
 import random
 import re
+import shutil
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
-from terralith.llm import html, urls, warc
+from terralith.llm import common, html, urls, warc
 
 
 def texts(*pages):
@@ -94,3 +97,21 @@ def test_warc(spark):
         assert head.startswith(b"WARC/1.1\r\n") and int(re.search(rb"Content-Length: (\d+)", head)[1]) == len(block) - 4 and block.endswith(b"\r\n\r\n")
         assert b"WARC-Type: revisit" in head or block[:-4] == bytes(r.payload)
     assert warc.read(spark, warc.write(df.limit(0))).count() == 0
+
+
+def test_warc_of_one_payload(spark, monkeypatch):
+    """Nine of ten records share a payload and are dealt over parts; damage is found."""
+    monkeypatch.setattr(common, "HOT_ROWS", 10)
+    df = spark.range(2000).selectExpr("id as page_id", "'u' as url", "if(id % 10 > 0, repeat('same ', 300), concat('page ', id)) as html")
+    folder = warc.write(df)
+    store = spark.read.parquet(f"{folder}/payloads")
+    assert [r._parts for r in common.hot_keys(store, "sha256", "n_records").collect()] == [180]
+    got = warc.read(spark, folder).collect()
+    assert len(got) == len({r.page_id for r in got}) == 2000
+    assert all((r.record_type, r.refers_to) == (("revisit", 1999) if r.page_id % 10 and r.page_id < 1999 else ("response", None)) for r in got)
+    bad = warc.write(df.limit(3)) + "/payloads"
+    spark.read.parquet(bad).withColumn("payload", F.concat("payload", F.lit(b"!"))).write.parquet(bad + "2")
+    shutil.rmtree(bad.removeprefix("file://"))
+    shutil.move(bad.removeprefix("file://") + "2", bad.removeprefix("file://"))
+    with pytest.raises(Exception, match="damaged"):
+        warc.read(spark, bad.removesuffix("/payloads")).collect()
