@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terralith.llm.common import drop_scratch, materialize
+from terralith.llm.common import drop_scratch, hot_keys, materialize, salted_join
 
 MAX_ROUNDS = 60
 
@@ -34,14 +34,17 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in leaves], batch.schema.field(0).type), pa.array([r for _, r in leaves], batch.schema.field(0).type)], names=["u", "v"])
 
 
-def _star(edges: DataFrame) -> DataFrame:
-    """One large-star and one small-star step; edges (u, v) in any direction in, (larger, smaller) out."""
+def _star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One large-star and one small-star step; edges (u, v) in any direction in, (larger, smaller) out, and a table to drop.
+
+    The centre of a star may have any number of neighbours, so its edges are dealt over tasks.
+    """
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least = materialize(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"), "least")
+    large = salted_join(both.filter("v > u"), least.select("u", "m"), "u", hot_keys(least, "u", "n")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
     near = large.groupBy("u").agg(F.min("v").alias("m"))
     far = large.join(near, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return far.union(near.select("u", F.col("m").alias("v"))).distinct()
+    return far.union(near.select("u", F.col("m").alias("v"))).distinct(), least
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -53,9 +56,10 @@ def components(edges: DataFrame) -> DataFrame:
     now = materialize(edges.select("u", "v").filter("u is not null and v is not null and u <> v").mapInArrow(_forest, f"u {kind}, v {kind}"), "edges")
     mark = None
     for _ in range(MAX_ROUNDS):
-        after = materialize(_star(now), "edges")
+        step, least = _star(now)
+        after = materialize(step, "edges")
         seen = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        drop_scratch(now)
+        drop_scratch(now, least)
         now = after
         if mark == tuple(seen):
             break

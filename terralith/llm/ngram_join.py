@@ -17,9 +17,13 @@ results, a coarse count only makes the order less sharp.
 
 So every link between different texts counts for the components, while pairs inside a component are never listed.
 
-Rows: null or blank text has no shingles and links to nothing; repeated rows of a document stay rows. doc_id is the
-key: a row without one is counted and labelled null, and only its exact copies are its links. Columns other than
-doc_id and text are not looked at.
+No task holds a large group: rows of a class with many copies, of a component's centre and of a common shingle are dealt
+over parts.
+
+Rows: null or blank text has no shingles and links to nothing; repeated rows of a document stay rows. A row without doc_id
+links as others do; its component_id is the least doc_id reached, null if there is none. Columns other than doc_id and text
+are not looked at. A text is as long as a row may be; one above a step is a step of its own, at some 100 bytes a byte.
+Classes are known by 64 bits of their digest only inside round A and the entries, where both of two such classes keep theirs.
 """
 
 from __future__ import annotations
@@ -33,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terralith.llm.common import binary_column, columns, drop_scratch, materialize, mix, release, shingle_hashes, text_steps
+from terralith.llm.common import binary_column, columns, drop_scratch, hot_keys, materialize, mix, salted_join, shingle_hashes, text_steps
 from terralith.llm.components import components
 
 WIDTH = 5
@@ -103,7 +107,10 @@ def _sketch(parts: DataFrame) -> np.ndarray:
 
 
 def _rank(counts: np.ndarray) -> np.ndarray:
-    return np.round(8 * np.log2(counts + 1.0)).astype(np.uint64)
+    """What a slot holds beyond the median slot, in steps of that one's spread: in a large corpus every slot holds many rare
+    shingles, and a common one shows above them while its count is above the root of theirs."""
+    usual = float(np.median(counts))
+    return np.round(8 * np.log2(1 + np.maximum(counts - usual, 0) / (1 + usual**0.5))).astype(np.uint64)
 
 
 def _global_order(rows: np.ndarray, h: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -169,10 +176,10 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def emit(parts: list[list[bytes]]) -> Iterator[pa.RecordBatch]:
         token, cid, size, pos, salt = (np.frombuffer(b"".join(p), d) for p, d in zip(parts, ("<u8", "<u8", "<u4", "<u4", "<u4"), strict=True))
-        order = np.lexsort((cid, size, salt, token))
+        order = np.lexsort((pos, cid, size, salt, token))
         token, cid, size, pos, salt = token[order], cid[order], size[order].astype(np.int64), pos[order].astype(np.int64), salt[order]
         same = (token[1:] == token[:-1]) & (salt[1:] == salt[:-1])
-        keep = np.concatenate([[True], ~(same & (cid[1:] == cid[:-1]))])
+        keep = np.concatenate([[True], ~(same & (cid[1:] == cid[:-1]) & (size[1:] == size[:-1]) & (pos[1:] == pos[:-1]))])
         token, cid, size, pos, salt = token[keep], cid[keep], size[keep], pos[keep], salt[keep]
         same = (token[1:] == token[:-1]) & (salt[1:] == salt[:-1])
         some = np.concatenate([same, [False]]) | np.concatenate([[False], same]) | (salt > 0)
@@ -216,7 +223,7 @@ def _of_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo, hi, data, off in text_steps(batch):
             cls, _, _ = _digests(*shingle_hashes(data, off, WIDTH), hi - lo)
             part = batch.slice(lo, hi - lo).select(["cls", "text"])
-            yield part.filter(pa.array([x == y for x, y in zip(part.column(0).to_pylist(), cls, strict=True)], pa.bool_()))
+            yield part.filter(pa.array([x[9:] == y for x, y in zip(part.column(0).to_pylist(), cls, strict=True)], pa.bool_()))
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,6 +331,29 @@ def _blocks(sketch):
     return run
 
 
+def _classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lo, hi, data, off in text_steps(batch):
+            cls, _, _ = _digests(*shingle_hashes(data, off, WIDTH), hi - lo)
+            yield pa.RecordBatch.from_arrays([binary_column(cls), batch.slice(lo, hi - lo).column(0)], names=["cls", "text"])
+
+
+def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """cls becomes a class's node: bytes that sort by its least doc_id (none comes last), then by digest."""
+    for batch in batches:
+        cls, rep = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        node = [(b"\1" + bytes(8) if r is None else b"\0" + (r + (1 << 63)).to_bytes(8, "big")) + c for c, r in zip(cls, rep, strict=True)]
+        cid = np.frombuffer(b"".join(cls), "<i8")[::2]
+        yield pa.RecordBatch.from_arrays([binary_column(node), *batch.columns[1:], pa.array(cid, pa.int64())], names=["cls", "rep", "n", "bins", "cid"])
+
+
+def _least_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A class's digest and the doc_id of the node that names its component."""
+    for batch in batches:
+        least = [None if c[0] else int.from_bytes(c[1:9], "big") - (1 << 63) for c in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([binary_column([x[9:] for x in batch.column(0).to_pylist()]), pa.array(least, pa.int64())], names=["cls", "component_id"])
+
+
 class NearDuplicates:
     """Classes, links and components of a table of documents; tables are in the shared folder until close()."""
 
@@ -336,30 +366,32 @@ class NearDuplicates:
         counts = _sketch(first)
         self._described = first
         rows = first.filter("slice is null")
-        classes = materialize(rows.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bins").alias("bins")), "classes")
+        classes = materialize(rows.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bins").alias("bins"), F.count("*").alias("n_rows")), "classes")
         total = int(counts.sum())
         n_ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total * 0.25 / RANGE_ENTRIES))
         sketch = spark.sparkContext.broadcast(counts.astype(np.int64))
         packed = texts.mapInArrow(_prefixes(sketch, n_ranges), "range int, token binary, cid binary, size binary, pos binary, salt binary")
         shared = materialize(packed.repartition(n_ranges, "range").sortWithinPartitions("range").mapInArrow(_shared, "token bigint, cid bigint, size bigint, pos bigint, other bigint"), "shared")
-        release(spark)
-        keyed = classes.mapInArrow(_with_cid, "cls binary, rep bigint, n bigint, bins binary, cid bigint")
+        keyed = classes.select("cls", "rep", "n", "bins").mapInArrow(_nodes, "cls binary, rep bigint, n bigint, bins binary, cid bigint")
         named = materialize(keyed.join(shared.select("cid").distinct(), "cid", "left_semi"), "named")
         reps = named.filter("rep is not null").select("cls", F.col("rep").alias("doc_id"))
-        held = materialize(texts.join(reps.hint("merge"), "doc_id").select("cls", "text").mapInArrow(_of_class, "cls binary, text string"), "texts")
-        release(spark)
+        lone = named.filter("rep is null").select(F.col("cls").alias("node"), F.expr("substring(cls, 10, 16)").alias("cls"))
+        lone = texts.filter("doc_id is null").select("text").mapInArrow(_classed, "cls binary, text string").join(lone, "cls").groupBy("node").agg(F.min("text").alias("text"))
+        found = texts.join(reps.hint("merge"), "doc_id").select("cls", "text").mapInArrow(_of_class, "cls binary, text string")
+        held = materialize(found.union(lone), "texts")
         # round A: one neighbour per class
         near = shared.filter("other is not null").groupBy("cid", "other").count().groupBy("cid").agg(F.max_by("other", F.struct("count", "other")).alias("other"))
         name_a, name_b = (named.select(F.col("cid").alias(c), F.col("cls").alias(x), F.col("n").alias(f"n_{x}"), F.col("bins").alias(f"bins_{x}")) for c, x in (("cid", "a"), ("other", "b")))
         pairs = near.join(name_a.hint("merge"), "cid").join(name_b.hint("merge"), "other").select("a", "b", "n_a", "n_b", "bins_a", "bins_b")
         links_a = materialize(self._check(pairs, held), "links")
         comp_a = materialize(components(links_a.select(F.col("a").alias("u"), F.col("b").alias("v"))), "components")
-        release(spark)
         # round B: all pairs between components
         label = named.join(comp_a.select(F.col("node").alias("cls"), "component").hint("merge"), "cls", "left").select("cid", "cls", "n", F.coalesce("component", "cls").alias("comp"))
         entries = shared.select("token", "cid", "size", "pos").join(label.select("cid", "cls", "comp").hint("merge"), "cid").drop("cid")
+        entries = materialize(entries, "entries")
         mixed = entries.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("group"), F.sum("size").alias("sizes")).filter("lo < hi").select("token", "group", F.ceil(F.col("sizes") / BLOCK_SHINGLES).alias("blocks"))
-        open_rows = materialize(entries.join(mixed.hint("merge"), "token"), "open")
+        mixed = materialize(mixed, "mixed")
+        open_rows = materialize(salted_join(entries, mixed, "token", hot_keys(mixed, "token", "group")), "open")
         a, b = (open_rows.filter(F.col("group") <= GROUP).select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("cls", "comp", "size", "pos")]) for x in "ab")
         where = f"""comp_a <> comp_b and (size_a < size_b or size_a = size_b and cls_a < cls_b)
             and {DEN} * size_a >= {NUM} * size_b
@@ -375,12 +407,11 @@ class NearDuplicates:
         links_b = materialize(few.union(many), "links")
         edges = comp_a.filter("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v")).union(links_b.select("a", "b"))
         comp = components(edges)
-        names = comp.join(classes.select(F.col("cls").alias("node"), "rep").hint("merge"), "node").groupBy("component").agg(F.min("rep").alias("component_id"))
-        self.labels = materialize(comp.join(names.hint("merge"), "component").select(F.col("node").alias("cls"), "component_id"), "labels")
-        drop_scratch(shared, named, held, links_a, links_b, comp_a, open_rows)
+        # a component is named by the node of its least doc_id
+        self.labels = materialize(comp.mapInArrow(_least_ids, "cls binary, component_id bigint"), "labels")
+        drop_scratch(shared, named, held, links_a, links_b, comp_a, entries, mixed, open_rows)
         sketch.unpersist()
         self.classes, self.rows = classes, rows
-        release(spark)
 
     def _check(self, pairs: DataFrame, held: DataFrame) -> DataFrame:
         pairs = pairs.mapInArrow(_suffix_filter, "a binary, b binary")
@@ -391,14 +422,15 @@ class NearDuplicates:
     def table(self) -> DataFrame:
         """doc_id, n_shingles, component_id, class_id: one row for each row of documents."""
         labels = self.classes.select("cls", "rep").join(self.labels.hint("merge"), "cls", "left")
-        out = self.rows.select("doc_id", "n", "cls").join(labels.hint("merge"), "cls", "left")
-        return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "rep", "doc_id").alias("component_id"), F.coalesce("rep", "doc_id").alias("class_id"))
-
+        rows = self.rows.select("doc_id", "n", "cls")
+        named = salted_join(rows.filter("cls is not null"), labels, "cls", hot_keys(self.classes, "cls", "n_rows"))
+        named = named.select("doc_id", "n", F.coalesce("component_id", "rep").alias("component_id"), F.col("rep").alias("class_id"))
+        blank = rows.filter("cls is null").select("doc_id", "n", F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id"))
+        return named.union(blank).withColumnRenamed("n", "n_shingles")
 
-def _with_cid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        cid = np.frombuffer(b"".join(batch.column(0).to_pylist()), "<i8")[::2]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cid, pa.int64())], names=["cls", "rep", "n", "bins", "cid"])
+    def close(self) -> None:
+        """Deletes the tables; table() can't be read afterwards."""
+        drop_scratch(self._described, self.classes, self.labels)
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
@@ -411,7 +443,9 @@ def keep_one(documents: DataFrame) -> DataFrame:
 
     Documents without words link to nothing and stay; rows without doc_id stay.
     """
-    losers = near_duplicates(columns(documents, "doc_id", "text")).filter("component_id <> doc_id").select("doc_id").distinct()
+    found = NearDuplicates(columns(documents, "doc_id", "text"))
+    losers = materialize(found.table().filter("component_id <> doc_id").select("doc_id").distinct(), "losers")
+    found.close()
     return documents.join(losers.hint("merge"), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in documents.columns])
 
 

@@ -4,7 +4,7 @@ import random
 import re
 
 import corpus_pipeline
-from terralith.llm import decontaminate, licenses, ngram_join, pieces, quality
+from terralith.llm import common, decontaminate, licenses, ngram_join, pieces, quality
 
 WORDS = [f"w{i}" for i in range(400)]
 _W = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -73,11 +73,30 @@ def test_ngram_join_in_blocks(spark, monkeypatch):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute_components(rows)
 
 
+def test_ngram_join_of_one_group(spark, monkeypatch):
+    """Nine of ten rows are copies of one text, or near copies of it, or blank."""
+    monkeypatch.setattr(common, "HOT_ROWS", 8)
+    rng = random.Random(5)
+    text = rng.choices(WORDS, k=60)
+    rows = [(i, " ".join(text) if i % 10 < 4 else " ".join(text[:55] + rng.choices(WORDS, k=2)) if i % 10 < 7 else None if i % 10 < 9 else " ".join(rng.choices(WORDS, k=30))) for i in range(400)]
+    got = ngram_join.NearDuplicates(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.table().collect()) == brute_components(rows)
+    got.close()
+
+
 def test_ngram_join_edges(spark):
     rows = [(None, "a b c d e f"), (7, None), (8, "a b c d e f"), (8, "a b c d e f"), (9, "other words are here now")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(df).collect()), key=str)
     assert got == sorted([(None, 2, 8), (7, 0, 7), (8, 2, 8), (8, 2, 8), (9, 1, 9)], key=str)
+    near = [(None, "a b c d e f g h i j"), (4, "a b c d e f g h i"), (None, "k l m n o p q r s t"), (None, "k l m n o p q r s")]
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(spark.createDataFrame(near, "doc_id bigint, text string")).collect()), key=str)
+    assert got == sorted([(None, 6, 4), (4, 5, 4), (None, 6, None), (None, 5, None)], key=str)
+    a, b = "a", "b"
+    for _ in range(10):  # words that polynomials modulo powers of two can't tell apart
+        a, b = a + b, b + a
+    got = ngram_join.near_duplicates(spark.createDataFrame([(1, a), (2, b), (3, a)], "doc_id bigint, text string"))
+    assert sorted((r.doc_id, r.component_id) for r in got.collect()) == [(1, 1), (2, 2), (3, 1)]
     assert ngram_join.near_duplicates(df.limit(0)).count() == 0
     assert sorted(r.doc_id or 0 for r in ngram_join.keep_one(df.filter("doc_id > 0").selectExpr("*", "1 as extra")).collect()) == [7, 8, 8, 9]
 
@@ -109,6 +128,20 @@ def test_decontamination(spark, monkeypatch):
     assert decontaminate.find(d, b.limit(0)).count() == 0 and decontaminate.find(d.limit(0), b).count() == 0
 
 
+def test_decontamination_of_a_long_text(spark, monkeypatch):
+    """5 MB with many items in it, while the sketch is dealt by hash."""
+    monkeypatch.setattr(decontaminate, "BROADCAST_SHINGLES", 0)
+    monkeypatch.setattr(decontaminate, "BROADCAST_KEYS", 0)
+    rng = random.Random(9)
+    items = [(i, " ".join(rng.choices(WORDS, k=8 + i % 40))) for i in range(300)]
+    filler = " ".join(rng.choices(WORDS, k=4000))
+    text = "\n".join(f"{filler} {t}" for _, t in items[:200])
+    assert len(text) > 3_000_000
+    d = spark.createDataFrame([(1, text), (2, items[250][1]), (3, filler)], "doc_id bigint, text string")
+    got = sorted(tuple(r)[:2] for r in decontaminate.find(d, spark.createDataFrame(items, "item_id bigint, text string")).collect())
+    assert got == [(1, i) for i in range(200)] + [(2, 250)]
+
+
 def test_quality(spark):
     rng = random.Random(1)
     good = lambda: ". ".join(" ".join(rng.choices(WORDS, k=9)).capitalize() for _ in range(rng.randint(2, 8))) + "."
