@@ -3,12 +3,17 @@
 encode() writes streams of 8-bit mono samples: STREAMINFO with the MD5 of the samples, a SEEKTABLE with a point for each
 frame, and frames of `FRAME` samples whose subframe is constant, verbatim, or a fixed linear predictor of order 0 to 2
 with Rice residuals. decode() takes the frames of all streams of a batch at once: the seek table gives their places, both
-checksums of each frame are verified, and sample i of every frame is read in step i. decode_stream() is the plain reader
-for any stream of up to two channels (all predictors, partitions, escapes, wasted bits, stereo modes); it also takes
-whatever the batch reader doesn't know. A damaged stream raises ValueError.
+checksums of each frame are verified, and sample i of every frame is read in step i, with all fixed and general linear
+predictors and Rice partitions. decode_stream() is the plain reader for any stream of up to two channels (escapes, wasted
+bits, stereo modes and streams without seek points too); it takes whatever the batch reader doesn't. A damaged stream
+raises ValueError.
+
+store() writes the streams, write_blocks() reads them, decodes and writes each document's PCM blocks with their sample
+offsets, and digests() reads the blocks. All are tables in the shared folder.
 
 A payload is a text's UTF-8 bytes and zero bytes up to a positive multiple of 64; a byte b is the sample b - 128. null is
-an empty text, so 64 zero bytes. Repeated rows stay rows.
+an empty text, so 64 zero bytes. Repeated rows stay rows. A text longer than a step is one step, at some 100 bytes of a
+worker a byte.
 """
 
 from __future__ import annotations
@@ -23,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terralith.llm.common import binary_column, text_steps
+from terralith.llm.common import binary_column, drop_scratch, materialize, text_steps
 
 FRAME = 1024
 UNIT = 64
@@ -31,6 +36,8 @@ RATE = 8000
 #: Samples of a PCM block, at most.
 PCM_BLOCK = 16_384
 STEP = 1_000_000
+#: Parts of the corpus whose media are on disk one after the other.
+WAVES = 2
 
 
 def _table(poly: int, bits: int) -> np.ndarray:
@@ -223,9 +230,17 @@ class _Bits:
 
     def unary(self) -> int:
         n = 0
-        while not self.read(1):
-            n += 1
-        return n
+        while True:
+            a, left = self.at >> 3, 64 - (self.at & 7)
+            got = int.from_bytes(self.raw[a : a + 8].ljust(8, b"\0"), "big") & ((1 << left) - 1)
+            if got:
+                n += left - got.bit_length()
+                self.at += left - got.bit_length() + 1
+                return n
+            if a + 8 >= len(self.raw):
+                raise ValueError("the stream ends early")
+            n += left
+            self.at += left
 
 
 _FIXED = ([], [1], [2, -1], [3, -3, 1], [4, -6, 4, -1])
@@ -329,6 +344,52 @@ def decode_stream(raw: bytes) -> np.ndarray:
     return samples
 
 
+def _residuals(raw: np.ndarray, pos: np.ndarray, n: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(folded Rice residuals of every frame, frames with escapes or codes of other kinds, which aren't read).
+
+    pos: the bit where each frame's residual begins; frames stand in descending order of n - order. Residual j of all
+    frames is read in step j; a frame takes a new parameter where a partition begins.
+    """
+    pos = pos.copy()
+    word = np.zeros(len(raw), dtype=np.uint32)
+    word[:-3] = raw[:-3].astype(np.uint32) << 24 | raw[1:-2].astype(np.uint32) << 16 | raw[2:-1].astype(np.uint32) << 8 | raw[3:]
+    bits = np.unpackbits(raw)
+    ones = np.where(bits, np.arange(len(bits), dtype=np.int32), np.int32(len(bits)))
+    ahead = np.minimum.accumulate(ones[::-1])[::-1]
+    del bits, ones
+    head = word[pos >> 3].astype(np.int64) >> (26 - (pos & 7)) & 63
+    wide = np.where(head >> 4 == 1, 5, 4)
+    part = n >> (head & 15)
+    odd = (head >> 4 > 1) | (n & ((1 << (head & 15)) - 1) > 0) | (part < order) | ((part == order) & (part < n))
+    pos += 6
+    k = np.zeros(len(n), dtype=np.int64)
+    left = np.where(odd, 0, n - order)
+    rows = np.argsort(-left, kind="stable")
+    order, wide, part, left, pos, k = order[rows], wide[rows], part[rows], left[rows], pos[rows], k[rows]
+    several = part < n[rows]
+    bad = np.zeros(len(n), dtype=bool)
+    active = np.searchsorted(-left, -np.arange(int(left.max(initial=0))), side="left")
+    z = np.zeros((len(n), FRAME), dtype=np.int64)
+    any_parts = bool(several.any())
+    for j, m in enumerate(active):
+        if j == 0 or any_parts:
+            new = np.flatnonzero((order[:m] + j) % part[:m] == 0) if j else np.arange(m)
+            p, w = pos[new], wide[new]
+            k[new] = word[p >> 3].astype(np.int64) >> (32 - (p & 7) - w) & ((1 << w) - 1)
+            pos[new] = p + w
+            escape = new[(k[new] == (1 << w) - 1) | (k[new] > 24)]
+            bad[escape], k[escape] = True, 0
+        p, kk = pos[:m], k[:m]
+        stop = ahead[np.minimum(p, len(ahead) - 1)].astype(np.int64)
+        s = np.minimum(stop + 1, len(ahead) - 40)
+        z[:m, j] = (stop - p) << kk | word[s >> 3].astype(np.int64) >> (32 - (s & 7) - kk) & ((1 << kk) - 1)
+        pos[:m] = s + kk
+    out = np.empty_like(z)
+    out[rows] = z
+    odd[rows] |= bad
+    return out, odd
+
+
 def decode_batch(streams: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(samples as bytes b = sample + 128, offsets by stream) of 8-bit mono streams."""
     infos = [_info(s) for s in streams]
@@ -338,7 +399,7 @@ def decode_batch(streams: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     known = [k for k, (i, _) in enumerate(infos) if "seek" in i and i["channels"] == 1 and i["depth"] == 8 and i["frame"] == FRAME and len(i["seek"]) == -(-i["samples"] // FRAME)]
     odd = set(range(len(streams))) - set(known)
     base = np.concatenate([[0], np.cumsum([len(s) for s in streams])])
-    raw = np.frombuffer(b"".join(streams) + bytes(8), np.uint8)
+    raw = np.frombuffer(b"".join(streams) + bytes(16), np.uint8)
     if known:
         begin, end, to, n = [], [], [], []
         for k in known:
@@ -361,55 +422,56 @@ def decode_batch(streams: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
                 c = _CRC8[c ^ raw[rows + j]]
             if c.any():  # the checksum of a header with its checksum is 0
                 raise ValueError("a frame header is damaged")
-        kind = raw[sub] >> 1
-        order = np.where((kind >= 8) & (kind <= 10), kind.astype(np.int64) - 8, 0)
+        kind = (raw[sub] >> 1).astype(np.int64)
+        fixed, lpc = (kind >= 8) & (kind <= 12), kind >= 32
+        coded = fixed | lpc
+        order = np.where(fixed, kind - 8, np.where(lpc, kind - 31, 0))
+        strange = ~(coded | (kind <= 1)) | (raw[sub] & 1 > 0) | (order > n)  # reserved kinds and wasted bits
         x = np.zeros((len(begin), FRAME), dtype=np.int32)
-        f = np.flatnonzero(kind == 0)
+        f = np.flatnonzero((kind == 0) & ~strange)
         x[f] = raw[sub[f] + 1].view(np.int8)[:, None]
-        f = np.flatnonzero(kind == 1)
+        f = np.flatnonzero((kind == 1) & ~strange)
         for j in range(int(n[f].max(initial=0))):
             g = f[n[f] > j]
             x[g, j] = raw[sub[g] + 1 + j].view(np.int8)
-        rice = (kind >= 8) & (kind <= 10)
+        weights, shift = np.zeros((len(begin), 32), dtype=np.int64), np.zeros(len(begin), dtype=np.int64)
+        for o, w in enumerate(_FIXED):
+            weights[np.ix_(fixed & (order == o), range(o))] = w
         after = (sub + 1 + order) * 8
-        rice_head = raw[after >> 3].astype(np.int64) << 8 | raw[(after >> 3) + 1]
-        strange = ~(rice | (kind <= 1)) | rice & (rice_head >> 10 != 0)  # other predictors or partitions
-        f = np.flatnonzero(rice & ~strange)
+        for k in np.flatnonzero(lpc & ~strange):
+            bits = _Bits(raw.data, 0)
+            bits.at = int(after[k])
+            precision, shift[k] = bits.read(4) + 1, bits.signed(5)
+            weights[k, : order[k]] = [bits.signed(precision) for _ in range(order[k])]
+            after[k] = bits.at
+            strange[k] |= shift[k] < 0
+        f = np.flatnonzero(coded & ~strange)
         if len(f):
             f = f[np.argsort(-(n[f] - order[f]), kind="stable")]
-            bits = np.unpackbits(raw)
-            ones = np.where(bits, np.arange(len(bits), dtype=np.int32), np.int32(len(bits)))
-            ahead = np.minimum.accumulate(ones[::-1])[::-1]
-            del bits, ones
-            word = np.zeros(len(raw), dtype=np.uint32)
-            word[:-3] = raw[:-3].astype(np.uint32) << 24 | raw[1:-2].astype(np.uint32) << 16 | raw[2:-1].astype(np.uint32) << 8 | raw[3:]
-            k = rice_head[f] >> 6 & 15
-            mask, pos, row_order = (1 << k) - 1, after[f] + 10, order[f]
-            left = n[f] - row_order
-            active = np.searchsorted(-left, -np.arange(int(left[0])), side="left")
-            z = np.zeros((len(f), FRAME), dtype=np.int64)
-            for j, m in enumerate(active):
-                p, kk = pos[:m], k[:m]
-                stop = ahead[p].astype(np.int64)
-                s = stop + 1
-                z[:m, j] = (stop - p) << kk | word[s >> 3].astype(np.int64) >> (32 - (s & 7) - kk) & mask[:m]
-                pos[:m] = s + kk
+            z, odd_ones = _residuals(raw, after[f], n[f], order[f])
+            strange[f[odd_ones]] = True
             e = (z >> 1 ^ -(z & 1)).astype(np.int32)
-            for o in range(3):
-                rows = np.flatnonzero(row_order == o)
-                if not len(rows):
-                    continue
+            for o in np.unique(order[f]):
+                rows = np.flatnonzero(order[f] == o)
                 g = f[rows]
                 v = np.zeros((len(rows), FRAME), dtype=np.int32)
                 v[:, o:] = e[rows][:, : FRAME - o]
-                warm = [raw[sub[g] + 1 + t].view(np.int8).astype(np.int32) for t in range(o)]
-                if o == 1:
-                    v[:, 0] = warm[0]
-                elif o == 2:
-                    v[:, 1] = warm[1] - warm[0]
+                for t in range(o):
+                    v[:, t] = raw[sub[g] + 1 + t].view(np.int8)
+                simple = fixed[g[0]] and o <= 2 and fixed[g].all()
+                if o == 2 and simple:
+                    v[:, 1] -= v[:, 0]
+                    first = v[:, 0].copy()
                     v[:, 1:] = np.cumsum(v[:, 1:], axis=1)
-                    v[:, 0] = warm[0]
-                x[g] = np.cumsum(v, axis=1) if o else v
+                    v[:, 0] = first
+                if simple:
+                    x[g] = np.cumsum(v, axis=1) if o else v
+                else:
+                    w, s = weights[g, :o][:, ::-1], shift[g]
+                    v = v.astype(np.int64)
+                    for j in range(o, int(n[g].max())):
+                        v[:, j] += (v[:, j - o : j] * w).sum(axis=1) >> s
+                    x[g] = v
         inside = np.arange(FRAME)[None, :] < n[:, None]
         at = (to[:, None] + np.arange(FRAME)[None, :])[inside]
         result[at] = (x[inside] + 128).astype(np.uint8)
@@ -466,28 +528,98 @@ def decode(media: DataFrame) -> DataFrame:
     return media.filter("media is not null").select("doc_id", "media").mapInArrow(_blocks, "doc_id bigint, sample_offset bigint, n_samples bigint, pcm binary")
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+#: What a table of PCM blocks holds: the blocks of a document in order, and what is known of its stored stream.
+BLOCKS = "doc_id bigint, n_bytes bigint, media_bytes bigint, media_sha256 string, blocks array<struct<sample_offset:bigint,n_samples:bigint,pcm:binary>>"
+
+
+def _block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, streams in _media_steps(batch, 2):
             data, past = decode_batch(streams)
-            s = data.astype(np.int64) - 128
-            first, size = past[:-1], np.diff(past)
-            energy, mean = np.add.reduceat(s * s, first), np.add.reduceat(s, first)
+            size = np.diff(past)
+            n_blocks = -(-size // PCM_BLOCK)
+            ends = np.cumsum(n_blocks)
+            at = (np.arange(int(ends[-1])) - np.repeat(ends - n_blocks, n_blocks)) * PCM_BLOCK
+            start = np.repeat(past[:-1], n_blocks) + at
+            pcm = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(np.append(start, past[-1]).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+            length = np.minimum(PCM_BLOCK, np.repeat(size, n_blocks) - at)
+            blocks = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.StructArray.from_arrays([pa.array(at, pa.int64()), pa.array(length, pa.int64()), pcm], ["sample_offset", "n_samples", "pcm"]))
+            n = len(streams)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, n), batch.column(1).slice(lo, n), pa.array([len(s) for s in streams], pa.int64()), pa.array([hashlib.sha256(s).hexdigest() for s in streams], pa.string()), blocks], names=["doc_id", "n_bytes", "media_bytes", "media_sha256", "blocks"])
+
+
+def store(documents: DataFrame) -> DataFrame:
+    """encode(documents) as a table in the shared folder."""
+    return materialize(encode(documents), "media")
+
+
+def write_blocks(media: DataFrame) -> DataFrame:
+    """A table in the shared folder of each document's PCM blocks, decoded from its stored stream; the last block's end is the stream's."""
+    return materialize(media.select("doc_id", "n_bytes", "media").mapInArrow(_block_rows, BLOCKS), "pcm")
+
+
+def seek(blocks: DataFrame, sample: int) -> DataFrame:
+    """doc_id, sample_offset, n_samples and pcm of the block with that sample of every document that has it."""
+    found = blocks.select("doc_id", F.element_at("blocks", F.when(F.size("blocks") > sample // PCM_BLOCK, sample // PCM_BLOCK + 1).otherwise(1)).alias("b"))
+    return found.select("doc_id", "b.*").filter(F.lit(sample).between(F.col("sample_offset"), F.col("sample_offset") + F.col("n_samples") - 1))
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The digests and features of stored blocks; a document's blocks must follow one another without gaps."""
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        col = batch.column(4)
+        row = col.offsets.to_numpy()
+        parts = [col.values.field(k) for k in range(3)]
+        offset, length = parts[0].to_numpy(), parts[1].to_numpy()
+        for i in range(batch.num_rows):
+            a, b = row[i], row[i + 1]
+            if (offset[a:b] != np.concatenate([[0], np.cumsum(length[a:b])[:-1]])).any():
+                raise ValueError("blocks are missing")
+        raw = parts[2].buffers()[2]
+        at = np.frombuffer(parts[2].buffers()[1], np.int32)[parts[2].offset : parts[2].offset + len(parts[2]) + 1].astype(np.int64)
+        past = at[row]
+        data = np.frombuffer(raw, np.uint8)
+        lo = 0
+        while lo < batch.num_rows:  # steps of bounded size
+            hi = max(lo + 1, int(np.searchsorted(past, past[lo] + STEP, side="right")) - 1)
+            first, size = past[lo:hi] - past[lo], np.diff(past[lo : hi + 1])
+            s = data[past[lo] : past[hi]].astype(np.int64) - 128
+            energy, total = np.add.reduceat(s * s, first), np.add.reduceat(s, first)
             peak = np.maximum.reduceat(np.abs(s), first)
             turns = np.zeros(len(s), dtype=np.int64)
             turns[1:] = (s[1:] < 0) != (s[:-1] < 0)
             turns[first] = 0
             crossings = np.add.reduceat(turns, first)
-            out = [[], [], [], [], []]
-            for i, raw in enumerate(streams):
-                a, b = past[i], past[i + 1]
-                values = (hashlib.sha256(data[a:b]).hexdigest(), zlib.crc32(data[b - UNIT : b]), len(raw), hashlib.sha256(raw).hexdigest(), f"samples={size[i]} sum={mean[i]} energy={energy[i]} peak={peak[i]} crossings={crossings[i]}")
-                for col, v in zip(out, values, strict=True):
-                    col.append(v)
-            n = len(streams)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, n), batch.column(1).slice(lo, n), pa.array(size, pa.int64()), pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.string()), pa.array(out[4], pa.string())], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+            sha, crc, feature = [], [], []
+            for i in range(hi - lo):
+                a, b = past[lo + i], past[lo + i + 1]
+                sha.append(hashlib.sha256(data[a:b]).hexdigest())
+                crc.append(zlib.crc32(data[b - UNIT : b]))
+                feature.append(f"samples={size[i]} sum={total[i]} energy={energy[i]} peak={peak[i]} crossings={crossings[i]}")
+            kept = [batch.column(k).slice(lo, hi - lo) for k in range(4)]
+            yield pa.RecordBatch.from_arrays([kept[0], kept[1], pa.array(size, pa.int64()), pa.array(sha, pa.string()), pa.array(crc, pa.int64()), kept[2], kept[3], pa.array(feature, pa.string())], names=names)
+            lo = hi
+
+
+def digests(blocks: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256 and feature of every document of a table of blocks.
+
+    feature: the samples' number, sum, energy (sum of squares), largest magnitude and changes of sign.
+    """
+    return blocks.mapInArrow(_digests, "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
 
 
 def op10_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
-    media = encode(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return media.mapInArrow(_digests, "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
+    """The digests of all documents' stored media. Documents go in `WAVES` waves by hash, so that the folder holds the
+    streams and blocks of one wave at a time; every document is in one wave."""
+    docs, out = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for wave in range(WAVES):
+        media = store(docs.filter(F.expr(f"pmod(xxhash64(doc_id, text), {WAVES}) = {wave}")))
+        blocks = write_blocks(media)
+        part = materialize(digests(blocks), "digests")
+        drop_scratch(media, blocks)
+        out = part if out is None else out.union(part)
+    return out
