@@ -4,7 +4,7 @@ DataFrame functions only. The trees are fitted on labelled URLs: those given (ur
 least xxhash64 of the URL first), or `labelled_urls()`, a seeded list of plain and unwanted addresses. The fitted trees are
 one expression over columns. Suffix statistics are smoothed shares of allowed URLs: for the last host label, and for the
 labels and dashed parts of the host, or learned parts of four letters or more inside them, of which the least counts; both for the `MAX_PARTS` commonest ones of the labelled
-URLs, others have the share of all. Without labels of both kinds the verdict is the commoner label, and allow without any.
+URLs that are in at least `LEAST_SEEN` of them, others have the share of all. In training, a URL's statistics come from the other folds. Without labels of both kinds the verdict is the commoner label, and allow without any.
 
 null URLs and those without :// have an empty host and path and no rule, and are judged like any. Repeated rows stay rows.
 Of fitting rules the longest wins; of equally long ones block wins.
@@ -24,29 +24,50 @@ from terralith.llm import gbt
 
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 MAX_TRAIN = 20_000
-MAX_PARTS = 200
+#: Suffixes and host parts that are kept, the commonest ones.
+MAX_PARTS = 300
+LEAST_SEEN = 8
+FOLDS = 5
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 FEATURES = ["f_bytes", "f_host", "f_path", "f_depth", "f_labels", "f_digits", "f_entropy", "f_params", "f_dashes", "f_escapes", "f_suffix", "f_part"]
 
 
-#: Words that make up the unwanted hosts of the labelled list.
-UNWANTED = "adult ads bets bonus casino cheap click dating deals download farm free gambling hack loans lottery malware pills poker porn prize replica sex slots spam torrent track viagra warez win x xxx".split()
-_SYLLABLES = "an ber con dor el fin gar hal in jo kel lor mar nor on per qui ran sel ther tion un ver wen yor zan".split()
+#: Words that unwanted addresses of the generated list use in hosts, and words that any address uses.
+UNWANTED = "adult ads bets bonus casino cheap click dating deals download earn escort fast free gambling hack loans lottery malware naked pills poker porn prize replica sex slots spam torrent track unlock viagra warez win x xxx".split()
+_PLAIN = "about archive art article blog book category city data docs events forum garden guide health help history home journal kids law library local map media music nature news notes page people photo post press product project recipe report research school science shop sport story team topic travel user video weather wiki work".split()
+_SYLLABLES = "an ber con dor el fin gar hal in jo kel lor mar nor on per qui ran sel ther tion un ver wen yor zan th st ou ble ing ed le re".split()
 
 
-def labelled_urls(n: int = 4000, seed: int = 11) -> list[tuple[str, int]]:
-    """(url, 1 to allow or 0): half plain addresses, half of hosts made of unwanted words; paths are drawn alike."""
+def labelled_urls(n: int = 8000, seed: int = 11) -> list[tuple[str, int]]:
+    """(url, 1 to allow or 0), half of each. Unwanted addresses are of several kinds, each of which shifts some of the lexical
+    features (length, depth, digits, entropy, parameters, labels, suffix, host words) without setting it apart from plain ones."""
     rng = random.Random(seed)
-    word = lambda: "".join(rng.choices(_SYLLABLES, k=rng.randint(2, 3)))
+    word = lambda: "".join(rng.choices(_SYLLABLES, k=rng.randint(2, 4)))
+    code = lambda k: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=k))
+    few = lambda k: min(int(rng.expovariate(1 / k)), 12)
     out = []
     for k in range(n):
-        if good := k % 2:
-            name = word() if rng.random() < 0.85 else f"{word()}-{word()}"
-        else:
-            name = rng.choice(["-", "-", "-", "", ""]).join([*rng.sample(UNWANTED, 2), *([str(rng.randint(1, 999))] if rng.random() < 0.2 else [])])
-        host = rng.choice(["", "", "www.", "m.", "blog."]) + name + rng.choice([".example", ""]) + rng.choice([".com", ".org", ".net"])
-        path = "/".join(["", rng.choice(["en", "de", "fr", "es", word()]), *[word() for _ in range(rng.randint(0, 2))], str(rng.randint(0, 99_999))])
-        out.append((rng.choice(["http://", "https://"]) + host + path + rng.choice(["", "/", ".html", "#top", "?utm_source=feed", "?page=2&ref=x"]), good))
+        good = k % 2
+        kind = "" if good else rng.choice(["words", "words", "words", "code", "maze", "query", "number"])
+        name = "-".join(rng.choice([word(), word(), rng.choice(_PLAIN)]) for _ in range(1 if rng.random() < 0.8 else 2))
+        if kind == "words":
+            name = rng.choice(["-", "-", ""]).join([*rng.sample(UNWANTED, 2), *([rng.choice([word(), str(rng.randint(1, 999))])] if rng.random() < 0.3 else [])])
+        elif kind == "code":
+            name = code(rng.randint(9, 24))
+        elif kind == "number":
+            name = rng.choice([".".join(str(rng.randint(1, 255)) for _ in range(3)), f"{word()}{rng.randint(1000, 99_999_999)}"])
+        labels = [rng.choice(["www", "m", "blog", "news", "docs", word()]) for _ in range(few(0.7) if kind != "maze" else 1 + few(2.5))][:6]
+        suffix = rng.choice(["com", "org", "net", "edu", "info", "de", "fr"]) if good or rng.random() < 0.6 else rng.choice(["xyz", "top", "click", "info", "biz", "ru"])
+        host = ".".join([*labels, name, *(["example"] if rng.random() < 0.4 else []), suffix])
+        steps = [rng.choice([rng.choice(_PLAIN), word(), str(rng.randint(0, 99_999)), rng.choice(["en", "de", "fr", "es", "2019/05"])]) for _ in range(few(2.0 if kind != "maze" else 4.5))]
+        if kind in ("code", "maze") and rng.random() < 0.6:
+            steps.append(code(rng.randint(12, 40)) + "".join(f"%{rng.randint(32, 255):02x}" for _ in range(few(2))))
+        path = "/".join(["", *steps]) + rng.choice(["", "", "/", ".html", ".php"])
+        pairs = [f"{rng.choice(['page', 'ref', 'id', 'q', 'lang', 'utm_source', 's'])}={rng.choice([word(), str(rng.randint(1, 999)), code(6)])}" for _ in range(few(0.6) if kind != "query" else 3 + few(3))]
+        tail = "?" + "&".join(pairs) if pairs else rng.choice(["", "", "", "#" + word()])
+        if kind == "query" and rng.random() < 0.6:
+            tail += "&u=" + "".join(f"%{rng.randint(32, 255):02X}" for _ in range(rng.randint(2, 12)))
+        out.append((rng.choice(["http://", "https://"]) + host + path + tail, good))
     return out
 
 
@@ -108,33 +129,50 @@ def _stats(groups: list[list[str]], y: np.ndarray, prior: float) -> dict[str, fl
     for names, label in zip(groups, y, strict=True):
         n.update(set(names))
         good.update(set(names) if label else ())
-    return {s: float((good[s] + 2 * prior) / (n[s] + 2)) for s in sorted(n, key=lambda s: (-n[s], s))[:MAX_PARTS]}
+    return {s: float((good[s] + 2 * prior) / (n[s] + 2)) for s in sorted(n, key=lambda s: (-n[s], s))[:MAX_PARTS] if n[s] >= LEAST_SEEN}
 
 
 def _map(stat: dict[str, float]) -> Column:
     return F.from_json(F.lit(json.dumps(stat)), "map<string,double>")
 
 
-def judge(pages: DataFrame, rules=RULES, labelled: DataFrame | None = None, most: int = MAX_TRAIN) -> DataFrame:
-    """page_id, host, path, rule and verdict of every page, and score, the trees' probability of allow."""
-    spark = pages.sparkSession
+def sample_of(spark: SparkSession, labelled: DataFrame | None, rules, most: int) -> list:
+    """The features of the labelled URLs (of `labelled_urls()` if none are given); at most `most` rows of a few numbers."""
     if labelled is None:
         listed = F.from_json(F.lit(json.dumps([{"url": u, "allow": a} for u, a in labelled_urls()])), "array<struct<url:string,allow:int>>")
         labelled = spark.range(1).select(F.inline(listed))
     chosen = labelled.select(F.col("`url`").cast("string").alias("url"), F.col("`allow`").cast("int").alias("allow")).filter("allow in (0, 1) and url is not null").orderBy(F.xxhash64("url"), "url", "allow").limit(most)
-    plain = FEATURES[:-2]
-    # bounded: `most` rows of a few numbers
-    sample = lexical(chosen.select(F.col("allow").alias("page_id"), "url"), rules).select("page_id", "suffix", "parts", *plain).collect()
+    return lexical(chosen.select(F.col("allow").alias("page_id"), "url"), rules).select("page_id", "suffix", "parts", *FEATURES[:-2]).collect()
+
+
+def prior_of(sample: list) -> float:
+    return (sum(r.page_id for r in sample) + 1) / (len(sample) + 2) if sample else 0.9
+
+
+def fit(sample: list) -> tuple[dict[str, float], dict[str, float], gbt.Forest]:
+    """(suffix statistics, host part statistics, trees)."""
     y = np.array([r.page_id for r in sample], dtype=float)
-    prior = float((y.sum() + 1) / (len(y) + 2)) if len(y) else 0.9
-    suffixes, parts = _stats([[r.suffix] for r in sample], y, prior), _stats([list(r.parts) for r in sample], y, prior)
-    inside = {p: v for p, v in parts.items() if len(p) >= 4}
+    prior = prior_of(sample)
+    host_suffix, host_parts = [[r.suffix] for r in sample], [list(r.parts) for r in sample]
+    suffixes, parts = _stats(host_suffix, y, prior), _stats(host_parts, y, prior)
+    x = np.array([[*(r[f] for f in FEATURES[:-2]), 0.0, 0.0] for r in sample]).reshape(len(sample), len(FEATURES))
+    for fold in range(FOLDS):  # a row's own label is in no statistic that it is given
+        mine = np.arange(len(y)) % FOLDS == fold
+        others = np.flatnonzero(~mine)
+        of_suffix, of_part = (_stats([groups[i] for i in others], y[others], prior) for groups in (host_suffix, host_parts))
+        long = {p: v for p, v in of_part.items() if len(p) >= 4}
+        for i in np.flatnonzero(mine):
+            x[i, -2] = of_suffix.get(host_suffix[i][0], prior)
+            x[i, -1] = min([*(of_part.get(n, prior) for n in host_parts[i]), *(v for p, v in long.items() if any(p in n for n in host_parts[i]))])
+    return suffixes, parts, gbt.fit(FEATURES, x, y, trees=60, least=20) if len(y) else gbt.Forest(FEATURES, 2.2)
 
-    def _least(names: list[str]) -> float:
-        return min([*(parts.get(n, prior) for n in names), *(v for p, v in inside.items() if any(p in n for n in names))])
 
-    x = np.array([[*(r[f] for f in plain), suffixes.get(r.suffix, prior), _least(r.parts)] for r in sample]).reshape(len(sample), len(FEATURES))
-    forest = gbt.fit(FEATURES, x, y) if len(y) else gbt.Forest(FEATURES, 2.2)
+def judge(pages: DataFrame, rules=RULES, labelled: DataFrame | None = None, most: int = MAX_TRAIN) -> DataFrame:
+    """page_id, host, path, rule and verdict of every page, and score, the trees' probability of allow."""
+    sample = sample_of(pages.sparkSession, labelled, rules, most)
+    prior = prior_of(sample)
+    suffixes, parts, forest = fit(sample)
+    inside = {p: v for p, v in parts.items() if len(p) >= 4}
     rows = lexical(pages, rules)
     own = F.array_min(F.transform("parts", lambda p: F.coalesce(F.element_at(_map(parts), p), F.lit(prior))))
     within = F.array_min(F.map_values(F.map_filter(_map(inside), lambda p, _: F.exists("parts", lambda n: F.contains(n, p)))))
