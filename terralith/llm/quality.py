@@ -7,7 +7,8 @@ a batch at once. Features are read from the bytes of the whole text; labels, lan
 The model is fitted on at most `MAX_TRAIN` labelled documents, those of least xxhash64(doc_id) among the rows whose
 crc32(doc_id as text) mod 5 is not 0. Without labels of both kinds the score is the smoothed share of label 1.
 
-null text is an empty text, and is scored. Repeated rows are scored alike. A document with two labels counts once for each.
+null text is an empty text, and is scored. Repeated rows are scored alike; in training they count once. A document with two
+labels counts once for each. A text longer than a step is one step, at some 40 bytes of a worker a byte.
 """
 
 from __future__ import annotations
@@ -185,12 +186,13 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(documents: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> Gam:
-    """Fits the model on at most `most` labelled documents (about 200 bytes each reach the driver)."""
+    """Fits the model on at most `most` labelled documents and rows of features (about 300 bytes each reach the driver)."""
     known = labels.select(F.col("`doc_id`").cast("bigint").alias("doc_id"), F.col("`quality`").cast("int").alias("y")).filter("doc_id is not null and y in (0, 1) and crc32(cast(cast(doc_id as string) as binary)) % 5 <> 0")
     chosen = known.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(most)
     docs = documents.select(F.col("`doc_id`").cast("bigint").alias("doc_id"), F.col("`text`").cast("string").alias("text"))
     picked = docs.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi").mapInArrow(_features, "doc_id bigint, x array<double>")
-    rows = picked.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "x").collect()
+    # rows that are alike count once, so that a repeated doc_id doesn't pass the bound
+    rows = picked.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "x").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "y", F.xxhash64("x")).limit(most).collect()
     rows.sort(key=lambda r: (r.doc_id, r.y, r.x))
     if not rows:
         return Gam()
