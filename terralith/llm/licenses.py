@@ -3,13 +3,14 @@
 DataFrame functions only. A paragraph is a line, or neighbouring lines over which a notice is wrapped; lines without letters
 and digits end it. Its grams are its lower-cased words of letters, digits, dots and dashes
 that hold a letter, and pairs of neighbours. A sparse multinomial logistic regression over the grams names a licence
-family or none; it is fitted here, on paragraphs made from the templates below and on paragraphs of ordinary prose, which
-make up the unknown class. Scores are divided by a temperature that makes held-back paragraphs likeliest, and families
-below `SURE` are unknown. A prediction holds only if one of the family's templates has at least `SAME` of its grams in
-the paragraph. As every template holds a word of `ANCHORS`, paragraphs without any are left out before the model is asked.
+family or none; it is fitted here, on paragraphs made from the templates below, and on ordinary prose and sentences of other
+licences, which make up the unknown class. Scores are divided by a temperature that makes held-back paragraphs likeliest,
+half of whose other licences are in no training paragraph, and families below `SURE` are unknown. A prediction holds only if one of the family's templates has at least `SAME` of its grams in
+the paragraph. What has none of the anchor words is left out before the model is asked; they are derived from the templates
+so that nothing without them can have that share of any template's grams, so this loses nothing.
 
 Of neighbouring lines, every run with fewer than `REACH` words between its first and last line is asked, with at most
-`REACH` words of those two; a template is far shorter, so however it is wrapped, some run holds it. Single lines that are
+`REACH` words of those two; a template is shorter, so however it is wrapped, some run holds it. Single lines that are
 found stand first. Then come the runs, most similar first, then shortest, then first, where no line is taken yet.
 
 null and blank texts have no rows; a document has one row for each licence paragraph, so repeated rows repeat them.
@@ -26,27 +27,44 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Short public wordings by which licences are named.
+#: Short public wordings by which licences are named, and telling sentences of their texts.
 TEMPLATES = {
-    "agpl": ["licensed under the gnu affero general public license version 3", "released under the agpl-3.0 license"],
-    "apache": ["licensed under the apache license version 2.0", "you may not use this file except in compliance with the license you may obtain a copy of the license at apache.org licenses license-2.0", "spdx-license-identifier apache-2.0"],
-    "bsd": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "released under the bsd 3-clause license", "licensed under the bsd license"],
-    "cc-by": ["licensed under cc by 4.0", "this work is licensed under a creative commons attribution 4.0 international license"],
-    "cc-by-nc": ["licensed under cc by-nc 4.0", "this work is licensed under a creative commons attribution-noncommercial 4.0 international license"],
-    "cc-by-sa": ["licensed under cc by-sa 4.0", "this work is licensed under a creative commons attribution-sharealike 4.0 international license"],
-    "cc0": ["released under cc0 1.0 universal public domain dedication", "this work has been dedicated to the public domain under cc0"],
-    "gpl": ["this work is licensed under the gnu general public license version 3", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "licensed under the gpl-3.0 license"],
-    "lgpl": ["licensed under the gnu lesser general public license version 2.1", "licensed under the lgpl-2.1 license"],
-    "mit": ["released under the mit license", "permission is hereby granted free of charge to any person obtaining a copy of this software", "licensed under the mit license"],
-    "mpl": ["this source code form is subject to the terms of the mozilla public license v 2.0", "licensed under the mpl-2.0 license"],
+    "agpl": ["licensed under the gnu affero general public license version 3", "released under the agpl-3.0 license", "gnu affero general public license", "agpl-3.0", "agpl-3.0-only", "agpl-3.0-or-later"],
+    "apache": ["licensed under the apache license version 2.0", "you may not use this file except in compliance with the license you may obtain a copy of the license at apache.org licenses license-2.0", "spdx-license-identifier apache-2.0", "apache license version 2.0", "apache-2.0", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"],
+    "boost": ["distributed under the boost software license version 1.0", "boost software license", "bsl-1.0"],
+    "bsd": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "released under the bsd 3-clause license", "licensed under the bsd license", "bsd 2-clause license", "bsd-3-clause", "bsd-2-clause", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software", "this software is provided by the copyright holders and contributors as is and any express or implied warranties are disclaimed"],
+    "cc-by": ["licensed under cc by 4.0", "this work is licensed under a creative commons attribution 4.0 international license", "cc-by-4.0"],
+    "cc-by-nc": ["licensed under cc by-nc 4.0", "this work is licensed under a creative commons attribution-noncommercial 4.0 international license", "cc-by-nc-4.0"],
+    "cc-by-sa": ["licensed under cc by-sa 4.0", "this work is licensed under a creative commons attribution-sharealike 4.0 international license", "cc-by-sa-4.0"],
+    "cc0": ["released under cc0 1.0 universal public domain dedication", "this work has been dedicated to the public domain under cc0", "cc0-1.0"],
+    "gpl": ["this work is licensed under the gnu general public license version 3", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "licensed under the gpl-3.0 license", "gnu general public license", "gpl-2.0", "gpl-3.0", "gpl-2.0-only", "gpl-2.0-or-later", "gpl-3.0-only", "gpl-3.0-or-later"],
+    "isc": ["isc license", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "spdx-license-identifier isc"],
+    "lgpl": ["licensed under the gnu lesser general public license version 2.1", "licensed under the lgpl-2.1 license", "gnu lesser general public license", "lgpl-2.1", "lgpl-3.0", "lgpl-2.1-only", "lgpl-2.1-or-later"],
+    "mit": ["released under the mit license", "permission is hereby granted free of charge to any person obtaining a copy of this software", "licensed under the mit license", "mit license", "spdx-license-identifier mit", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability"],
+    "mpl": ["this source code form is subject to the terms of the mozilla public license v 2.0", "licensed under the mpl-2.0 license", "mozilla public license version 2.0", "mpl-2.0"],
     "proprietary": ["all rights reserved", "this software is proprietary and confidential unauthorized copying of this file is strictly prohibited"],
+    "unlicense": ["this is free and unencumbered software released into the public domain", "the unlicense"],
+    "zlib": ["zlib license", "altered source versions must be plainly marked as such and must not be misrepresented as being the original software"],
 }
-ANCHORS = r"licen[cs]e|spdx|redistribut|permission|public domain|rights reserved|proprietary"
+#: Sentences of other licences, part of what the unknown class is made of.
+OTHERS = [
+    "the contributor hereby grants recipient a non-exclusive worldwide royalty-free patent license under licensed patents to make use sell and distribute the contribution",
+    "the font software may be modified altered or added to only if the fonts are renamed to names not containing the words reserved font name",
+    "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed",
+    "you may distribute your modified version as source either gratis or for a distributor fee provided that you clearly document how it differs from the standard version",
+    "the european commission grants the licensee a worldwide royalty-free non-exclusive sublicensable licence to use the work in any circumstances and for all usage",
+    "the licensor offers this database under the open database license and any rights in individual contents are licensed under the database contents license",
+    "by opening this package you accept the terms of this end user agreement which limits the number of computers on which the program may be installed",
+    "permission to copy this document without fee is granted provided that copies are not made for commercial advantage",
+]
+_BEFORE = ["", "", "", "licensed under the", "this work is licensed under the", "released under the", "under the terms of the", "spdx-license-identifier"]
+_AFTER = ["", "", "", "license", "version 2.0", "version 2.1", "version 3", "version 3.0 or later"]
 SURE, SAME = 0.5, 0.6
 #: Words that a run may have between its first and last line: half as many again as the longest template's.
 REACH = max(len(t.split()) for ts in TEMPLATES.values() for t in ts) * 3 // 2
-VOCABULARY = 400
-_PROSE = "the of and to in for is on that by with as it was at from are this be or an not have which all new can more about under one out if time there will work use copy person general source public terms free charge file version form rights software reserved released subject".split()
+VOCABULARY = 1200
+_STOP = "the of and to in for is on that by with as it was at from are this be or an not have which all a into been nor being may you its any no such other"
+_PROSE = f"{_STOP} new can more about under one out if time there will work use copy person general source public terms free charge file version form rights software reserved released subject kind name names notice code changes document permission granted used following must made copies except express fee forms law marked original provided published purpose required rights".split()
 
 
 def _grams(text: str) -> list[str]:
@@ -55,29 +73,57 @@ def _grams(text: str) -> list[str]:
     return sorted({*w, *(f"{a} {b}" for a, b in zip(w, w[1:], strict=False))})
 
 
+def _anchor_words() -> list[str]:
+    """Words of which each template's grams hold so many that a paragraph without them can't have `SAME` of the grams.
+
+    For each template words are taken, unusual ones first, until the grams that none of them is in are fewer than that.
+    """
+    taken: set[str] = set()
+    for text in (t for ts in TEMPLATES.values() for t in ts):
+        grams = [g.split() for g in _grams(text)]
+        for w in sorted({w for g in grams for w in g}, key=lambda w: (w in _STOP.split(), w in _PROSE, w not in taken, -sum(w in g for g in grams), w)):
+            if sum(not taken.intersection(g) for g in grams) < SAME * len(grams):
+                break
+            taken.add(w)
+    return sorted(taken)
+
+
+@lru_cache(maxsize=1)
+def anchors() -> str:
+    """A pattern that lower-cased text must match to hold a paragraph that a template confirms."""
+    return rf"(?<![a-z0-9])(?:{'|'.join(map(re.escape, _anchor_words()))})(?![a-z0-9])"
+
+
 @lru_cache(maxsize=1)
 def train(seed: int = 5) -> dict:
     """Vocabulary, weights (unknown last) and temperature; deterministic."""
     rng = random.Random(seed)
     families = [*TEMPLATES, ""]
     texts, y = [], []
+    of = {f: {w for t in ts for w in t.split()} for f, ts in TEMPLATES.items()}
+    own = {f: ws - set().union(*(v for g, v in of.items() if g != f)) for f, ws in of.items()}  # words that tell a family aren't left out
     for k, family in enumerate(families):
-        for _ in range(90):
+        for i in range(40 * len(TEMPLATES[family]) if family else 900):
             if family:
-                words = rng.choice(TEMPLATES[family]).split()
-                words = [w for w in words if rng.random() > 0.06]
-                words = rng.choices(_PROSE, k=rng.randint(0, 3)) + words + rng.choices(_PROSE, k=rng.randint(0, 5))
+                words = TEMPLATES[family][i % len(TEMPLATES[family])].split()
+                words = [w for w in words if w in own[family] or rng.random() > 0.06] or words
+                if len(words) < 6:  # a name stands alone or in any such phrase
+                    words = rng.choice(_BEFORE).split() + words + rng.choice(_AFTER).split()
+                words = rng.choices(_PROSE, k=rng.randint(0, 6)) + words + rng.choices(_PROSE, k=rng.randint(0, 12))
             else:
                 words = rng.choices(_PROSE, k=rng.randint(3, 40))
                 if rng.random() < 0.4:
-                    words.insert(rng.randrange(len(words)), rng.choice(["license", "licence", "permission", "licensed", "redistribute"]))
+                    words.insert(rng.randrange(len(words)), rng.choice(["license", "licence", "permission", "licensed", "redistribute", "warranty", "copyright"]))
+                if rng.random() < 0.4:  # another licence, whole or in part
+                    other = rng.choice(OTHERS[: len(OTHERS) // 2 if i % 5 else None]).split()
+                    words += other[: rng.randint(4, len(other))]
             texts.append(set(_grams(" ".join(words))))
             y.append(k)
     counts: dict[str, int] = {}
     for g in texts:
         for x in g:
             counts[x] = counts.get(x, 0) + 1
-    kept = {g for t in TEMPLATES.values() for s in t for g in _grams(s)} & set(counts)
+    kept = {g for ts in (*TEMPLATES.values(), OTHERS) for t in ts for g in _grams(t)} & set(counts)
     vocabulary = sorted(sorted(kept, key=lambda g: (-counts[g], g))[:VOCABULARY])
     at = {g: i for i, g in enumerate(vocabulary)}
     x = np.zeros((len(texts), len(vocabulary) + 1))
@@ -90,11 +136,16 @@ def train(seed: int = 5) -> dict:
     one = np.eye(len(families))[y]
     back = np.arange(len(y)) % 5 == 0
     w = np.zeros((x.shape[1], len(families)))
-    for _ in range(400):
-        z = x[~back] @ w
+    x = x.astype(np.float32)
+    seen, hot = x[~back], one[~back]
+    m, v = np.zeros_like(w), np.zeros_like(w)
+    for step in range(1, 301):  # Adam
+        z = seen @ w.astype(np.float32)
         p = np.exp(z - z.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
-        w += 0.5 * (x[~back].T @ (one[~back] - p) / (~back).sum() - 1e-4 * w)
+        g = seen.T @ (p - hot).astype(np.float32) / len(seen) + 1e-5 * w
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        w -= 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     z = x[back] @ w
 
     def loss(t: float) -> float:
@@ -116,7 +167,7 @@ def classify(text: str) -> tuple[str, float, float] | None:
     p /= p.sum()
     k = int(np.argmax(p))
     family = model["families"][k]
-    if not family or p[k] < SURE or not re.search(ANCHORS, re.sub(r"[^a-z0-9.\-]+", " ", text.lower())):
+    if not family or p[k] < SURE:
         return None
     same = max(len(set(_grams(t)) & set(grams)) / len(_grams(t)) for t in TEMPLATES[family])
     return (family, float(p[k]), same) if same >= SAME else None
@@ -142,7 +193,7 @@ def _runs(docs: DataFrame) -> DataFrame:
     """The lines, and runs of lines, that hold an anchor, each once: under the first line in which, or from which on, it has one."""
     words = F.transform("lines", lambda x: F.trim(F.regexp_replace(F.lower(x), r"[^a-z0-9.\-]+", " ")))
     docs = docs.select("row", "doc_id", _once(words).alias("w"))
-    held = F.transform("w", lambda x, i: F.when(F.concat_ws(" ", x, F.get(F.col("w"), i + 1)).rlike(ANCHORS), i))
+    held = F.transform("w", lambda x, i: F.when(x.rlike(anchors()), i))
     docs = docs.withColumn("at", _once(F.filter(held, lambda i: i.isNotNull())))
     lo = lambda a, k: F.greatest(F.coalesce(F.get(F.col("at"), k - 1) + 1, F.lit(0)), a - REACH)
     spots = docs.select("row", "doc_id", F.explode(F.transform("at", lambda a, k: F.struct(a.alias("a"), lo(a, k).alias("lo"), F.slice("w", lo(a, k) + 1, a - lo(a, k) + REACH + 2).alias("w")))).alias("s"))
@@ -162,7 +213,7 @@ def _runs(docs: DataFrame) -> DataFrame:
     words_of = lambda k: F.split(F.get(F.col("w"), k), " ")
     head, tail = words_of(F.lit(0)), words_of(F.col("j"))
     text = F.when(F.col("j") == 0, F.get("w", F.lit(0))).otherwise(F.concat_ws(" ", F.slice(head, F.greatest(F.size(head) - REACH + 1, F.lit(1)), REACH), F.slice("w", F.lit(2), F.greatest(F.col("j") - 1, F.lit(0))), F.slice(tail, 1, REACH)))
-    return runs.select("row", "doc_id", "first", (F.col("first") + F.col("j")).alias("last"), _once(text).alias("line")).filter(F.col("line").rlike(ANCHORS))
+    return runs.select("row", "doc_id", "first", (F.col("first") + F.col("j")).alias("last"), _once(text).alias("line")).filter(F.col("line").rlike(anchors()))
 
 
 def scan(documents: DataFrame) -> DataFrame:
@@ -170,7 +221,7 @@ def scan(documents: DataFrame) -> DataFrame:
     model = train()
     strings = lambda xs: F.from_json(F.lit(json.dumps(list(xs))), "array<string>")  # noqa: E731  folded into one literal
     docs = documents.select(F.col("`doc_id`").cast("bigint").alias("doc_id"), F.col("`text`").cast("string").alias("text"))
-    docs = docs.filter(F.col("text").rlike(f"(?i)({ANCHORS.replace(' ', '[^a-z0-9.-]+')})"))
+    docs = docs.filter(F.col("text").rlike(f"(?iu){anchors()}"))
     docs = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.split("text", r"\r\n|\n|\r").alias("lines"))
     rows = _runs(docs).select("row", "doc_id", "first", "last", _once(grams(F.col("line"))).alias("grams"))
     vocabulary = strings(model["vocabulary"])
