@@ -5,9 +5,9 @@ and digits end it. Its grams are its lower-cased words of letters, digits, dots
 that hold a letter, and pairs of neighbours. A sparse multinomial logistic regression over the grams names a licence
 family or none; it is fitted here, on paragraphs made from the templates below, and on ordinary prose and sentences of other
 licences, which make up the unknown class. Scores are divided by a temperature that makes held-back paragraphs likeliest,
-half of whose other licences are in no training paragraph, and families below `SURE` are unknown. A prediction holds only if one of the family's templates has at least `SAME` of its grams in
-the paragraph. What has none of the anchor words is left out before the model is asked; they are derived from the templates
-so that nothing without them can have that share of any template's grams, so this loses nothing.
+half of whose other licences are in no training paragraph, and families below `SURE` are unknown. A prediction holds only if one of the family's templates has enough of its grams in
+the paragraph. What doesn't match `ANCHORS` is left out before the model is asked; a template asks for a larger share than
+what doesn't match can have of it (`_share`), so this loses nothing.
 
 Of neighbouring lines, every run with fewer than `REACH` words between its first and last line is asked, with at most
 `REACH` words of those two; a template is shorter, so however it is wrapped, some run holds it. Single lines that are
@@ -32,7 +32,7 @@ TEMPLATES = {
     "agpl": ["licensed under the gnu affero general public license version 3", "released under the agpl-3.0 license", "gnu affero general public license", "agpl-3.0", "agpl-3.0-only", "agpl-3.0-or-later"],
     "apache": ["licensed under the apache license version 2.0", "you may not use this file except in compliance with the license you may obtain a copy of the license at apache.org licenses license-2.0", "spdx-license-identifier apache-2.0", "apache license version 2.0", "apache-2.0", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"],
     "boost": ["distributed under the boost software license version 1.0", "boost software license", "bsl-1.0"],
-    "bsd": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "released under the bsd 3-clause license", "licensed under the bsd license", "bsd 2-clause license", "bsd-3-clause", "bsd-2-clause", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software", "this software is provided by the copyright holders and contributors as is and any express or implied warranties are disclaimed"],
+    "bsd": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "released under the bsd 3-clause license", "licensed under the bsd license", "bsd 2-clause license", "bsd 3-clause license", "bsd-3-clause", "bsd-2-clause", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software", "this software is provided by the copyright holders and contributors as is and any express or implied warranties are disclaimed"],
     "cc-by": ["licensed under cc by 4.0", "this work is licensed under a creative commons attribution 4.0 international license", "cc-by-4.0"],
     "cc-by-nc": ["licensed under cc by-nc 4.0", "this work is licensed under a creative commons attribution-noncommercial 4.0 international license", "cc-by-nc-4.0"],
     "cc-by-sa": ["licensed under cc by-sa 4.0", "this work is licensed under a creative commons attribution-sharealike 4.0 international license", "cc-by-sa-4.0"],
@@ -59,11 +59,14 @@ OTHERS = [
 ]
 _BEFORE = ["", "", "", "licensed under the", "this work is licensed under the", "released under the", "under the terms of the", "spdx-license-identifier"]
 _AFTER = ["", "", "", "license", "version 2.0", "version 2.1", "version 3", "version 3.0 or later"]
-SURE, SAME = 0.5, 0.6
+SURE = 0.5
+SAME = 0.6
+#: What lower-cased words must match before the model is asked.
+ANCHORS = r"licen[cs]e|spdx|redistribut|permission|public domain|rights reserved|proprietary|warrant|gpl-[23]|apache-2|mpl-2|bsd-[23]|cc-by|cc0|bsl-1|endorse|misrepresented|unencumbered"
 #: Words that a run may have between its first and last line: half as many again as the longest template's.
 REACH = max(len(t.split()) for ts in TEMPLATES.values() for t in ts) * 3 // 2
 VOCABULARY = 1200
-_STOP = "the of and to in for is on that by with as it was at from are this be or an not have which all a into been nor being may you its any no such other"
+_STOP = "the of and to in for is on that by with as it was at from are this be or an not have which all a into been nor being may you its any no such other but"
 _PROSE = f"{_STOP} new can more about under one out if time there will work use copy person general source public terms free charge file version form rights software reserved released subject kind name names notice code changes document permission granted used following must made copies except express fee forms law marked original provided published purpose required rights".split()
 
 
@@ -73,25 +76,16 @@ def _grams(text: str) -> list[str]:
     return sorted({*w, *(f"{a} {b}" for a, b in zip(w, w[1:], strict=False))})
 
 
-def _anchor_words() -> list[str]:
-    """Words of which each template's grams hold so many that a paragraph without them can't have `SAME` of the grams.
-
-    For each template words are taken, unusual ones first, until the grams that none of them is in are fewer than that.
-    """
-    taken: set[str] = set()
-    for text in (t for ts in TEMPLATES.values() for t in ts):
-        grams = [g.split() for g in _grams(text)]
-        for w in sorted({w for g in grams for w in g}, key=lambda w: (w in _STOP.split(), w in _PROSE, w not in taken, -sum(w in g for g in grams), w)):
-            if sum(not taken.intersection(g) for g in grams) < SAME * len(grams):
-                break
-            taken.add(w)
-    return sorted(taken)
-
-
-@lru_cache(maxsize=1)
-def anchors() -> str:
-    """A pattern that lower-cased text must match to hold a paragraph that a template confirms."""
-    return rf"(?<![a-z0-9])(?:{'|'.join(map(re.escape, _anchor_words()))})(?![a-z0-9])"
+@lru_cache(maxsize=None)
+def _share(template: str) -> float:
+    """The share of a template's grams that confirms it: `SAME`, and more than what doesn't match `ANCHORS` can have, and more
+    than the grams that it has in common with other families, if it has any of its own."""
+    grams = _grams(template)
+    family = next(f for f, ts in TEMPLATES.items() if template in ts)
+    others = {g for f, ts in TEMPLATES.items() if f != family for t in ts for g in _grams(t)}
+    common = sum(g in others for g in grams)
+    loose = sum(not re.search(ANCHORS, g) for g in grams)
+    return max(SAME, (loose + 1) / len(grams), (common + 1) / len(grams) if common < len(grams) else 0)
 
 
 @lru_cache(maxsize=1)
@@ -169,8 +163,9 @@ def classify(text: str) -> tuple[str, float, float] | None:
     family = model["families"][k]
     if not family or p[k] < SURE:
         return None
-    same = max(len(set(_grams(t)) & set(grams)) / len(_grams(t)) for t in TEMPLATES[family])
-    return (family, float(p[k]), same) if same >= SAME else None
+    shares = [(len(set(_grams(t)) & set(grams)) / len(_grams(t)), _share(t)) for t in TEMPLATES[family]]
+    same = max((a for a, b in shares if a >= b), default=0.0)
+    return (family, float(p[k]), same) if same else None
 
 
 def _once(value: Column) -> Column:
@@ -193,7 +188,7 @@ def _runs(docs: DataFrame) -> DataFrame:
     """The lines, and runs of lines, that hold an anchor, each once: under the first line in which, or from which on, it has one."""
     words = F.transform("lines", lambda x: F.trim(F.regexp_replace(F.lower(x), r"[^a-z0-9.\-]+", " ")))
     docs = docs.select("row", "doc_id", _once(words).alias("w"))
-    held = F.transform("w", lambda x, i: F.when(x.rlike(anchors()), i))
+    held = F.transform("w", lambda x, i: F.when(F.concat_ws(" ", x, F.get(F.col("w"), i + 1)).rlike(ANCHORS), i))
     docs = docs.withColumn("at", _once(F.filter(held, lambda i: i.isNotNull())))
     lo = lambda a, k: F.greatest(F.coalesce(F.get(F.col("at"), k - 1) + 1, F.lit(0)), a - REACH)
     spots = docs.select("row", "doc_id", F.explode(F.transform("at", lambda a, k: F.struct(a.alias("a"), lo(a, k).alias("lo"), F.slice("w", lo(a, k) + 1, a - lo(a, k) + REACH + 2).alias("w")))).alias("s"))
@@ -213,7 +208,7 @@ def _runs(docs: DataFrame) -> DataFrame:
     words_of = lambda k: F.split(F.get(F.col("w"), k), " ")
     head, tail = words_of(F.lit(0)), words_of(F.col("j"))
     text = F.when(F.col("j") == 0, F.get("w", F.lit(0))).otherwise(F.concat_ws(" ", F.slice(head, F.greatest(F.size(head) - REACH + 1, F.lit(1)), REACH), F.slice("w", F.lit(2), F.greatest(F.col("j") - 1, F.lit(0))), F.slice(tail, 1, REACH)))
-    return runs.select("row", "doc_id", "first", (F.col("first") + F.col("j")).alias("last"), _once(text).alias("line")).filter(F.col("line").rlike(anchors()))
+    return runs.select("row", "doc_id", "first", (F.col("first") + F.col("j")).alias("last"), _once(text).alias("line")).filter(F.col("line").rlike(ANCHORS))
 
 
 def scan(documents: DataFrame) -> DataFrame:
@@ -221,7 +216,7 @@ def scan(documents: DataFrame) -> DataFrame:
     model = train()
     strings = lambda xs: F.from_json(F.lit(json.dumps(list(xs))), "array<string>")  # noqa: E731  folded into one literal
     docs = documents.select(F.col("`doc_id`").cast("bigint").alias("doc_id"), F.col("`text`").cast("string").alias("text"))
-    docs = docs.filter(F.col("text").rlike(f"(?iu){anchors()}"))
+    docs = docs.filter(F.col("text").rlike(f"(?i)({ANCHORS.replace(' ', '[^a-z0-9.-]+')})"))
     docs = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.split("text", r"\r\n|\n|\r").alias("lines"))
     rows = _runs(docs).select("row", "doc_id", "first", "last", _once(grams(F.col("line"))).alias("grams"))
     vocabulary = strings(model["vocabulary"])
@@ -238,10 +233,10 @@ def scan(documents: DataFrame) -> DataFrame:
     rows = rows.withColumn("confidence", _once(1 / total)).filter(F.col("confidence") >= SURE)
     same = None
     for k, forms in enumerate(TEMPLATES.values(), 1):
-        share = [F.size(F.array_intersect("grams", strings(_grams(t)))) / float(len(_grams(t))) for t in forms]
+        share = [F.when(F.size(F.array_intersect("grams", strings(_grams(t)))) >= _share(t) * len(_grams(t)), F.size(F.array_intersect("grams", strings(_grams(t)))) / float(len(_grams(t)))) for t in forms]
         best = F.greatest(*share) if len(share) > 1 else share[0]
         same = F.when(F.col("k") == k, best) if same is None else same.when(F.col("k") == k, best)
-    rows = rows.withColumn("similarity", _once(same)).filter(F.col("similarity") >= SAME)
+    rows = rows.withColumn("similarity", _once(same)).filter(F.col("similarity").isNotNull())
     length = F.col("last") - F.col("first")
     found = F.struct((length > 0).alias("joined"), (-F.col("similarity")).alias("_s"), length.alias("_n"), "first", "last", F.element_at(strings(TEMPLATES), F.col("k")).alias("family"), "confidence", "similarity")
     every = rows.groupBy("row", "doc_id").agg(F.sort_array(F.collect_list(found)).alias("every"))
