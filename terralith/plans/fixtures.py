@@ -43,7 +43,7 @@ VIEWS = {
     "theirs_t": """SELECT CAST(c_custkey AS BIGINT) AS id, CASE WHEN c_custkey % 11 = 0 THEN 'Y' ELSE c_mktsegment END AS a,
         CAST(CASE WHEN c_custkey % 5 = 0 THEN c_nationkey + 1 ELSE c_nationkey END AS BIGINT) AS b FROM {customer} WHERE c_custkey % 17 <> 0
         UNION ALL SELECT c_custkey + 1000000, c_mktsegment, c_nationkey FROM {customer} WHERE c_custkey % 19 = 0""",
-    "palette": "SELECT CAST(p_partkey AS BIGINT) AS ordinal, p_brand AS name, p_partkey * 7919 % 16777216 AS rgb FROM {part} WHERE p_partkey < 40",
+    "palette": "SELECT CAST(p_partkey AS BIGINT) AS ordinal, p_brand AS name, p_partkey * 7919 % 16777216 AS rgb FROM {part}",
     "rle": "SELECT CAST(l_orderkey AS BIGINT) AS ordinal, l_orderkey % 7 AS val, count(*) AS n FROM {lineitem} GROUP BY l_orderkey",
     "tiles": "SELECT CAST(p_partkey AS BIGINT) AS ordinal, p_partkey % 40 AS x, p_partkey DIV 40 AS y, 1 + p_size % 3 AS w, 1 + p_size % 2 AS h, p_partkey * 11 % 64 AS mask, CASE p_partkey % 4 WHEN 0 THEN 16 WHEN 1 THEN 32 WHEN 2 THEN 64 ELSE 128 END AS rot, p_type AS path FROM {part}",
     "settlements": "SELECT CAST(s_suppkey AS BIGINT) AS id, s_name AS region_key, s_suppkey * 13 % 53 AS x, s_suppkey * 29 % 33 AS y, s_suppkey % 4 AS kind FROM {supplier}",

@@ -213,14 +213,9 @@ def region_status(v):
     return regions.status(both, 50, 30).select("id", F.col("status").alias("kind"))
 
 
-@query("SELECT id, greatest(x - 7, 0) AS min_x, greatest(y - 7, 0) AS min_y, least(x + 7, 49) AS max_x, least(y + 7, 29) AS max_y FROM settlements s WHERE x BETWEEN 0 AND 49 AND y BETWEEN 0 AND 29 AND NOT EXISTS (SELECT 1 FROM areas a WHERE list = 0 AND ordinal < 60 AND s.x BETWEEN min_x AND max_x AND s.y BETWEEN min_y AND max_y)")
+@query("SELECT id, greatest(x - 7, 0) AS min_x, greatest(y - 7, 0) AS min_y, least(x + 7, 49) AS max_x, least(y + 7, 29) AS max_y FROM settlements s WHERE x BETWEEN 0 AND 49 AND y BETWEEN 0 AND 29 AND NOT EXISTS (SELECT 1 FROM areas a WHERE list = 2 AND s.x BETWEEN min_x AND max_x AND s.y BETWEEN min_y AND max_y)")
 def siege_boxes(v):
-    return regions.siege_boxes(spatial.boxes_by_list(v("settlements"), v("areas").filter("ordinal < 60"), {"std": 0}), 50, 30)
-
-
-@query()
-def siege_boxes_whole(v):
-    return regions.siege_boxes(spatial.boxes_by_list(v("settlements"), v("areas"), {"std": 0}), 50, 30)
+    return regions.siege_boxes(spatial.boxes_by_list(v("settlements"), v("areas"), {"std": 2}), 50, 30)
 
 
 @query("""WITH t AS (SELECT id, region_key AS k FROM settlements), f AS (SELECT id, list_reduce(list_prepend(CAST(2166136261 AS HUGEINT), list_transform(string_split(k, ''), lambda c: CAST(ascii(c) AS HUGEINT))), lambda h, b: (xor(h, b) * 16777619) % 4294967296) AS fnv FROM t) SELECT id, CAST(fnv AS BIGINT) AS fnv FROM f""")

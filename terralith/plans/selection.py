@@ -125,43 +125,24 @@ def settlement_lists(v):
     return spatial.boxes_by_list(v("settlements"), v("areas"), {"std": 0, "unf": 1, "gate": 2}).select("id", "std", "unf", "gate")
 
 
-@query("SELECT a.id, b.id AS other FROM props a JOIN props b ON a.id < b.id AND (a.x - b.x) * (a.x - b.x) + (a.z - b.z) * (a.z - b.z) <= 1 WHERE a.id % 3 = 0 AND b.id % 4 = 0")
+@query("SELECT a.id, b.id AS other FROM props a JOIN props b ON a.id < b.id AND (a.x - b.x) * (a.x - b.x) + (a.z - b.z) * (a.z - b.z) <= 1")
 def radius_join(v):
-    left = v("props").filter("id % 3 = 0").select("id", "x", "z")
-    right = v("props").filter("id % 4 = 0").select(F.col("id").alias("other"), F.col("x").alias("rx"), F.col("z").alias("rz"))
-    return spatial.within(left, right, 1.0).filter("id < other").select("id", "other")
-
-
-@query("SELECT a.id FROM props a WHERE a.id % 3 = 0 AND NOT EXISTS (SELECT 1 FROM props b WHERE b.id % 40 = 1 AND (a.x - b.x) * (a.x - b.x) + (a.z - b.z) * (a.z - b.z) <= 9)")
-def radius_anti_join(v):
-    right = v("props").filter("id % 40 = 1").select(F.col("x").alias("rx"), F.col("z").alias("rz"))
-    return spatial.within(v("props").filter("id % 3 = 0"), right, 3.0, "left_anti").select("id")
-
-
-@query()
-def radius_join_whole(v):
-    """radius_join of every prop with every other, without the bounds of its SQL; so are the other _whole queries."""
     right = v("props").select(F.col("id").alias("other"), F.col("x").alias("rx"), F.col("z").alias("rz"))
     return spatial.within(v("props").select("id", "x", "z"), right, 1.0).filter("id < other").select("id", "other")
 
 
-@query()
-def radius_anti_join_whole(v):
-    """Props with no other prop within 3: id is compared too, as each is near itself."""
+@query("SELECT a.id FROM props a WHERE NOT EXISTS (SELECT 1 FROM props b WHERE b.id <> a.id AND (a.x - b.x) * (a.x - b.x) + (a.z - b.z) * (a.z - b.z) <= 0.0625e0)")
+def radius_anti_join(v):
+    """Props with no other prop within a quarter: id is compared too, as each is near itself."""
     right = v("props").select(F.col("id").alias("other"), F.col("x").alias("rx"), F.col("z").alias("rz"))
-    near = spatial.within(v("props").select("id", "x", "z"), right, 3.0).filter("id <> other").select("id")
+    near = spatial.within(v("props").select("id", "x", "z"), right, 0.25).filter("id <> other").select("id")
     return v("props").select("id").join(near, "id", "left_anti")
 
 
 @query("""SELECT rgb, name, distance FROM (SELECT h.rgb, p.name, greatest(abs((h.rgb >> 16 & 255) - (p.rgb >> 16 & 255)), abs((h.rgb >> 8 & 255) - (p.rgb >> 8 & 255)), abs((h.rgb & 255) - (p.rgb & 255))) AS distance,
     row_number() OVER (PARTITION BY h.rgb ORDER BY greatest(abs((h.rgb >> 16 & 255) - (p.rgb >> 16 & 255)), abs((h.rgb >> 8 & 255) - (p.rgb >> 8 & 255)), abs((h.rgb & 255) - (p.rgb & 255))), p.ordinal) AS k
-    FROM (SELECT DISTINCT v * 251 % 16777216 AS rgb FROM raster WHERE x < 9) h CROSS JOIN palette p) WHERE k = 1""")
+    FROM (SELECT DISTINCT v * 251 % 16777216 AS rgb FROM raster) h CROSS JOIN palette p) WHERE k = 1""")
 def nearest_colour(v):
-    return spatial.nearest_colour(v("raster").filter("x < 9").selectExpr("v * 251 % 16777216 as rgb"), v("palette"))
-
-
-@query()
-def nearest_colour_whole(v):
     return spatial.nearest_colour(v("raster").selectExpr("v * 251 % 16777216 as rgb"), v("palette"))
 
 
