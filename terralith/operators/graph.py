@@ -15,6 +15,8 @@ from terralith.functions.hexgrid import neighbours
 
 #: Rounds that any loop may take before it is an error.
 MAX_ROUNDS = 10_000
+#: Cells a side of the blocks that components are labelled in.
+BLOCK = 64
 #: Hexes that a flood may fill, by contract.
 FLOOD_LIMIT = 20_000
 
@@ -24,6 +26,8 @@ def settle(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="terralith-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/terralith-loop-{uuid.uuid4().hex}"
@@ -72,16 +76,54 @@ def hex_edges(hexes: DataFrame, on: Column | None = None) -> DataFrame:
     return (out.filter(on) if on is not None else out).withColumnRenamed("id", "src")
 
 
+def _least_labels(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The least id that each node of one block's edges is connected with."""
+    ids, at = np.unique(pdf[["src", "dst"]].to_numpy().ravel(), return_inverse=True)
+    a, b = at.reshape(-1, 2).T
+    label = np.arange(len(ids))
+    while True:
+        least = np.minimum(label[a], label[b])
+        new = label.copy()
+        for side in (a, b, label[a], label[b]):
+            np.minimum.at(new, side, least)
+        new = new[new]
+        if (new == label).all():
+            return pd.DataFrame({"id": ids, "local": ids[label]})
+        label = new
+
+
+def label_in_blocks(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """label_components for edges (src, dst, src_block, dst_block) of a map cut into blocks of `BLOCK` cells a side.
+
+    A block is labelled by an array kernel in one task, which holds at most its own cells; only the labels that meet over the
+    borders of blocks go through the rounds.
+    """
+    edges = settle(edges.select("src", "dst", "src_block", "dst_block"))
+    inner = edges.filter("src_block = dst_block").groupBy("src_block").applyInPandas(lambda pdf: _least_labels(pdf), "id bigint, local bigint")
+    local = settle(nodes.select("id").join(inner, "id", "left").select("id", F.coalesce("local", "id").alias("local")))
+    ends = local.withColumnRenamed("local", "a"), local.select(F.col("id").alias("dst"), F.col("local").alias("b"))
+    over = edges.filter("src_block <> dst_block").join(ends[0].withColumnRenamed("id", "src"), "src").join(ends[1], "dst").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
+    over = settle(over)
+    names = label_components(over.select(F.col("src").alias("id")).union(over.select("dst")).distinct(), over)
+    return local.join(names.withColumnRenamed("id", "local"), "local", "left").select("id", F.coalesce("comp", "local").alias("comp"))
+
+
+def _block(x: str, y: str) -> Column:
+    return F.struct(F.expr(f"{x} div {BLOCK}"), F.expr(f"{y} div {BLOCK}"))
+
+
 def hex_components(hexes: DataFrame, same: str) -> DataFrame:
     """6-connected components of equal values."""
-    return label_components(hexes, hex_edges(hexes, F.col(same) == F.col(f"n_{same}")))
+    edges = hex_edges(hexes, F.col(same) == F.col(f"n_{same}"))
+    return label_in_blocks(hexes, edges.withColumns({"src_block": _block("col", "row"), "dst_block": _block("ncol", "nrow")}))
 
 
 def cell_components(cells: DataFrame) -> DataFrame:
-    """4-connected components of cells (id, x, y), with size and whether they touch the two outer rows or columns."""
+    """(id, comp) of the 4-connected components of cells (id, x, y)."""
     right = cells.select(F.col("id").alias("dst"), F.col("x").alias("_x"), F.col("y").alias("_y"))
-    steps = cells.select("id", F.inline(F.array(*[F.struct((F.col("x") + dx).alias("_x"), (F.col("y") + dy).alias("_y")) for dx, dy in ((1, 0), (0, 1))])))
-    return label_components(cells, steps.join(right, ["_x", "_y"]).select(F.col("id").alias("src"), "dst"))
+    steps = cells.select("id", "x", "y", F.inline(F.array(*[F.struct((F.col("x") + dx).alias("_x"), (F.col("y") + dy).alias("_y")) for dx, dy in ((1, 0), (0, 1))])))
+    edges = steps.join(right, ["_x", "_y"]).withColumnRenamed("id", "src")
+    return label_in_blocks(cells, edges.withColumns({"src_block": _block("x", "y"), "dst_block": _block("_x", "_y")}))
 
 
 def holes(cells: DataFrame, width: int, height: int) -> DataFrame:

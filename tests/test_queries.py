@@ -180,7 +180,8 @@ def union_find(cells, near):
     return groups
 
 
-def test_whole_components(spark, tmp_path):
+def test_whole_components(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("terralith.operators.graph.BLOCK", 7)  # many borders
     sf = small_map(spark, tmp_path, 60)
     cells = {(i % 50, i // 50): (i, (i // 50 // 3 * 5 + i % 50 // 4) % 12) for i in range(3000)}
     want = {k: len(g) for k, g in union_find(cells, lambda c: hex_ring(*c)).items()}
@@ -188,7 +189,8 @@ def test_whole_components(spark, tmp_path):
     assert got == want and max(want) >= 1500 and sum(want.values()) == 3000
 
 
-def test_whole_holes(spark, tmp_path):
+def test_whole_holes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("terralith.operators.graph.BLOCK", 7)
     sf = small_map(spark, tmp_path, 60)
     covered = set()
     for k in range(200):
