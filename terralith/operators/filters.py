@@ -20,6 +20,25 @@ TILE_SETS = {
 }
 
 
+#: Folders under campaign whose tiles are base tiles, besides those that begin with mountains.
+BASE_FOLDERS = ("generic", "generic_sea", "sea_coast")
+
+
+def base_tile(path: Column) -> Column:
+    """Whether the folder after the first campaign in a path holds base tiles; false without one."""
+    parts = F.filter(F.split(F.lower(path), r"[\\\\/]+"), lambda p: p != "")
+    folder = F.get(parts, F.array_position(parts, "campaign").cast("int"))
+    return F.coalesce((F.array_position(parts, "campaign") > 0) & (folder.isin(*BASE_FOLDERS) | folder.startswith("mountains")), F.lit(False))
+
+
+def is_new(rows: DataFrame, known: DataFrame | None, key: str, prefix: str) -> DataFrame:
+    """Rows with is_new: their key is not among the known ones or, where none is known, lacks the prefix."""
+    plain = ~F.col(key).startswith(prefix)
+    if known is None or known.isEmpty():
+        return rows.withColumn("is_new", plain)
+    return rows.join(known.select(key, F.lit(False).alias("_new")).distinct(), key, "left").withColumn("is_new", F.coalesce("_new", F.lit(True))).drop("_new")
+
+
 def field_filter(text: str, components: str = "components") -> Column:
     """One condition: EC.f=v, EC.f!=v, EC.f~v (contains, any case) or a bare EC. A missing field fails all of them."""
     comp = F.col(components)

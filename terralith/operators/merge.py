@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,3 +110,52 @@ def change_summary(changes: DataFrame) -> Column | DataFrame:
     """One text: each kind of change with its count, by name."""
     n = changes.groupBy("change").agg(F.count("*").alias("n"))
     return n.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("change", "n"))), lambda c: F.concat(c["n"].cast("string"), F.lit(" "), c["change"])), ", ").alias("summary"))
+
+
+def merge_order(ours: DataFrame, theirs: DataFrame, group: str, key: str, order: str) -> DataFrame:
+    """Keys of both sides with their place: ours in order, each key of theirs alone after the one that precedes it there.
+
+    A run of keys of theirs alone shares the last common key before it (none: the front), so places are one sort by that
+    key's place and the place in theirs; no side is folded row by row. Keys are distinct within a group.
+    """
+    at = Window.partitionBy(group).orderBy(order)
+    mine = ours.select(group, key, F.row_number().over(at).alias("_a"))
+    both = theirs.select(group, key, F.row_number().over(at).alias("_t")).join(mine, [group, key], "left")
+    after = F.last("_a", ignorenulls=True).over(Window.partitionBy(group).orderBy("_t").rowsBetween(Window.unboundedPreceding, 0))
+    alone = both.withColumn("_p", F.coalesce(after, F.lit(0))).filter("_a is null").select(group, key, "_p", "_t")
+    rows = mine.select(group, key, F.col("_a").alias("_p"), F.lit(0).alias("_t")).unionByName(alone)
+    return rows.select(group, key, F.row_number().over(Window.partitionBy(group).orderBy("_p", "_t")).alias("place"))
+
+
+def bulk_update(rows: DataFrame, condition: Column, changes: dict[str, Column]) -> DataFrame:
+    """Rows with changes where the condition holds, and edited: whether a value became another. A null condition changes nothing."""
+    hit = F.coalesce(condition, F.lit(False))
+    new = {c: F.when(hit, v).otherwise(F.col(c)) for c, v in changes.items()}
+    differs = reduce(lambda a, b: a | b, [~v.eqNullSafe(F.col(c)) for c, v in new.items()])
+    return rows.select(*[new[c].alias(c) if c in new else F.col(c) for c in rows.columns], differs.alias("edited"))
+
+
+def byte_parity(pairs: DataFrame, masks: Column) -> DataFrame:
+    """Built files (path, built, reference: binary) with status, first differing byte and how many differ; -1 without a reference.
+
+    masks: array of structs (lo, hi) per row; bytes from lo below hi count as equal. A longer tail counts whole.
+    """
+    @F.pandas_udf("first bigint, bytes bigint")
+    def compare(built: pd.Series, reference: pd.Series, lo: pd.Series, hi: pd.Series) -> pd.DataFrame:
+        out = []
+        for a, b, los, his in zip(built, reference, lo, hi, strict=True):
+            if b is None:
+                out.append((-1, -1))
+                continue
+            a = a or b""
+            n = min(len(a), len(b))
+            differ = np.frombuffer(a, np.uint8, n) != np.frombuffer(b, np.uint8, n)
+            for start, end in zip(los, his, strict=True):
+                differ[start:end] = False
+            at = np.flatnonzero(differ)
+            out.append((int(at[0]) if len(at) else n if len(a) != len(b) else -1, len(at) + abs(len(a) - len(b))))
+        return pd.DataFrame(out, columns=["first", "bytes"])
+
+    got = pairs.withColumn("_m", masks).withColumn("_d", compare("built", "reference", F.col("_m.lo"), F.col("_m.hi")))
+    status = F.when(F.col("reference").isNull(), "no-reference").when(F.col("_d.bytes") == 0, "identical").otherwise("differs")
+    return got.select("path", status.alias("status"), "_d.first", "_d.bytes")

@@ -95,10 +95,24 @@ def brush(raster: DataFrame, x: float, y: float, radius: float, mode: str, stren
     """raise, lower or flatten under a cosine falloff."""
     d = F.sqrt((F.col("x") - x) ** 2 + (F.col("y") - y) ** 2)
     fall = F.when(d < radius, 0.5 + 0.5 * F.cos(d / radius * float(np.pi))).otherwise(0.0)
-    new = {"raise": F.col("v") + strength * fall, "lower": F.col("v") - strength * fall, "flatten": F.col("v") + (target - F.col("v")) * strength * fall}[mode]
+    new = {"raise": F.col("v") + strength * fall, "lower": F.col("v") - strength * fall, "flatten": F.col("v") + (target - F.col("v")) * strength * fall * 0.5}[mode]
     return raster.select("x", "y", new.alias("v"))
 
 
+def smooth(raster: DataFrame, x: float, y: float, radius: float, size: tuple[int, int], strength: float = 1.0) -> DataFrame:
+    """Pixels drawn towards the mean of 25 samples, two pixels apart and clamped to the image, under a cosine falloff.
+
+    Only pixels under the brush ask for samples, from the part of the raster around it. Sums of whole heights are exact.
+    """
+    d = F.sqrt((F.col("x") - x) ** 2 + (F.col("y") - y) ** 2)
+    near = raster.filter((F.abs(F.col("x") - x) <= radius + 4) & (F.abs(F.col("y") - y) <= radius + 4))
+    steps = F.expr("flatten(transform(sequence(-4, 4, 2), dx -> transform(sequence(-4, 4, 2), dy -> struct(dx, dy))))")
+    asked = near.filter(d < radius).select("x", "y", F.inline(steps)).select("x", "y", *[F.least(F.greatest(F.col(c) + F.col(f"d{c}"), F.lit(0)), F.lit(n - 1)).alias(f"s{c}") for c, n in zip("xy", size, strict=True)])
+    mean = asked.join(near.select(F.col("x").alias("sx"), F.col("y").alias("sy"), "v"), ["sx", "sy"]).groupBy("x", "y").agg(F.avg("v").alias("mean"))
+    fall = (0.5 + 0.5 * F.cos(d / radius * float(np.pi))) * strength
+    return raster.join(mean, ["x", "y"], "left").select("x", "y", F.coalesce(F.col("v") + (F.col("mean") - F.col("v")) * fall, F.col("v")).alias("v"))
+
+
 def slope_mask(raster: DataFrame, limit: float) -> DataFrame:
     """Pixels with whether the step to the right or down exceeds limit."""
     right = F.lead("v").over(Window.partitionBy("y").orderBy("x"))
@@ -183,6 +197,12 @@ def ground_clamp(props: DataFrame, mode: str, sinks: DataFrame | None = None, on
     return props.withColumn("move", move).filter(test)
 
 
+def floating(props: DataFrame, threshold: float) -> DataFrame:
+    """Props whose lower end, of origin and model base, is more than threshold above the ground."""
+    lowest = F.col("y") + F.least(F.lit(0.0), F.col("scale") * F.coalesce("min_y", F.lit(0.0)))
+    return props.withColumn("above", lowest - F.col("ground")).filter(F.col("above") > threshold)
+
+
 def tree_spots(cells: DataFrame) -> DataFrame:
     """Jitter and turn of each hex's tree from a linear congruential generator seeded by its place."""
     step = lambda s: s * 48271 % 2147483647

@@ -87,9 +87,11 @@ def filler(pixels: DataFrame) -> DataFrame:
     return pixels.filter("c is null and rgb <> 0")
 
 
-def layout(width: int, height: int) -> list[str]:
-    """Codes that an image of this size breaks."""
-    return [*(["layout.size"] if width % 2 or height % 2 == 0 else []), *(["layout.mesh_columns"] if width // 2 % 4 else [])]
+def layout(images: DataFrame) -> DataFrame:
+    """Codes that the sizes of images break: 2W by 2H + 1 pixels for W by H hexes, W a multiple of 4 where the size is right."""
+    wrong = (F.col("width") % 2 != 0) | (F.col("height") % 2 == 0)
+    code = F.when(wrong, "layout.size").when(F.floor(F.col("width") / 2) % 4 != 0, "layout.mesh_columns")
+    return images.withColumn("code", code).filter("code is not null")
 
 
 def quarter_mismatches(full: DataFrame, quarter: DataFrame) -> DataFrame:

@@ -37,9 +37,9 @@ def unseen_patterns(v):
     return keys.filter(F.col("cat").isin(*validator.PATTERNED)).join(known, "pattern", "left_anti").select("id", F.lit("pattern.unseen").alias("code"))
 
 
-@query("SELECT cat, count(*) AS hexes FROM hexes WHERE cat NOT IN (SELECT cat FROM hexes WHERE row < 6) GROUP BY cat")
+@query("SELECT cat, count(*) AS hexes FROM hexes WHERE cat NOT IN (SELECT cat FROM hexes WHERE row < 3 AND col < 20) GROUP BY cat")
 def unused_sets(v):
-    return validator.unused_sets(v("hexes"), v("hexes").filter("row < 6"))
+    return validator.unused_sets(v("hexes"), v("hexes").filter("row < 3 and col < 20"))
 
 
 @query("SELECT x // 2 AS c, y // 2 AS r FROM raster GROUP BY 1, 2 HAVING min(v % 4) <> max(v % 4)")
