@@ -107,14 +107,19 @@ def audit_city_dressing(v):
     return audit.city_dressing(_sound(v), v("hexes"), GRID)
 
 
-@query(f"WITH {ROWS} {_VALUE} ({DUP})")
+@query(f"WITH {ROWS}, c AS (SELECT * FROM s UNION ALL SELECT * REPLACE (id + 1000000 AS id, ordinal + 1000000 AS ordinal, x + 0.0001e0 AS x) FROM s WHERE id % 50 = 0) {_VALUE} ({DUP.replace('FROM s)', 'FROM c)')})")
 def audit_duplicate(v):
-    return audit.duplicates(_sound(v))
+    rows = _sound(v)
+    copies = rows.filter("id % 50 = 0").withColumns({"id": F.col("id") + 1000000, "ordinal": F.col("ordinal") + 1000000, "x": F.col("x") + 0.0001})
+    return audit.duplicates(rows.unionByName(copies))
 
 
-@query(f"WITH {ROWS} {_VALUE} ({SCALE})")
+_SCALED = "CASE WHEN id % 101 = 0 THEN scale * 4 WHEN id % 103 = 0 THEN scale / 8 ELSE scale END"
+
+
+@query(f"WITH {ROWS}, c AS (SELECT * REPLACE ({_SCALED} AS scale) FROM s) {_VALUE} ({SCALE.replace('FROM s ', 'FROM c s ')})")
 def audit_scale_outlier(v):
-    return audit.scale_outliers(_sound(v))
+    return audit.scale_outliers(_sound(v).withColumn("scale", F.expr(_SCALED)))
 
 
 @query(f"WITH {ROWS} {_VALUE} ({ASSET})")
