@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from terralith.llm import decontaminate, flac, html, licenses, ngram_join, pieces, quality, sstable, urls, warc
+from terralith.llm import decontaminate, flac, html, licenses, ngram_join, pieces, quality, runs, sstable, urls, warc
 
 
 def _pipeline(spark, sf_dir):
@@ -23,6 +23,7 @@ def queries() -> dict:
         "op8_warc": warc.op8_warc,
         "op9_decontamination": decontaminate.op9_decontamination,
         "op10_flac": flac.op10_flac,
+        "op13_periodic_runs": runs.op13_periodic_runs,
         "pipeline": _pipeline,
     }
 
