@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from terralith.llm import decontaminate, flac, html, licenses, ngram_join, pieces, quality, runs, sstable, urls, warc
+from terralith.llm import decontaminate, flac, html, licenses, mixture, negatives, ngram_join, pieces, quality, runs, sstable, urls, warc
 
 
 def _pipeline(spark, sf_dir):
@@ -23,10 +23,12 @@ def queries() -> dict:
         "op8_warc": warc.op8_warc,
         "op9_decontamination": decontaminate.op9_decontamination,
         "op10_flac": flac.op10_flac,
+        "op11_hard_negatives": negatives.op11_hard_negatives,
+        "op12_source_mix": mixture.op12_source_mix,
         "op13_periodic_runs": runs.op13_periodic_runs,
         "pipeline": _pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_warc": warc.OP8_SQL, "op9_decontamination": decontaminate.OP9_SQL}
+    return {"op8_warc": warc.OP8_SQL, "op9_decontamination": decontaminate.OP9_SQL, "op11_hard_negatives": negatives.OP11_SQL, "op12_source_mix": mixture.OP12_SQL}
