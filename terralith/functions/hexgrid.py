@@ -17,7 +17,7 @@ def neighbours(hexes: DataFrame) -> DataFrame:
 
 def cube(col: Column, row: Column) -> tuple[Column, Column, Column]:
     """Offset to cube coordinates (q, y, z), which sum to 0."""
-    z = row - F.floor((col - col % 2) / 2)
+    z = row - F.floor(col / 2)
     return col, -col - z, z
 
 

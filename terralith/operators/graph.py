@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import heapq
-import tempfile
-import uuid
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terralith.functions.hexgrid import neighbours
+from terralith.operators.ranks import ranked
+from terralith.operators.scratch import release, settle
 
 #: Rounds that any loop may take before it is an error.
 MAX_ROUNDS = 10_000
@@ -21,20 +19,6 @@ BLOCK = 64
 FLOOD_LIMIT = 20_000
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """df as a written table in the folder that the cluster shares, so that loops don't grow their lineage."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="terralith-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/terralith-loop-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def closure(tops: DataFrame, children: DataFrame) -> DataFrame:
     """(id, top, depth): every row reached from a top through (id, parent) links, one level of joins a round; cycles end at rows already reached."""
     reached = settle(tops.select("id", F.col("id").alias("top"), F.lit(0).alias("depth")))
@@ -61,9 +45,11 @@ def label_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         near = both.join(now.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("comp").alias("m"))
         least = now.join(near, "id", "left").select("id", F.least("comp", F.coalesce("m", "comp")).alias("comp"))
         jump = settle(least)
-        now = settle(jump.join(jump.select(F.col("id").alias("comp"), F.col("comp").alias("next")), "comp").select("id", F.col("next").alias("comp")))
+        old, now = now, settle(jump.join(jump.select(F.col("id").alias("comp"), F.col("comp").alias("next")), "comp").select("id", F.col("next").alias("comp")))
+        release(old, jump)
         mark = now.agg(F.sum(F.col("comp").cast("decimal(38,0)"))).first()[0]
         if mark == last:
+            release(both)
             return now
         last = mark
     raise RuntimeError("components did not settle")
@@ -134,20 +120,16 @@ def holes(cells: DataFrame, width: int, height: int) -> DataFrame:
 
 
 def flood(hexes: DataFrame, col: int, row: int, same: str, limit: int = FLOOD_LIMIT) -> DataFrame:
-    """The hexes of one value connected with a start; more than limit is an error, as the reference has it."""
-    start = hexes.filter((F.col("col") == col) & (F.col("row") == row))
-    value = start.select(same).first()
-    if value is None:
+    """The hexes of one value connected with a start; more than limit is an error, by contract."""
+    start = hexes.filter((F.col("col") == col) & (F.col("row") == row)).select("id", same).first()
+    if start is None:
         return hexes.limit(0)
-    pool = settle(hexes.filter(F.col(same).eqNullSafe(F.lit(value[0]))))
-    reached = front = settle(start.select("id", "col", "row"))
-    while not front.isEmpty():
-        step = neighbours(front.select("col", "row")).select(F.col("ncol").alias("col"), F.col("nrow").alias("row")).distinct()
-        front = settle(pool.join(step, ["col", "row"], "left_semi").select("id", "col", "row").join(reached, "id", "left_anti"))
-        reached = reached.unionByName(front)
-        if reached.count() > limit:
-            raise ValueError(f"the fill has more than {limit} hexes")
-    return pool.join(reached.select("id"), "id", "left_semi")
+    pool = settle(hexes.filter(F.col(same).eqNullSafe(F.lit(start[1]))))
+    parts = settle(hex_components(pool.select("id", "col", "row", F.lit(0).alias("one")), "one"))
+    filled = parts.join(parts.filter(F.col("id") == start[0]).select("comp"), "comp", "left_semi").select("id")
+    if filled.count() > limit:
+        raise ValueError(f"the fill has more than {limit} hexes")
+    return pool.join(filled, "id", "left_semi")
 
 
 def movement_edges(hexes: DataFrame, allowed: DataFrame, bridges: DataFrame | None = None) -> DataFrame:
@@ -177,39 +159,6 @@ def shortest_paths(edges: DataFrame, starts: DataFrame) -> DataFrame:
     raise RuntimeError("paths did not settle")
 
 
-def search_tables(edges: DataFrame, starts: DataFrame) -> DataFrame:
-    """(start, id, cost) like shortest_paths, by one heap search a start in a task of its own.
-
-    For many starts on one map: each task holds the map's edges, so a map must fit in a task; shortest_paths has no such
-    bound.
-    """
-
-    def search(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        nodes, inverse = np.unique(np.concatenate([frame["src"], frame["dst"], frame["first"].iloc[:1]]), return_inverse=True)
-        n = len(frame)
-        src, dst, w = inverse[:n], inverse[n : 2 * n], frame["cost"].to_numpy()
-        order = np.argsort(src, kind="stable")
-        begin = np.searchsorted(src[order], np.arange(len(nodes) + 1)).tolist()
-        dst, w = dst[order].tolist(), w[order].tolist()
-        best = {int(inverse[-1]): 0}
-        heap, done = [(0, int(inverse[-1]))], set()
-        while heap:
-            cost, k = heapq.heappop(heap)
-            if k in done:
-                continue
-            done.add(k)
-            for e in range(begin[k], begin[k + 1]):
-                c = cost + w[e]
-                if c < best.get(dst[e], c + 1):
-                    best[dst[e]] = c
-                    heapq.heappush(heap, (c, dst[e]))
-        ids = np.fromiter(best, dtype=np.int64)
-        return pd.DataFrame({"start": key[0], "id": nodes[ids], "cost": np.fromiter(best.values(), dtype=np.int64)})
-
-    every = edges.select("src", "dst", "cost").crossJoin(F.broadcast(starts.select("start", F.col("id").alias("first"))))
-    return every.groupBy("start").applyInPandas(search, "start bigint, id bigint, cost bigint")
-
-
 def erase_inward(hexes: DataFrame, todo: DataFrame, value: str = "rgb") -> DataFrame:
     """Rounds from the rim: a hex to erase takes the commonest value of its settled neighbours, ties to the least value."""
     left = settle(todo.select("id"))
@@ -235,6 +184,14 @@ def circle(spark: SparkSession, col: int, row: int, r: int) -> DataFrame:
     return box.filter(distance(F.col("col"), F.col("row"), F.lit(col), F.lit(row)) <= r)
 
 
+def circles(centres: DataFrame, r: int) -> DataFrame:
+    """Each centre (col, row and others) once for each hex at most r steps away, as ncol and nrow."""
+    from terralith.functions.hexgrid import distance
+
+    near = centres.withColumn("ncol", F.explode(F.sequence(F.col("col") - r, F.col("col") + r))).withColumn("nrow", F.explode(F.sequence(F.col("row") - r, F.col("row") + r)))
+    return near.filter(distance(F.col("col"), F.col("row"), F.col("ncol"), F.col("nrow")) <= r)
+
+
 def rectangle(spark: SparkSession, c1: int, r1: int, c2: int, r2: int) -> DataFrame:
     lo, hi = min(c1, c2), max(c1, c2)
     return spark.range(lo, hi + 1).select(F.col("id").alias("col")).crossJoin(spark.range(min(r1, r2), max(r1, r2) + 1).select(F.col("id").alias("row")))
@@ -273,5 +230,5 @@ def pattern_key(hexes: DataFrame, value: str = "cat", base: int = 12) -> DataFra
 
 def ordered_parts(df: DataFrame, by: str, key: str) -> DataFrame:
     """Ordinals of groups: by largest key descending, then rows by key."""
-    w = Window.partitionBy(by)
-    return df.withColumn("_m", F.max(key).over(w)).withColumn("number", F.row_number().over(Window.orderBy(F.desc("_m"), key))).drop("_m")
+    most = df.groupBy(by).agg(F.max(key).alias("_m"))
+    return ranked(df.join(most, df[by].eqNullSafe(most[by])).drop(most[by]), F.desc("_m"), key).withColumn("number", F.col("rank") + 1).drop("_m", "rank")

@@ -24,3 +24,18 @@ def ranked(df: DataFrame, *by: Column | str, name: str = "rank") -> DataFrame:
     offsets = placed.sparkSession.createDataFrame(rows, "_part bigint, _before bigint")
     inside = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
     return placed.withColumn("_part", part).join(F.broadcast(offsets), "_part").withColumn(name, F.col("_before") + inside).drop("_part", "_before", "_at")
+
+
+def first_use_codes(df: DataFrame, value: str, order: str, name: str = "code") -> DataFrame:
+    """(value, code, first): a dictionary of the values in order of their first use, codes from 0; null is a value like others.
+
+    A value's least order combines before the shuffle; only the dictionary, one row a value, is ranked.
+    """
+    firsts = df.groupBy(value).agg(F.min(order).alias("first"))
+    return ranked(firsts, "first", F.col(value).asc_nulls_first(), name=name)
+
+
+def coded(df: DataFrame, value: str, order: str, name: str = "code") -> DataFrame:
+    """df with each value's first-use code; the dictionary is broadcast where the optimiser knows it to be small."""
+    codes = first_use_codes(df, value, order, name).select(F.col(value).alias("_value"), name)
+    return df.join(codes, df[value].eqNullSafe(F.col("_value"))).drop("_value")

@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import heapq
+import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from terralith.operators import paths
+from terralith.operators.scratch import apart, settle
+
 
 def borders(edges: DataFrame) -> DataFrame:
     """For each pair of neighbouring areas: crossing steps, hexes on the far side, the first of them, and the dearest step.
@@ -18,26 +23,301 @@ def borders(edges: DataFrame) -> DataFrame:
     return cross.groupBy("area", "n_area").agg(F.count("*").alias("steps"), F.countDistinct("dst").alias("hexes"), F.min("dst").alias("first"), F.max("cost").alias("dearest"))
 
 
-def transitions(edges: DataFrame, apart: int = 10) -> DataFrame:
-    """Transition hexes of each pair of areas: its far-side hexes in id order, one for each run of ids less than apart from the next."""
+def border_runs(edges: DataFrame, apart: int = 10) -> DataFrame:
+    """The far-side hexes of each pair of areas in id order, one for each run of ids less than apart from the next."""
     far = edges.filter("area <> n_area").select("area", "n_area", F.col("dst").alias("id")).distinct()
     w = Window.partitionBy("area", "n_area").orderBy("id")
     starts = far.withColumn("_new", F.when(F.col("id") - F.lag("id", 1).over(w) < apart, 0).otherwise(1))
     return starts.filter("_new = 1").select("area", "n_area", "id")
 
 
+def segments(graph: DataFrame, nodes: DataFrame, centres: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Border segments and reach of areas.
+
+    From its centre an area's search goes on through its own hexes and through those of others that are not open; open hexes
+    of another area are met, and not left. The first result has (area, n_area, id, cost) of these, the second (area, dearest),
+    the largest cost of an open hex of the area itself. graph: of `paths.block_graph` with area and open; nodes: id, area,
+    open; centres: area, id, block.
+    """
+    found = paths.least_costs(graph, centres.select(F.col("area").alias("query"), F.col("id").alias("start"), "block", F.col("area").alias("home"), F.lit(True).alias("through")))
+    met = found.join(nodes.filter("open").select("id", F.col("area").alias("n_area")), "id").withColumnRenamed("query", "area")
+    return met.filter("area <> n_area").select("area", "n_area", "id", "cost"), met.filter("area = n_area").groupBy("area").agg(F.max("cost").alias("dearest"))
+
+
+def _hex_distance(a: tuple[int, int], b: tuple[int, int]) -> int:
+    (c1, r1), (c2, r2) = a, b
+    q, z = c1 - c2, (r1 - c1 // 2) - (r2 - c2 // 2)
+    return max(abs(q), abs(z), abs(q + z))
+
+
+def line_distance(ax: float, ay: float, bx: float, by: float, px: float, py: float) -> np.float32:
+    """Squared distance of a point from a stretch between two points, in single precision and a fixed order of operations."""
+    f = np.float32
+    ax, ay, bx, by, px, py = map(f, (ax, ay, bx, by, px, py))
+    fx, fy = bx - ax, by - ay
+    size = f(np.sqrt(fy * fy + fx * fx))
+    t = f(0)
+    if size > 0:
+        inv = f(1) / size
+        u = (py - ay) * inv * fy * inv + (px - ax) * inv * fx * inv
+        t = f(0) if u < 0 else f(1) if u >= 1 else u
+    dy, dx = fy * t + ay - py, fx * t + ax - px
+    return dy * dy + dx * dx
+
+
+class Patch:
+    """A part of the map in one task: steps, and the hexes from which steps leave the part.
+
+    `find` is a heap search ordered by cost, distance from the line and id. Its result is that of the whole map unless some
+    step out of the part is cheaper than the target; that is noted in `sure`.
+    """
+
+    def __init__(self, nodes: pd.DataFrame, steps: pd.DataFrame):
+        self.at = {i: (int(c), int(r)) for i, c, r in zip(nodes["id"], nodes["col"], nodes["row"], strict=True)}
+        self.spot = {i: (x, y) for i, x, y in zip(nodes["id"], nodes["x"], nodes["y"], strict=True)}
+        self.shut = set(nodes["id"][nodes["shut"]])
+        self.kind = dict(zip(nodes["id"], nodes["kind"], strict=True))
+        self.beside = dict(zip(nodes["id"], nodes["beside"], strict=True))
+        self.area = dict(zip(nodes["id"], nodes["area"], strict=True))
+        self.comp = dict(zip(nodes["id"], nodes["comp"], strict=True))
+        self.out: dict[int, list[tuple[int, int]]] = {}
+        self.into: dict[int, list[int]] = {}
+        self.leaves: dict[int, int] = {}  # the cheapest step out of the patch
+        for s, d, c in zip(steps["src"], steps["dst"], steps["cost"], strict=True):
+            if d in self.at:
+                self.out.setdefault(s, []).append((d, c))
+                self.into.setdefault(d, []).append(s)
+            else:
+                self.leaves[s] = min(c, self.leaves.get(s, c))
+        self.sure = True
+
+    def _walled(self, start: int, target: int) -> bool:
+        """Whether shut hexes inside the patch close the target off from the start."""
+        seen, todo = {target}, [target]
+        while todo:
+            k = todo.pop()
+            if k in self.leaves or k == start:
+                return False
+            for h in self.into.get(k, ()):
+                if h not in seen and (h == start or h not in self.shut):
+                    seen.add(h)
+                    todo.append(h)
+        return True
+
+    def find(self, start: int, target: int, shut: bool, line: bool = False, within: int | None = None) -> tuple[list[int], list[int]] | None:
+        """(hexes, costs) of the path, or None; shut hexes are closed but for the target if asked; within: one area only."""
+        if self.comp[start] != self.comp[target]:
+            return None
+        ends = (*self.spot[start], *self.spot[target])
+        escape, off = math.inf, {start: np.float32(0)}
+        cost, before, done = {start: 0}, {}, set()
+        heap = [(0, np.float32(0), start)]
+        while heap:
+            c, _, k = heapq.heappop(heap)
+            if k in done:
+                continue
+            done.add(k)
+            if k == target:
+                self.sure &= escape >= c
+                path = [k]
+                while path[-1] != start:
+                    path.append(before[path[-1]])
+                return path[::-1], [cost[h] for h in path[::-1]]
+            if k in self.leaves and within is None:
+                escape = min(escape, c + self.leaves[k])
+            for d, w in self.out.get(k, ()):
+                if d in done or shut and d in self.shut and d != target or within is not None and self.area[d] != within:
+                    continue
+                if c + w < cost.get(d, c + w + 1):
+                    cost[d], before[d] = c + w, k
+                    if line and d not in off:
+                        off[d] = line_distance(*ends, *self.spot[d])
+                    heapq.heappush(heap, (c + w, off[d] if line else np.float32(0), d))
+        self.sure &= escape == math.inf or shut and self._walled(start, target)
+        return None
+
+    def refined(self, start: int, target: int, tolerance: float) -> list[int] | None:
+        """The path by lines: split at the hex farthest from its line and searched anew, until none is farther than the tolerance (squared)."""
+        todo, out = [(start, target)], []
+        while todo:
+            a, b = todo.pop()
+            found = self.find(a, b, shut=False, line=a != b)
+            if found is None:
+                return None
+            worst, far = np.float32(0), None
+            for h in found[0]:
+                d = line_distance(*self.spot[a], *self.spot[b], *self.spot[h])
+                if worst < d:
+                    worst, far = d, h
+            if far is None or worst <= tolerance or far in (a, b):
+                out += found[0][:-1]
+            else:
+                todo += [(far, b), (a, far)]
+        return [*out, target]
+
+    def cost(self, a: int, b: int) -> int | None:
+        """Cost of the path between two hexes, crossings by bridge counted as one; beside one settlement it leads through shut hexes."""
+        if a == b:
+            return 0
+        same = self.beside[a] >= 0 and self.beside[a] == self.beside[b]
+        found = self.find(a, b, shut=not same)
+        if found is None:
+            return None
+        path, costs = found
+        total, i = costs[-1], 0
+        while i + 1 < len(path):
+            if self.kind[path[i + 1]] == 5:
+                total += paths.BRIDGE_COST - (costs[min(i + 3, len(path) - 1)] - costs[min(i + (self.kind[path[i]] == 6), len(path) - 1)])
+                i += 3
+            else:
+                i += 1
+        return total
+
+
+def pair_transitions(far: set[int], near: set[int], path: list[int] | None, at: dict[int, tuple[int, int]], apart: int = 10) -> list[tuple[int, int]]:
+    """(p, q) of the transitions between two areas in order: p in the first area, q in the second.
+
+    far: hexes of the second that the first meets, near: of the first that the second meets. The first transition is where
+    the path between the centres crosses: its last hex of near and first hex of far. Then, while any are left at least apart
+    steps away, the cluster of touching hexes around the last one by descending (col, row) gives its middle's nearest hexes
+    on both sides, if each is nearer to the other than twice its way to its own side's whole border.
+    """
+    step = lambda a, b: _hex_distance(at[a], at[b])
+    order = lambda hexes: sorted(hexes, key=lambda h: (-at[h][0], -at[h][1]))
+
+    def nearest(hexes: set[int], spot: tuple[int, int]) -> int | None:
+        return min(order(hexes), key=lambda h: _hex_distance(at[h], spot), default=None)  # the first of equals
+
+    left_far, left_near, out = set(far), set(near), []
+
+    def take(p: int, q: int) -> None:
+        nonlocal left_far, left_near
+        out.append((p, q))
+        left_far = {h for h in left_far if step(h, q) >= apart}
+        left_near = {h for h in left_near if step(h, p) >= apart}
+
+    p = next((h for h in reversed(path or []) if h in near), None)
+    q = next((h for h in path or [] if h in far), None)
+    if p is not None and q is not None:
+        take(p, q)
+    while left_far or left_near:
+        every = [*order(left_far), *order(left_near)]
+        last, touching = every[-1], {at[h]: h for h in every}
+        cluster, todo = set(), [last]
+        while todo:
+            h = todo.pop()
+            if h in cluster:
+                continue
+            cluster.add(h)
+            c, r = at[h]
+            for spot in ((c, r - 1), (c, r + 1), (c - 1, r - 1 + c % 2), (c - 1, r + c % 2), (c + 1, r - 1 + c % 2), (c + 1, r + c % 2)):
+                if spot in touching:
+                    todo.append(touching[spot])
+        middle = sum(at[h][0] for h in cluster) // len(cluster), sum(at[h][1] for h in cluster) // len(cluster)
+        q, p = nearest(left_far, middle), nearest(left_near, middle)
+        if p is not None and q is not None and step(q, p) < 2 * step(nearest(far, at[p]), p) and step(q, p) < 2 * step(q, nearest(near, at[q])):
+            take(p, q)
+        else:
+            left_far.discard(last)
+            left_near.discard(last)
+    return out
+
+
+_TRANSITIONS = "area bigint, n_area bigint, nth int, p bigint, q bigint, there bigint, back bigint, mixed boolean, sure boolean"
+_TRANSITION_NAMES = [c.split()[0] for c in _TRANSITIONS.split(", ")]
+
+
+def _pair(tolerance: float):
+    def run(nodes: pd.DataFrame, steps: pd.DataFrame) -> pd.DataFrame:
+        first = nodes.iloc[0]
+        patch = Patch(nodes, steps)
+        far, near = (set(nodes["id"][nodes[c]]) for c in ("is_far", "is_near"))
+        out = []
+        for k, (p, q) in enumerate(pair_transitions(far, near, patch.refined(first["centre"], first["n_centre"], tolerance), patch.at)):
+            out.append((first["area_a"], first["area_b"], k, p, q, patch.cost(p, q), patch.cost(q, p), bool(first["mixed"]), True))
+        rows = pd.DataFrame(out or [(first["area_a"], first["area_b"], None, None, None, None, None, None, True)], columns=_TRANSITION_NAMES, dtype=object)
+        return rows.assign(sure=patch.sure)
+
+    return run
+
+
+def transitions(nodes: DataFrame, steps: DataFrame, border: DataFrame, centres: DataFrame, tolerance: float) -> DataFrame:
+    """(area, n_area, nth, p, q, there, back, mixed): the transitions of each pair of areas that meet each other, area < n_area.
+
+    p lies in area and q in n_area; there and back are path costs, null without a path; mixed: land meets sea. nodes: id, col,
+    row, x, y, area, shut, kind (5 a bridge hex, 6 a river hex), beside (the settlement next to a hex, or -1); steps: src, dst,
+    cost; border: of `segments`; centres: area, id, sea; nodes have a comp, the component of all steps that they lie in. A pair is worked out by one task on a patch of the map: the two areas
+    and those around them. Where a cheaper path might leave the patch the pair is done again on a patch that reaches as far
+    again, until it is sure; so the paths are those of the whole map, and a task holds what its pair needs.
+    """
+    met = settle(border.select("area", "n_area", "id"))
+    both = met.select(F.least("area", "n_area").alias("area_a"), F.greatest("area", "n_area").alias("area_b"), (F.col("area") < F.col("n_area")).alias("up"))
+    pairs = both.groupBy("area_a", "area_b").agg(F.bool_or("up").alias("u"), F.bool_or(~F.col("up")).alias("d")).filter("u and d").drop("u", "d")
+    ends = [centres.select(F.col("area").alias(a), F.col("id").alias(c), F.col("sea").alias(f"_{a}")) for a, c in (("area_a", "centre"), ("area_b", "n_centre"))]
+    pairs = settle(pairs.join(ends[0], "area_a").join(ends[1], "area_b").withColumn("mixed", F.col("_area_a") != F.col("_area_b")).drop("_area_a", "_area_b"))
+    area_of = nodes.select(F.col("id").alias("src"), F.col("area"))
+    from_area = settle(steps.select("src", "dst", "cost").join(area_of, "src"))
+    beside = settle(from_area.join(area_of.select(F.col("src").alias("dst"), F.col("area").alias("n_area")), "dst").filter("area <> n_area").select("area", "n_area").distinct())
+    beside = beside.union(beside.select(F.col("n_area").alias("area"), F.col("area").alias("n_area"))).distinct()
+    marks = met.withColumn("is_far", F.col("area") < F.col("n_area")).select(F.least("area", "n_area").alias("area_a"), F.greatest("area", "n_area").alias("area_b"), "id", "is_far", (~F.col("is_far")).alias("is_near"))
+    marks = marks.groupBy("area_a", "area_b", "id").agg(F.bool_or("is_far").alias("is_far"), F.bool_or("is_near").alias("is_near"))
+    own = pairs.select("area_a", "area_b", F.explode(F.array("area_a", "area_b")).alias("area"))
+    window, todo, done, reach, size = own, pairs, [], 1, -1
+    while True:
+        for _ in range(reach):
+            window = settle(window.union(window.join(beside, "area").select("area_a", "area_b", F.col("n_area").alias("area"))).distinct())
+        grown = window.count()
+        key = ["area_a", "area_b"]
+        inside = window.join(nodes, "area").join(todo, key).join(marks, [*key, "id"], "left").na.fill(False, ["is_far", "is_near"])
+        moves = window.join(from_area, "area").select(*key, "src", "dst", "cost")
+        found = settle(inside.groupBy(*key).cogroup(apart(moves).groupBy(*key)).applyInPandas(_pair(tolerance), _TRANSITIONS))
+        unsure = settle(found.filter("not sure").select(F.col("area").alias("area_a"), F.col("n_area").alias("area_b")).distinct())
+        left = unsure.count()
+        if not left or grown == size:  # a patch that can't grow is all that its hexes reach
+            done.append(found)
+            break
+        done.append(found.filter("sure"))
+        todo, reach = settle(todo.join(unsure, key)), reach * 2
+        window = settle(window.join(unsure, key))
+        size = window.count()
+    out = done[0]
+    for more in done[1:]:
+        out = out.union(more)
+    return settle(out.filter("nth is not null").drop("sure"))
+
+
+def numbered(found: DataFrame, border: DataFrame) -> DataFrame:
+    """(area, number, p, q, n_area, cost, mixed, free): both areas' sides of all transitions, numbered within each area in the order of their making.
+
+    Pairs are made by their lesser area, there in the order in which its search meets the other; free: land meets sea at no
+    cost.
+    """
+    first = border.groupBy("area", "n_area").agg(F.min(F.struct("cost", "id")).alias("met"))
+    rows = found.join(first, ["area", "n_area"])
+    sides = F.array(
+        F.struct(F.col("area").alias("a"), F.col("n_area").alias("b"), F.col("p").alias("p"), F.col("q").alias("q"), F.col("there").alias("cost")),
+        F.struct(F.col("n_area").alias("a"), F.col("area").alias("b"), F.col("q").alias("p"), F.col("p").alias("q"), F.col("back").alias("cost")),
+    )
+    rows = rows.withColumn("s", F.explode(sides)).select(F.col("s.a").alias("area"), F.col("s.b").alias("n_area"), "s.p", "s.q", "s.cost", "mixed", F.struct(F.col("area"), F.col("met"), F.col("nth")).alias("_made"))
+    w = Window.partitionBy("area").orderBy("_made")
+    return rows.select("area", (F.row_number().over(w) - 1).alias("number"), "p", "q", "n_area", "cost", "mixed", (F.col("mixed") & (F.col("cost") == 0)).alias("free"))
+
+
 def area_costs(edges: DataFrame, points: DataFrame) -> DataFrame:
     """(area, a, b, cost): least costs between the points of each area by steps inside it; one task an area.
 
-    edges: src, dst, cost, area, n_area; points: area, id. An area must fit in a task, as the areas of a map do.
+    edges: src, dst, cost, area, n_area and if wanted shut (dst is only entered if it is one of the points); points: area, id.
+    An area must fit in a task, as the areas of a map do.
     """
-    inner = edges.filter("area = n_area").select("area", "src", "dst", "cost")
+    inner = edges.filter("area = n_area").select("area", "src", "dst", "cost", F.col("shut") if "shut" in edges.columns else F.lit(False).alias("shut"))
 
     def search(key: tuple, steps: pd.DataFrame, marks: pd.DataFrame) -> pd.DataFrame:
         out: dict = {}
-        for s, d, c in zip(steps["src"], steps["dst"], steps["cost"], strict=True):
-            out.setdefault(s, []).append((d, c))
         wanted, rows = sorted(set(marks["id"])), []
+        asked = set(wanted)
+        for s, d, c, shut in zip(steps["src"], steps["dst"], steps["cost"], steps["shut"], strict=True):
+            if not shut or d in asked:
+                out.setdefault(s, []).append((d, c))
         for start in wanted:
             best, heap, left = {start: 0}, [(0, start)], set(wanted)
             while heap and left:
@@ -53,7 +333,7 @@ def area_costs(edges: DataFrame, points: DataFrame) -> DataFrame:
                         heapq.heappush(heap, (cost + c, d))
         return pd.DataFrame(rows, columns=["area", "a", "b", "cost"])
 
-    return inner.groupBy("area").cogroup(points.groupBy("area")).applyInPandas(search, "area bigint, a bigint, b bigint, cost bigint")
+    return inner.groupBy("area").cogroup(apart(points).groupBy("area")).applyInPandas(search, "area bigint, a bigint, b bigint, cost bigint")
 
 
 def refine(points: list[tuple[float, float]], tolerance: float) -> list[int]:

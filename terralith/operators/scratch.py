@@ -32,3 +32,8 @@ def release(*tables: DataFrame | None) -> None:
             spark = df.sparkSession
             at = spark._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def apart(df: DataFrame) -> DataFrame:
+    """df with columns of its own, for a cogroup with a frame that shares its lineage."""
+    return df.toDF(*df.columns)

@@ -16,6 +16,15 @@ VIEWS = {
         o_orderkey * 7 % 64 AS road, o_orderkey * 13 % 64 AS river, o_orderkey % 3 = 0 AS bridge,
         CASE WHEN o_orderkey % 11 = 0 THEN o_custkey % 3 ELSE -1 END AS slot, o_orderkey % 5 AS terrain, o_orderkey % 17 = 0 AS impassable
         FROM {orders}""",
+    "ways": """SELECT CAST(o_orderkey AS BIGINT) AS id, o_orderkey % 50 AS col, o_orderkey DIV 50 AS row, (o_orderkey DIV 50) DIV 12 AS band, (o_orderkey DIV 50) DIV 12 * 4 + (o_orderkey % 50) DIV 13 AS area,
+        o_orderkey % 11 = 0 AS shut, CASE WHEN o_orderkey % 11 = 0 THEN o_custkey % 3 ELSE -1 END AS owner, o_orderkey % 5 AS terrain, o_orderkey * 7 % 64 AS road,
+        CASE WHEN (((o_orderkey DIV 50) DIV 3) * 5 + (o_orderkey % 50) DIV 4) % 12 = 1 THEN 1 WHEN o_orderkey % 23 = 0 THEN 5 WHEN (((o_orderkey DIV 50) DIV 3) * 5 + (o_orderkey % 50) DIV 4) % 12 IN (5, 6, 7) THEN 6 ELSE 0 END AS kind
+        FROM {orders} WHERE o_orderkey % 17 <> 0""",
+    "saplings": """SELECT event_id * 7919 % 1000003 AS ordinal, (event_id * 7919 % 5000) / 100e0 AS x, event_id * 3 / 100e0 + (event_id * 104729 % 700) / 1000e0 AS z FROM {events}""",
+    "old_trees": """SELECT CAST(event_id AS BIGINT) AS id, CASE event_id % 3 WHEN 0 THEN 'Pine_a' WHEN 1 THEN 'birch_b' ELSE 'oak_c' END AS species, (event_id * 31 % 5000) / 100e0 AS x, event_id * 3 / 100e0 AS z FROM {events} WHERE event_id % 20 IN (3, 4)""",
+    "triangles": """SELECT CAST(event_id AS BIGINT) AS ordinal, (event_id * 7919 % 5000) / 100e0 AS ax, (event_id * 37 % 900) / 100e0 AS ay, event_id * 3 / 100e0 AS az,
+        (event_id * 7919 % 5000) / 100e0 + CASE WHEN event_id % 997 = 5 THEN 40e0 ELSE 1e0 + event_id % 7 END AS bx, (event_id * 53 % 700) / 100e0 AS b_y, event_id * 3 / 100e0 + event_id % 3 AS bz,
+        (event_id * 7919 % 5000) / 100e0 + event_id % 5 - 1 AS cx, (event_id * 71 % 500) / 100e0 AS cy, event_id * 3 / 100e0 + CASE WHEN event_id % 997 = 5 THEN 90e0 ELSE 2e0 + event_id % 6 END AS cz FROM {events}""",
     "props": """SELECT CAST(event_id AS BIGINT) AS id, CAST(event_id AS BIGINT) AS ordinal, (event_id * 7919 % 5000) / 100e0 AS x,
         (event_id * 10007 % 30000) / 100e0 AS z, (event_id * 37 % 900) / 100e0 AS y,
         CASE event_id % 7 WHEN 0 THEN 'terrain/mountains/peak_a' WHEN 1 THEN 'props/rocks/rock_b' WHEN 2 THEN 'props/vegetation/pine_c' WHEN 3 THEN 'props/settlements/hut_d'

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from terralith.operators import aggregates as agg
 from terralith.operators import regions, spatial
+from terralith.operators.ranks import ranked
 from terralith.plans.registry import query
 
 _MODE = "SELECT {k}, {v} FROM (SELECT {k}, {v}, row_number() OVER (PARTITION BY {k} ORDER BY count(*) DESC, min(ordinal)) AS rk FROM {t} GROUP BY {k}, {v}) WHERE rk = 1"
@@ -187,13 +188,13 @@ def nearest_props(v):
     return v("props").filter("kind = 'prop'").select("id", F.expr("(x - 10) * (x - 10) + (z - 50) * (z - 50)").alias("d2")).orderBy("d2", "id").limit(25)
 
 
-@query("SELECT 'v' || CAST(a AS VARCHAR) || '.' || CAST(b AS VARCHAR) || '.' || CAST(c AS VARCHAR) || pre AS version, row_number() OVER (ORDER BY a, b, c, k) AS place FROM (SELECT unnest(range(0, 12, 3)) AS a), (SELECT unnest(range(0, 3)) AS b), (SELECT unnest(range(0, 21, 10)) AS c), (VALUES ('-1', 0), ('-2', 1), ('-10', 2), ('-alpha', 3), ('-alpha.1', 4), ('-beta', 5), ('', 6)) AS t(pre, k)")
+@query("""SELECT id, 'v' || CAST(a AS VARCHAR) || '.' || CAST(b AS VARCHAR) || '.' || CAST(c AS VARCHAR) || ['', '-1', '-2', '-10', '-alpha', '-alpha.1', '-beta'][k + 1] AS version, row_number() OVER (ORDER BY a, b, c, CASE WHEN k = 0 THEN 7 ELSE k END, id) AS place
+    FROM (SELECT CAST(p_partkey AS BIGINT) AS id, p_partkey % 12 AS a, p_size % 3 AS b, p_partkey * 7 % 21 AS c, p_partkey // 12 % 7 AS k FROM part)""")
 def version_order(v):
-    spark = v("region").sparkSession
-    n = lambda name, step, k: spark.range(k).select((F.col("id") * step).alias(name))
-    pre = spark.range(1).select(F.explode(F.array(*map(F.lit, ["", "-1", "-2", "-10", "-alpha", "-alpha.1", "-beta"]))).alias("pre"))
-    rows = n("a", 3, 4).crossJoin(n("b", 1, 3)).crossJoin(n("c", 10, 3)).crossJoin(pre).select(F.concat(F.lit("v"), F.concat_ws(".", *[F.col(x).cast("string") for x in "abc"]), "pre").alias("version"))
-    return rows.select("version", F.row_number().over(Window.orderBy(agg.semver_key(F.col("version")))).cast("bigint").alias("place"))
+    parts = F.concat_ws(".", *[F.expr(f"cast({e} as string)") for e in ("p_partkey % 12", "p_size % 3", "p_partkey * 7 % 21")])
+    pre = F.element_at(F.array(*map(F.lit, ["", "-1", "-2", "-10", "-alpha", "-alpha.1", "-beta"])), F.expr("cast(p_partkey div 12 % 7 + 1 as int)"))
+    rows = v("part").select(F.col("p_partkey").cast("bigint").alias("id"), F.concat(F.lit("v"), parts, pre).alias("version"))
+    return ranked(rows, agg.semver_key(F.col("version")), "id").select("id", "version", (F.col("rank") + 1).alias("place"))
 
 
 @query("SELECT x.b AS section, CASE WHEN x.l = y.l THEN 'equal' WHEN x.s = y.s THEN 'reordered' WHEN len(x.l) <> len(y.l) THEN 'count differs' ELSE 'differs' END AS verdict FROM (SELECT b, list(a ORDER BY id) AS l, list_sort(list(a)) AS s FROM ours_t GROUP BY b) x JOIN (SELECT b, list(a ORDER BY id DESC) AS l, list_sort(list(a)) AS s FROM base_t GROUP BY b) y ON x.b = y.b")

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from terralith.operators import graph, journal, merge, raster, routes, spatial, validator
+from terralith.operators import graph, journal, merge, paths, raster, routes, spatial, validator
 from terralith.plans.registry import query
-from terralith.plans.selection import NEIGHBOURS
+from terralith.plans.selection import _DIST, NEIGHBOURS
 
 EDGES = f"e AS (SELECT a.id AS src, a.dir, h.id AS dst, a.cat AS cat, h.cat AS n_cat, h.terrain AS n_terrain, a.terrain, a.road, a.impassable, h.impassable AS n_impassable FROM ({NEIGHBOURS}) a JOIN hexes h ON h.col = a.ncol AND h.row = a.nrow)"
 AROUND = f"{EDGES}, n AS (SELECT h.id, h.cat, count(*) FILTER (n_cat = h.cat) AS same, count(*) FILTER (n_cat = 1) AS seas, count(*) FILTER (n_cat = 2) AS beaches, count(*) FILTER (n_cat IN (5, 6, 7, 8)) AS rivers FROM hexes h LEFT JOIN e ON e.src = h.id GROUP BY h.id, h.cat)"
@@ -37,9 +37,9 @@ def unseen_patterns(v):
     return keys.filter(F.col("cat").isin(*validator.PATTERNED)).join(known, "pattern", "left_anti").select("id", F.lit("pattern.unseen").alias("code"))
 
 
-@query("SELECT cat, count(*) AS hexes FROM hexes WHERE cat NOT IN (SELECT cat FROM hexes WHERE row < 3 AND col < 20) GROUP BY cat")
+@query("SELECT cat, count(*) AS hexes FROM hexes WHERE cat NOT IN (SELECT kind FROM ways) GROUP BY cat")
 def unused_sets(v):
-    return validator.unused_sets(v("hexes"), v("hexes").filter("row < 3 and col < 20"))
+    return validator.unused_sets(v("hexes"), v("ways").select(F.col("kind").alias("cat")))
 
 
 @query("SELECT x // 2 AS c, y // 2 AS r FROM raster GROUP BY 1, 2 HAVING min(v % 4) <> max(v % 4)")
@@ -112,27 +112,45 @@ def flood_fill(v):
     return graph.flood(v("hexes"), 5, 5, "cat").select("id")
 
 
-@query()
+_SEARCH = """SELECT * FROM (SELECT p.start, m.{far}, min(p.cost + m.cost) FROM p JOIN m ON m.{near} = p.id LEFT JOIN recurring.p k ON k.start = p.start AND k.id = m.{far}
+    WHERE k.cost IS NULL OR p.cost + m.cost < k.cost GROUP BY p.start, m.{far})"""
+
+
+@query(f"""WITH RECURSIVE {EDGES}, m AS (SELECT src, dst, CASE WHEN (road >> dir) & 1 = 1 THEN 5 ELSE 10 + n_terrain END AS cost FROM e WHERE NOT impassable AND NOT n_impassable),
+    p(start, id, cost) USING KEY (start, id) AS (SELECT 1, id, CAST(0 AS BIGINT) FROM hexes WHERE id = 1 AND NOT impassable UNION {_SEARCH.format(far="dst", near="src")}) SELECT start, id, cost FROM p""")
 def shortest_paths(v):
-    """Costs over passable hexes from hex 1; compared with a heap search in the tests."""
+    """Costs over passable hexes from hex 1, by blocks."""
     h = v("hexes").filter("not impassable")
-    e = graph.hex_edges(h).select("src", "dst", F.when(F.expr("(road >> dir) & 1 = 1"), 5).otherwise(10 + F.col("n_terrain")).cast("bigint").alias("cost"))
-    return graph.search_tables(graph.settle(e), h.filter("id = 1").select(F.lit(1).alias("start"), "id"))
+    return _searched(h, _steps(h, F.when(F.expr("(road >> dir) & 1 = 1"), 5).otherwise(10 + F.col("n_terrain"))), h.filter("id = 1").select(F.lit(1).alias("start"), "id", "col", "row"))
 
 
-@query()
-def landmark_paths(v):
-    """Costs from eight landmarks to every hex and back; compared with the relaxing loop in the tests."""
-    from terralith.operators import spatial
+def _steps(hexes, cost):
+    """src, dst, cost and the blocks of both."""
+    return graph.settle(graph.hex_edges(hexes).select("src", "dst", cost.cast("bigint").alias("cost"), paths.block_of("col", "row").alias("src_block"), paths.block_of("ncol", "nrow").alias("dst_block")))
+
 
+def _searched(hexes, steps, starts):
+    nodes = hexes.select("id", paths.block_of("col", "row").alias("block"))
+    asked = starts.select(F.col("start").cast("bigint").alias("query"), F.col("id").alias("start"), paths.block_of("col", "row").alias("block"))
+    return paths.least_costs(paths.block_graph(steps, nodes), asked).select(F.col("query").cast("int").alias("start"), "id", "cost")
+
+
+@query(f"""WITH RECURSIVE {EDGES}, m AS (SELECT src, dst, CASE WHEN (road >> dir) & 1 = 1 THEN 50 ELSE 100 + n_terrain * 10 END AS cost FROM e WHERE NOT impassable AND NOT n_impassable),
+    b AS (SELECT min(col) AS x0, max(col) AS x1, min(row) AS y0, max(row) AS y1 FROM hexes WHERE NOT impassable),
+    t AS (SELECT 0 AS landmark, x0 AS tx, y0 AS ty FROM b UNION ALL SELECT 1, (x0 + x1) // 2, y0 FROM b UNION ALL SELECT 2, x1, y0 FROM b UNION ALL SELECT 3, x0, (y0 + y1) // 2 FROM b
+        UNION ALL SELECT 4, x1, (y0 + y1) // 2 FROM b UNION ALL SELECT 5, x0, y1 FROM b UNION ALL SELECT 6, (x0 + x1) // 2, y1 FROM b UNION ALL SELECT 7, x1, y1 FROM b),
+    l AS (SELECT landmark, id FROM hexes CROSS JOIN t WHERE NOT impassable QUALIFY row_number() OVER (PARTITION BY landmark ORDER BY {_DIST.format(x="tx", y="ty")}, col, row) = 1),
+    p(start, id, cost) USING KEY (start, id) AS (SELECT landmark * 2, id, CAST(0 AS BIGINT) FROM l UNION {_SEARCH.format(far="dst", near="src")}),
+    r(start, id, cost) USING KEY (start, id) AS (SELECT landmark * 2 + 1, id, CAST(0 AS BIGINT) FROM l UNION {_SEARCH.format(far="src", near="dst").replace("p.", "r.").replace("FROM p ", "FROM r ").replace("recurring.p", "recurring.r")})
+    SELECT start, id, cost FROM p UNION ALL SELECT start, id, cost FROM r""")
+def landmark_paths(v):
+    """Costs from eight landmarks to every hex and back, by blocks."""
     h = v("hexes").filter("not impassable")
-    spark = h.sparkSession
-    allowed = spark.range(5).select(F.col("id").alias("t1")).crossJoin(spark.range(5).select(F.col("id").alias("t2")))
-    e = graph.settle(graph.movement_edges(h, allowed).select("src", "dst", "cost"))
-    marks = spatial.landmarks(h).join(h.select("col", "row", "id"), ["col", "row"]).select((F.col("landmark") * 2).alias("start"), "id")
-    there = graph.search_tables(e, marks)
-    back = graph.search_tables(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "cost"), marks.withColumn("start", F.col("start") + 1))
-    return there.union(back)
+    steps = _steps(h, F.when(F.expr("(road >> dir) & 1 = 1"), 50).otherwise(100 + F.col("n_terrain") * 10))
+    marks = graph.settle(spatial.landmarks(h).join(h.select("col", "row", "id"), ["col", "row"]).select((F.col("landmark") * 2).alias("start"), "id", "col", "row"))
+    there = _searched(h, steps, marks)
+    back = steps.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "cost", F.col("dst_block").alias("src_block"), F.col("src_block").alias("dst_block"))
+    return there.union(_searched(h, back, marks.withColumn("start", F.col("start") + 1)))
 
 
 @query()
@@ -142,9 +160,11 @@ def erase_inward(v):
     return graph.erase_inward(h, h.filter("id % 1000 < 120")).select("id", "rgb")
 
 
-@query("SELECT col, row FROM (SELECT unnest(range(0, 60)) AS col), (SELECT unnest(range(-10, 60)) AS row) WHERE greatest(abs(col - 15), abs((row - (col - col % 2) // 2) - (15 - 7)), abs((-col - (row - (col - col % 2) // 2)) - (-15 - (15 - 7)))) <= 4")
+@query("""SELECT id, col + dc AS col, row + dr AS row FROM (SELECT CAST(s_suppkey AS BIGINT) AS id, s_suppkey * 13 % 53 AS col, s_suppkey * 29 % 1009 AS row FROM supplier), (SELECT unnest(range(-4, 5)) AS dc), (SELECT unnest(range(-4, 5)) AS dr)
+    WHERE greatest(abs(dc), abs(row + dr - (col + dc - (col + dc + 4) % 2) // 2 - (row - (col - col % 2) // 2)), abs(-dc - (row + dr - (col + dc - (col + dc + 4) % 2) // 2 - (row - (col - col % 2) // 2)))) <= 4""")
 def hex_circle(v):
-    return graph.circle(v("region").sparkSession, 15, 15, 4)
+    centres = v("supplier").selectExpr("cast(s_suppkey as bigint) as id", "s_suppkey * 13 % 53 as col", "s_suppkey * 29 % 1009 as row")
+    return graph.circles(centres, 4).select("id", F.col("ncol").alias("col"), F.col("nrow").alias("row"))
 
 
 @query("SELECT id FROM hexes, (SELECT col AS c2, row AS r2, id AS i2 FROM hexes) WHERE id = i2 AND (SELECT count(*) % 2 FROM (VALUES (3e0, 2e0, 40e0, 9e0), (40e0, 9e0, 30e0, 40e0), (30e0, 40e0, 5e0, 30e0), (5e0, 30e0, 3e0, 2e0)) AS t(x1, y1, x2, y2) WHERE (y1 > row + (col % 2) * 0.5e0) <> (y2 > row + (col % 2) * 0.5e0) AND col < x1 + (row + (col % 2) * 0.5e0 - y1) * ((x2 - x1) / (y2 - y1))) = 1")
@@ -379,11 +399,4 @@ def area_borders(v):
 
 @query(f"WITH {_AREAS}, d AS (SELECT DISTINCT area, n_area, dst AS id FROM r WHERE area <> n_area), l AS (SELECT *, lag(id) OVER (PARTITION BY area, n_area ORDER BY id) AS p FROM d) SELECT area, n_area, id FROM l WHERE p IS NULL OR id - p >= 10")
 def area_transitions(v):
-    return routes.transitions(_areas(v))
-
-
-@query()
-def area_cost_tables(v):
-    """Costs between every hundredth hex of each area; compared with the relaxing loop in the tests."""
-    points = v("hexes").filter("id % 100 = 7").select(F.col("region").alias("area"), "id")
-    return routes.area_costs(_areas(v), points)
+    return routes.border_runs(_areas(v))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from terralith.functions.hexgrid import neighbours
 from terralith.operators import filters, spatial
+from terralith.operators.ranks import ranked
 from terralith.plans.registry import query
 
 _DIRS = "(VALUES (0, 0, 1, 1), (1, 1, 0, 1), (2, 1, -1, 0), (3, 0, -1, -1), (4, -1, -1, 0), (5, -1, 0, 1)) AS dirs(dir, dc, de, dod)"
@@ -83,10 +84,8 @@ def tag_decode(v):
 
 @query("""SELECT p_partkey AS id, row_number() OVER (ORDER BY p_partkey % 100, p_partkey) AS place FROM part""")
 def natural_order(v):
-    from pyspark.sql import Window
-
     named = v("part").select(F.col("p_partkey").alias("id"), F.concat(F.lit("tile"), (F.col("p_partkey") % 100).cast("string"), F.lit("_x")).alias("name"))
-    return named.select("id", F.row_number().over(Window.orderBy(filters.natural_key(F.col("name")), "id")).cast("bigint").alias("place"))
+    return ranked(named, filters.natural_key(F.col("name")), "id").select("id", (F.col("rank") + 1).alias("place"))
 
 
 @query("SELECT id, CASE WHEN region_key LIKE '%1%' THEN 'city' WHEN region_key LIKE '%2%' THEN 'port' WHEN region_key LIKE '%3%' THEN 'mine_iron' END AS suggested FROM settlements")
@@ -223,10 +222,7 @@ def base_override(v):
 
 @query("SELECT x.n, x.id AS left_id, y.id AS right_id, x.a IS NOT DISTINCT FROM y.a AS same FROM (SELECT *, row_number() OVER (ORDER BY id) AS n FROM ours_t) x FULL OUTER JOIN (SELECT *, row_number() OVER (ORDER BY id) AS n FROM theirs_t) y ON x.n = y.n WHERE x.n IS NOT NULL")
 def positional_compare(v):
-    from pyspark.sql import Window
-
-    w = Window.orderBy("id")
-    x, y = (v(t).withColumn("n", F.row_number().over(w).cast("bigint")).select("n", F.col("id").alias(f"{s}_id"), F.col("a").alias(f"{s}_a")) for t, s in (("ours_t", "left"), ("theirs_t", "right")))
+    x, y = (ranked(v(t), "id").withColumn("n", F.col("rank") + 1).select("n", F.col("id").alias(f"{s}_id"), F.col("a").alias(f"{s}_a")) for t, s in (("ours_t", "left"), ("theirs_t", "right")))
     return x.join(y, "n", "left").select("n", "left_id", "right_id", F.col("left_a").eqNullSafe(F.col("right_a")).alias("same"))
 
 

@@ -49,12 +49,15 @@ def test_entry(spark):
 
 
 def test_landmark_paths(spark):
-    from terralith.operators import graph
+    from terralith.operators import graph, paths
 
     edges = spark.createDataFrame([(1, 2, 5), (2, 3, 5), (1, 3, 20), (3, 4, 1), (5, 1, 1)], "src bigint, dst bigint, cost bigint")
     starts = spark.createDataFrame([(7, 1), (8, 5)], "start bigint, id bigint")
     want = sorted(map(tuple, graph.shortest_paths(edges, starts).collect()))
-    assert want == sorted(map(tuple, graph.search_tables(edges, starts).collect())) == [(7, 1, 0), (7, 2, 5), (7, 3, 10), (7, 4, 11), (8, 1, 1), (8, 2, 6), (8, 3, 11), (8, 4, 12), (8, 5, 0)]
+    blocks = edges.selectExpr("*", "src % 2 as src_block", "dst % 2 as dst_block")
+    packed = paths.block_graph(blocks, spark.range(1, 6).selectExpr("id", "id % 2 as block"))
+    got = paths.least_costs(packed, starts.selectExpr("start as query", "id as start", "id % 2 as block"))
+    assert want == sorted(map(tuple, got.collect())) == [(7, 1, 0), (7, 2, 5), (7, 3, 10), (7, 4, 11), (8, 1, 1), (8, 2, 6), (8, 3, 11), (8, 4, 12), (8, 5, 0)]
 
 
 def test_hex_lines_and_circles(spark):
