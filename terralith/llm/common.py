@@ -195,13 +195,36 @@ def words_of(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return start, end, row
 
 
-def shingle_hashes(data: np.ndarray, off: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """(row, hash) of every row's distinct shingles of `width` words (A-Z lower-cased), sorted by row and hash; with fewer words the whole sequence is one."""
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, key: int) -> np.ndarray:
+    """64-bit hashes of data[start:end] for many spans, by a key that the bytes' author doesn't know.
+
+    Eight bytes at a time go through multiplications and shifts that mix all bits, so no two texts can be made to collide
+    without the key, as they can where a hash is a sum over bytes; a span of more than `LONG_SPAN` bytes has its keyed
+    BLAKE2b digest.
+    """
+    eight = np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]).tobytes(), strides=(1,))
+    size = end - start
+    out = mix(size.astype(np.uint64) + np.uint64(key))
+    salt = np.uint64(key) * np.uint64(2) + np.uint64(1)
+    at = np.flatnonzero(size <= LONG_SPAN)
+    left, place = size[at], start[at]
+    while len(at):
+        block = eight[place] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.uint64(8) * np.minimum(left, 8).astype(np.uint64)))
+        out[at] = mix(out[at] * np.uint64(0x9FB21C651E98DF25) + mix((block ^ salt) * np.uint64(0xD6E8FEB86659FD93) + salt))
+        more = left > 8
+        at, left, place = at[more], left[more] - 8, place[more] + 8
+    for k in np.flatnonzero(size > LONG_SPAN):
+        out[k] = int.from_bytes(hashlib.blake2b(data[start[k] : end[k]], digest_size=8, key=int(key).to_bytes(8, "little")).digest(), "little")
+    return out
+
+
+def shingle_hashes(data: np.ndarray, off: np.ndarray, width: int = 5, key: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of every row's distinct shingles of `width` words (A-Z lower-cased), sorted by row and hash; with fewer words the whole sequence is one; words are hashed by the key."""
     data = _LOWER[data]
     start, end, row = words_of(data, off)
     if not len(start):
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    h = span_hashes(data, start, end)
+    h = word_hashes(data, start, end, key)
     n_rows = len(off) - 1
     count = np.bincount(row, minlength=n_rows)
     begin = np.concatenate([[0], np.cumsum(count)])[:-1]

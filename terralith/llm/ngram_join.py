@@ -24,12 +24,15 @@ Rows: null or blank text has no shingles and links to nothing; repeated rows of
 links as others do; its component_id is the least doc_id reached, null if there is none. Columns other than doc_id and text
 are not looked at. A text is as long as a row may be; one above a step is a step of its own, at some 100 bytes a byte.
 Classes are known by 64 bits of their digest only inside round A and the entries, where both of two such classes keep theirs.
+Words are hashed by a key drawn for each run; classes and links of sets of at most `FEW` shingles, which few equal hashes
+could feign, are made sure of on the shingles' bytes.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,15 +56,35 @@ HOT = 4096
 #: Classes of a shingle whose pairs are joined as rows, and shingles of all classes in a block beyond that.
 GROUP = 64
 BLOCK_SHINGLES = 250_000
+#: Shingles of a set up to which classes and links are made sure of on bytes.
+FEW = 16
+_LOWER_TABLE = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Map-side rows are written after so many steps.
 FLUSH_STEPS = 8
 
 
-def _digests(rows: np.ndarray, hashes: np.ndarray, n_rows: int) -> tuple[list[bytes | None], np.ndarray, np.ndarray]:
+def shingles_of(raw: bytes) -> frozenset[bytes]:
+    """The shingles of a text as bytes: `WIDTH` words, or all of fewer, a blank between two."""
+    words = raw.translate(_LOWER_TABLE).split()
+    if len(words) < WIDTH:
+        return frozenset([b" ".join(words)] if words else [])
+    return frozenset(b" ".join(words[i : i + WIDTH]) for i in range(len(words) - WIDTH + 1))
+
+
+def _digests(rows: np.ndarray, hashes: np.ndarray, n_rows: int, data: np.ndarray, off: np.ndarray) -> tuple[list[bytes | None], np.ndarray, np.ndarray]:
+    """128-bit digests of the rows' sets, their sizes and first places. Sets of at most `FEW` shingles are digested from the shingles' bytes: so few 64-bit hashes could agree by chance in a very large corpus."""
     count = np.bincount(rows, minlength=n_rows)
     begin = np.concatenate([[0], np.cumsum(count)])
     raw = hashes.astype("<u8")
-    return [hashlib.blake2b(raw[a:b].tobytes(), digest_size=16).digest() if b > a else None for a, b in zip(begin[:-1], begin[1:], strict=True)], count, begin
+    out: list[bytes | None] = []
+    for i, (a, b) in enumerate(zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)):
+        if a == b:
+            out.append(None)
+        elif b - a <= FEW:
+            out.append(hashlib.blake2b(b"\n".join(sorted(shingles_of(data[off[i] : off[i + 1]].tobytes()))), digest_size=16, person=b"shingles").digest())
+        else:
+            out.append(hashlib.blake2b(raw[a:b].tobytes(), digest_size=16).digest())
+    return out, count, begin
 
 
 def _histograms(rows: np.ndarray, hashes: np.ndarray, n_rows: int) -> np.ndarray:
@@ -69,21 +92,24 @@ def _histograms(rows: np.ndarray, hashes: np.ndarray, n_rows: int) -> np.ndarray
     return np.minimum(flat, 255).astype(np.uint8).reshape(n_rows, BINS)
 
 
-def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sketch = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
-    names = ["doc_id", "n", "cls", "bins", "slice", "counts"]
-    for batch in batches:
-        ids = batch.column(0)
-        for lo, hi, data, off in text_steps(batch):
-            rows, h = shingle_hashes(data, off, WIDTH)
-            sketch += np.bincount((h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(sketch))
-            cls, count, _ = _digests(rows, h, hi - lo)
-            bins = _histograms(rows, h, hi - lo)
-            k = hi - lo
-            yield pa.RecordBatch.from_arrays([ids.slice(lo, k), pa.array(count, pa.int64()), binary_column(cls), binary_column([b.tobytes() if c else None for b, c in zip(bins, cls, strict=True)]), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=names)
-    if sketch.any():
-        parts = sketch.reshape(SLICES, -1)
-        yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.binary()), pa.nulls(SLICES, pa.binary()), pa.array(np.arange(SLICES), pa.int32()), binary_column([p.astype("<u4").tobytes() if p.max() < 2**32 else np.minimum(p, 2**32 - 1).astype("<u4").tobytes() for p in parts])], names=names)
+def _describe(key: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketch = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
+        names = ["doc_id", "n", "cls", "bins", "slice", "counts"]
+        for batch in batches:
+            ids = batch.column(0)
+            for lo, hi, data, off in text_steps(batch):
+                rows, h = shingle_hashes(data, off, WIDTH, key)
+                sketch += np.bincount((h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(sketch))
+                cls, count, _ = _digests(rows, h, hi - lo, data, off)
+                bins = _histograms(rows, h, hi - lo)
+                k = hi - lo
+                yield pa.RecordBatch.from_arrays([ids.slice(lo, k), pa.array(count, pa.int64()), binary_column(cls), binary_column([b.tobytes() if c else None for b, c in zip(bins, cls, strict=True)]), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=names)
+        if sketch.any():
+            parts = sketch.reshape(SLICES, -1)
+            yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.binary()), pa.nulls(SLICES, pa.binary()), pa.array(np.arange(SLICES), pa.int32()), binary_column([p.astype("<u4").tobytes() if p.max() < 2**32 else np.minimum(p, 2**32 - 1).astype("<u4").tobytes() for p in parts])], names=names)
+
+    return run
 
 
 def _add_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,7 +145,7 @@ def _global_order(rows: np.ndarray, h: np.ndarray, rank: np.ndarray) -> np.ndarr
     return np.lexsort((key, rows))  # stable: equal keys keep the order of their hashes
 
 
-def _prefixes(sketch, n_ranges: int):
+def _prefixes(sketch, n_ranges: int, key: int):
     """Packs every class's prefix entries by range of shingles; copies of a class within a flush are packed once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,10 +168,10 @@ def _prefixes(sketch, n_ranges: int):
 
         for batch in batches:
             for lo, hi, data, off in text_steps(batch):
-                rows, h = shingle_hashes(data, off, WIDTH)
+                rows, h = shingle_hashes(data, off, WIDTH, key)
                 if not len(h):
                     continue
-                cls, count, begin = _digests(rows, h, hi - lo)
+                cls, count, begin = _digests(rows, h, hi - lo, data, off)
                 fresh = np.zeros(hi - lo, dtype=bool)
                 for i, c in enumerate(cls):
                     if c is not None and c not in seen:
@@ -217,33 +243,34 @@ def _suffix_filter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(ok))
 
 
-def _of_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts that are still of the class for which they were fetched (a doc_id may be repeated with other text)."""
-    for batch in batches:
-        for lo, hi, data, off in text_steps(batch):
-            cls, _, _ = _digests(*shingle_hashes(data, off, WIDTH), hi - lo)
-            part = batch.slice(lo, hi - lo).select(["cls", "text"])
-            yield part.filter(pa.array([x[9:] == y for x, y in zip(part.column(0).to_pylist(), cls, strict=True)], pa.bool_()))
+def linked(a: str, b: str) -> bool:
+    """Whether two texts' shingle sets, as bytes, reach the threshold."""
+    x, y = shingles_of(a.encode()), shingles_of(b.encode())
+    return DEN * len(x & y) >= NUM * len(x | y)
 
 
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _verified(key: int):
     """Pairs whose shingle sets reach the threshold, by exact intersection."""
-    for batch in batches:
-        step = max(1, int(batch.num_rows * 2_000_000 / max(batch.nbytes, 1)))
-        for k in range(0, batch.num_rows, step):
-            part = batch.slice(k, step)
-            n = part.num_rows
-            sides = []
-            for name in ("text_a", "text_b"):
-                got = [(r + lo, h) for lo, _, data, off in text_steps(part, name) for r, h in [shingle_hashes(data, off, WIDTH)]]
-                sides.append((np.concatenate([r for r, _ in got]), np.concatenate([h for _, h in got])))
-            (ra, ha), (rb, hb) = sides
-            rows, h = np.concatenate([ra, rb]), np.concatenate([ha, hb])
-            order = np.lexsort((h, rows))
-            rows, h = rows[order], h[order]
-            both = np.bincount(rows[1:][(rows[1:] == rows[:-1]) & (h[1:] == h[:-1])], minlength=n)
-            union = np.bincount(rows, minlength=n) - both
-            yield part.select(["a", "b"]).filter(pa.array(DEN * both >= NUM * union))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            step = max(1, int(batch.num_rows * 2_000_000 / max(batch.nbytes, 1)))
+            for k in range(0, batch.num_rows, step):
+                part = batch.slice(k, step)
+                n = part.num_rows
+                sides = []
+                for name in ("text_a", "text_b"):
+                    got = [(r + lo, h) for lo, _, data, off in text_steps(part, name) for r, h in [shingle_hashes(data, off, WIDTH, key)]]
+                    sides.append((np.concatenate([r for r, _ in got]), np.concatenate([h for _, h in got])))
+                (ra, ha), (rb, hb) = sides
+                rows, h = np.concatenate([ra, rb]), np.concatenate([ha, hb])
+                order = np.lexsort((h, rows))
+                rows, h = rows[order], h[order]
+                both = np.bincount(rows[1:][(rows[1:] == rows[:-1]) & (h[1:] == h[:-1])], minlength=n)
+                union = np.bincount(rows, minlength=n) - both
+                yield part.select(["a", "b"]).filter(pa.array(DEN * both >= NUM * union))
+
+    return run
 
 
 def _count(of: np.ndarray, h: np.ndarray, left: np.ndarray, right: np.ndarray, n: int, columns: int = 4096) -> np.ndarray:
@@ -269,7 +296,7 @@ def _count(of: np.ndarray, h: np.ndarray, left: np.ndarray, right: np.ndarray, n
     return out
 
 
-def _blocks(sketch):
+def _blocks(sketch, key: int):
     """Links between two blocks of one shingle's classes; rows arrive sorted by (token, lo, hi)."""
 
     def links(rows: list[tuple]) -> tuple[list[bytes], list[bytes]]:
@@ -287,7 +314,7 @@ def _blocks(sketch):
         if not ok.any():
             return [], []
         left, right, ok = left[ok.any(1)], right[ok.any(0)], ok[ok.any(1)][:, ok.any(0)]
-        got = [(r + a, h) for a, _, data, off in text_steps(pa.RecordBatch.from_arrays([pa.array(text, pa.string())], names=["text"])) for r, h in [shingle_hashes(data, off, WIDTH)]]
+        got = [(r + a, h) for a, _, data, off in text_steps(pa.RecordBatch.from_arrays([pa.array(text, pa.string())], names=["text"])) for r, h in [shingle_hashes(data, off, WIDTH, key)]]
         of, h = np.concatenate([r for r, _ in got]), np.concatenate([x for _, x in got])
         order = _global_order(of, h, _rank(sketch.value))
         begin = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(rows)))])
@@ -299,7 +326,8 @@ def _blocks(sketch):
         both = _count(of, h, left, right, len(rows))
         ok &= DEN * both >= NUM * (size[left][:, None] + size[right][None, :] - both)
         i, j = np.nonzero(ok)
-        i, j = left[i], right[j]
+        sure = np.array([size[left[x]] > FEW or linked(text[left[x]], text[right[y]]) for x, y in zip(i.tolist(), j.tolist(), strict=True)], dtype=bool)
+        i, j = left[i[sure]], right[j[sure]]
         label = np.arange(len(rows))
         while True:  # a forest of the links: each class to the least of its component here
             least = np.minimum(label[i], label[j])
@@ -331,11 +359,14 @@ def _blocks(sketch):
     return run
 
 
-def _classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for lo, hi, data, off in text_steps(batch):
-            cls, _, _ = _digests(*shingle_hashes(data, off, WIDTH), hi - lo)
-            yield pa.RecordBatch.from_arrays([binary_column(cls), batch.slice(lo, hi - lo).column(0)], names=["cls", "text"])
+def _classed(key: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, off in text_steps(batch):
+                cls, _, _ = _digests(*shingle_hashes(data, off, WIDTH, key), hi - lo, data, off)
+                yield pa.RecordBatch.from_arrays([binary_column(cls), batch.slice(lo, hi - lo).column(0)], names=["cls", "text"])
+
+    return run
 
 
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -359,10 +390,11 @@ class NearDuplicates:
 
     def __init__(self, documents: DataFrame):
         spark = documents.sparkSession
+        self._key = key = secrets.randbits(63)
         docs = documents.select(F.col("`doc_id`").cast("bigint").alias("doc_id"), F.col("`text`").cast("string").alias("text"))
         texts = docs.filter("text is not null")
         self._docs = docs
-        first = materialize(docs.mapInArrow(_describe, "doc_id bigint, n bigint, cls binary, bins binary, slice int, counts binary"), "described")
+        first = materialize(docs.mapInArrow(_describe(key), "doc_id bigint, n bigint, cls binary, bins binary, slice int, counts binary"), "described")
         counts = _sketch(first)
         self._described = first
         rows = first.filter("slice is null")
@@ -370,15 +402,19 @@ class NearDuplicates:
         total = int(counts.sum())
         n_ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total * 0.25 / RANGE_ENTRIES))
         sketch = spark.sparkContext.broadcast(counts.astype(np.int64))
-        packed = texts.mapInArrow(_prefixes(sketch, n_ranges), "range int, token binary, cid binary, size binary, pos binary, salt binary")
+        packed = texts.mapInArrow(_prefixes(sketch, n_ranges, key), "range int, token binary, cid binary, size binary, pos binary, salt binary")
         shared = materialize(packed.repartition(n_ranges, "range").sortWithinPartitions("range").mapInArrow(_shared, "token bigint, cid bigint, size bigint, pos bigint, other bigint"), "shared")
         keyed = classes.select("cls", "rep", "n", "bins").mapInArrow(_nodes, "cls binary, rep bigint, n bigint, bins binary, cid bigint")
         named = materialize(keyed.join(shared.select("cid").distinct(), "cid", "left_semi"), "named")
-        reps = named.filter("rep is not null").select("cls", F.col("rep").alias("doc_id"))
-        lone = named.filter("rep is null").select(F.col("cls").alias("node"), F.expr("substring(cls, 10, 16)").alias("cls"))
-        lone = texts.filter("doc_id is null").select("text").mapInArrow(_classed, "cls binary, text string").join(lone, "cls").groupBy("node").agg(F.min("text").alias("text"))
-        found = texts.join(reps.hint("merge"), "doc_id").select("cls", "text").mapInArrow(_of_class, "cls binary, text string")
-        held = materialize(found.union(lone), "texts")
+        nodes = named.select(F.col("cls").alias("node"), "rep", F.expr("substring(cls, 10, 16)").alias("cls"))
+        if rows.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
+            found = texts.join(nodes.filter("rep is not null").select("node", F.col("rep").alias("doc_id")).hint("merge"), "doc_id").select(F.col("node").alias("cls"), "text")
+            lone = nodes.filter("rep is null")
+        else:  # doc_ids don't name a text: find every class's by its digest
+            found, lone = None, nodes
+        by_class = (texts.filter("doc_id is null") if found is not None else texts).select("text").mapInArrow(_classed(key), "cls binary, text string").groupBy("cls").agg(F.min("text").alias("text"))
+        by_class = by_class.join(lone.hint("merge"), "cls").select(F.col("node").alias("cls"), "text")
+        held = materialize(by_class if found is None else found.union(by_class), "texts")  # one text a class
         # round A: one neighbour per class
         near = shared.filter("other is not null").groupBy("cid", "other").count().groupBy("cid").agg(F.max_by("other", F.struct("count", "other")).alias("other"))
         name_a, name_b = (named.select(F.col("cid").alias(c), F.col("cls").alias(x), F.col("n").alias(f"n_{x}"), F.col("bins").alias(f"bins_{x}")) for c, x in (("cid", "a"), ("other", "b")))
@@ -391,22 +427,26 @@ class NearDuplicates:
         entries = materialize(entries, "entries")
         mixed = entries.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("group"), F.sum("size").alias("sizes")).filter("lo < hi").select("token", "group", F.ceil(F.col("sizes") / BLOCK_SHINGLES).alias("blocks"))
         mixed = materialize(mixed, "mixed")
-        open_rows = materialize(salted_join(entries, mixed, "token", hot_keys(mixed, "token", "group")), "open")
-        a, b = (open_rows.filter(F.col("group") <= GROUP).select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("cls", "comp", "size", "pos")]) for x in "ab")
-        where = f"""comp_a <> comp_b and (size_a < size_b or size_a = size_b and cls_a < cls_b)
-            and {DEN} * size_a >= {NUM} * size_b
-            and pos_a < size_a - ceil({2 * NUM} * size_a / {NUM + DEN}) + 1
-            and {NUM + DEN} * least(size_a - pos_a, size_b - pos_b) >= {NUM} * (size_a + size_b)"""
-        more = a.hint("merge").join(b, "token").filter(where).select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).distinct()
-        side = named.select("cls", "n", "bins")
-        more = more.join(side.select(F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("bins").alias("bins_a")).hint("merge"), "a").join(side.select(F.col("cls").alias("b"), F.col("n").alias("n_b"), F.col("bins").alias("bins_b")).hint("merge"), "b")
-        few = self._check(more.select("a", "b", "n_a", "n_b", "bins_a", "bins_b"), held)
-        dealt = open_rows.filter(F.col("group") > GROUP).withColumn("blk", F.expr("pmod(xxhash64(cls), blocks)")).join(held.hint("merge"), "cls")
-        dealt = dealt.withColumn("k", F.explode(F.expr("sequence(0L, blocks - 1)"))).select("token", F.least("blk", "k").alias("lo"), F.greatest("blk", "k").alias("hi"), "blk", "cls", "comp", "size", "pos", "text")
-        many = dealt.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi").mapInArrow(_blocks(sketch), "a binary, b binary")
-        links_b = materialize(few.union(many), "links")
-        edges = comp_a.filter("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v")).union(links_b.select("a", "b"))
-        comp = components(edges)
+        if mixed.isEmpty():  # no shingle joins two components
+            open_rows = links_b = None
+            comp = comp_a
+        else:
+            open_rows = materialize(salted_join(entries, mixed, "token", hot_keys(mixed, "token", "group")), "open")
+            a, b = (open_rows.filter(F.col("group") <= GROUP).select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("cls", "comp", "size", "pos")]) for x in "ab")
+            where = f"""comp_a <> comp_b and (size_a < size_b or size_a = size_b and cls_a < cls_b)
+                and {DEN} * size_a >= {NUM} * size_b
+                and pos_a < size_a - ceil({2 * NUM} * size_a / {NUM + DEN}) + 1
+                and {NUM + DEN} * least(size_a - pos_a, size_b - pos_b) >= {NUM} * (size_a + size_b)"""
+            more = a.hint("merge").join(b, "token").filter(where).select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).distinct()
+            side = named.select("cls", "n", "bins")
+            more = more.join(side.select(F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("bins").alias("bins_a")).hint("merge"), "a").join(side.select(F.col("cls").alias("b"), F.col("n").alias("n_b"), F.col("bins").alias("bins_b")).hint("merge"), "b")
+            few = self._check(more.select("a", "b", "n_a", "n_b", "bins_a", "bins_b"), held)
+            dealt = open_rows.filter(F.col("group") > GROUP).withColumn("blk", F.expr("pmod(xxhash64(cls), blocks)")).join(held.hint("merge"), "cls")
+            dealt = dealt.withColumn("k", F.explode(F.expr("sequence(0L, blocks - 1)"))).select("token", F.least("blk", "k").alias("lo"), F.greatest("blk", "k").alias("hi"), "blk", "cls", "comp", "size", "pos", "text")
+            many = dealt.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi").mapInArrow(_blocks(sketch, key), "a binary, b binary")
+            links_b = materialize(few.union(many), "links")
+            edges = comp_a.filter("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v")).union(links_b.select("a", "b"))
+            comp = components(edges)
         # a component is named by the node of its least doc_id
         self.labels = materialize(comp.mapInArrow(_least_ids, "cls binary, component_id bigint"), "labels")
         drop_scratch(shared, named, held, links_a, links_b, comp_a, entries, mixed, open_rows)
@@ -417,7 +457,7 @@ class NearDuplicates:
         pairs = pairs.mapInArrow(_suffix_filter, "a binary, b binary")
         for x in "ab":
             pairs = pairs.join(held.select(F.col("cls").alias(x), F.col("text").alias(f"text_{x}")).hint("merge"), x)
-        return pairs.mapInArrow(_verified, "a binary, b binary").distinct()
+        return pairs.mapInArrow(_verified(self._key), "a binary, b binary").distinct()
 
     def table(self) -> DataFrame:
         """doc_id, n_shingles, component_id, class_id: one row for each row of documents."""

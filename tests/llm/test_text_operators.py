@@ -4,6 +4,7 @@ import bisect
 import math
 import random
 import re
+import time
 
 import numpy as np
 
@@ -56,6 +57,38 @@ def corpus(seed=4):
     return [(i * 3 + 1, t) for i, t in enumerate(rows)]
 
 
+def test_words_made_to_collide_under_a_sum_over_bytes_are_told_apart(spark):
+    pair = "aababbbbaabbbaababbaaaaaaaabaaabbaabbaaaaabbaaabbbaaaaaaaaab", "abaaaaaabbaaabbabaabbbbbaababbbaaaaaabbbaaaaabbaaaaaabaabbba"
+    rows = [(1, pair[0]), (2, pair[1]), (3, pair[0].upper())]
+    for k, base in enumerate(("one two three four", "x " * 40)):
+        rows += [(10 * k + 10, f"{base} {pair[0]}"), (10 * k + 11, f"{base} {pair[1]}")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted(map(tuple, ngram_join.near_duplicates(docs).select("doc_id", "n_shingles", "component_id").collect()))
+    assert got == brute_components(rows) and [r[2] for r in got[:3]] == [1, 2, 1]
+
+
+def test_word_hashes_follow_the_bytes_alone():
+    words = [b"a", b"b", b"abcdefgh", b"abcdefghi", b"abcdefgh\x00", b"x" * 255, b"x" * 256, b"x" * 257, b"x" * 300 + b"y", b"x" * 300 + b"z", b"abcdefgha"]
+    hashed = []
+    for order in (words, words[::-1]):
+        data = np.frombuffer(b" ".join(order), np.uint8)
+        end = np.cumsum([len(w) + 1 for w in order]) - 1
+        got = common.word_hashes(data, end - [len(w) for w in order], end, 99)
+        hashed.append(dict(zip(order, got.tolist(), strict=True)))
+        assert len(set(got.tolist())) == len(words) and not set(got.tolist()) & set(common.word_hashes(data, end - [len(w) for w in order], end, 98).tolist())
+    assert hashed[0] == hashed[1]
+
+
+def test_repeated_rows_are_verified_once(spark):
+    """Two near copies and others, their rows many times over, some doc_ids with more than one text."""
+    base = " ".join(WORDS[:60])
+    rows = [(1, base), (2, base + " tail"), (3, "quite another text than those"), (1, "another text of the first id")] * 300 + [(None, base + " end"), (4, None)]
+    began = time.time()
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {tuple(r) for r in ngram_join.near_duplicates(docs).select("doc_id", "n_shingles", "component_id").collect()}
+    assert got == {(1, 56, 1), (2, 57, 1), (3, 1, 3), (1, 2, 1), (None, 57, 1), (4, 0, 4)} and time.time() - began < 300
+
+
 def test_ngram_join(spark):
     rows = corpus()
     df = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "'x' as cls", "1 as n", "'en' as lang")
