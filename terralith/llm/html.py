@@ -36,7 +36,9 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements whose content is no markup, up to their end tag.
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 #: Elements without readable text.
-HIDDEN = RAW | frozenset("head template noscript svg math canvas object audio video select datalist".split())
+HIDDEN = RAW | frozenset("head template noscript svg math canvas object audio video select datalist button".split())
+#: Hidden elements that stand inside a line without ending it.
+_VEILED = HIDDEN - RAW - {"head"}
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark meter output progress q rp rt ruby s samp small span strike strong sub sup time tt u var wbr button".split())
 _CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -46,19 +48,40 @@ _BOUNDS = frozenset("table caption td th template object button".split())
 _IN_HEAD = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
 #: A start tag ends the open elements of these names, but for those around the nearest of the second.
 _SAME = {"li": (["li"], ["ul", "ol", "menu", "table", "td", "th"]), "dt": (["dt", "dd"], ["dl", "table", "td", "th"]), "dd": (["dt", "dd"], ["dl", "table", "td", "th"]), "tr": (["tr", "td", "th"], ["table"]), "td": (["td", "th"], ["tr", "table"]), "th": (["td", "th"], ["tr", "table"]), "option": (["option"], ["select"])}
-_MARKUP = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*'|[\"'])*+)(?:>|\Z))", re.S)
+_MARKUP = re.compile(r"<(?:!--(?:-?>|.*?(?:--!?>|\Z))|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*'|[\"'])*+)(?:>|\Z))", re.S)
 _NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _TOKEN = re.compile(r"[A-Z]?[a-z]{2,}|[A-Z]{2,}")
 _LABEL = re.compile(r"\bdata-main=(\d)")
 FEATURES = ["tag", "attr_least", "attr_most", "above", "best_above", "parent_tag", "depth", "place", "siblings", "chars", "links", "tags", "block", "stops", "paragraphs", "start", "share", "before", "after", "parent_links", "controls"]
 
 
+_SCRIPT = re.compile(r"<!--|-->|<(/?)script(?=[\s/>])[^>]*>?", re.I)
+
+
+def _script_end(html: str, at: int) -> int:
+    """Where a script's content ends: behind its end tag, but not behind one that answers a start tag within a comment."""
+    escaped = inner = False
+    for m in _SCRIPT.finditer(html, at):
+        if m[0] == "<!--":
+            escaped = True
+        elif m[0] == "-->":
+            escaped = inner = False
+        elif not m[1]:
+            inner = escaped
+        elif inner:
+            inner = False
+        else:
+            return m.end()
+    return len(html)
+
+
 class Page:
     """Nodes in page order: tag ("#" for a block), parent, attribute tokens, text (blocks), label (training pages).
 
     One pass, whose cost is linear in the page: open elements are counted by name, so no tag looks through the others.
     Start tags that can't be in head end it, as in HTML; inline elements never hold blocks open. A hidden element without
-    an end tag in the rest of the page hides nothing, but script and style run to the end of the page.
+    an end tag in the rest of the page hides nothing, but script, style and textarea run to the end of the page. Hidden
+    elements inside a line, such as buttons, don't end it.
     """
 
     def __init__(self, html: str):
@@ -67,6 +90,7 @@ class Page:
         self._stack: list[tuple[str, int, int]] = [("html", 0, 0)]  # open block-level and hidden elements: name, node, open links
         self._open: dict[str, list[int]] = {}  # places in the stack by name
         self._bounds: list[int] = [0]  # places of elements that no end tag inside them reaches over
+        self._veiled: list[int] = []  # places in the stack of hidden elements inside a line
         self._hidden = self._links = self._linked = 0
         self._piece: list[str] = []
         self._read()
@@ -79,6 +103,8 @@ class Page:
         return len(self.tag) - 1
 
     def _flush(self) -> None:
+        if self._veiled:
+            return
         if self._piece:
             text = "".join(self._piece)
             text = " ".join((unescape(text) if "&" in text else text).split())
@@ -102,11 +128,20 @@ class Page:
         self._open.setdefault(name, []).append(at)
         if name in _BOUNDS:
             self._bounds.append(at)
+        if name in _VEILED:
+            self._veiled.append(at)
         self._hidden += name in HIDDEN
         self._stack.append((name, node, self._links))
 
     def _pop_to(self, k: int) -> None:
+        if self._veiled:  # the line goes on behind what it hides
+            self._drop_to(max(k, self._veiled[0]))
+            if len(self._stack) <= k:
+                return
         self._flush()
+        self._drop_to(k)
+
+    def _drop_to(self, k: int) -> None:
         while len(self._stack) > k:
             name, _, self._links = self._stack.pop()
             places = self._open[name]
@@ -115,6 +150,8 @@ class Page:
                 del self._open[name]
             if name in _BOUNDS:
                 self._bounds.pop()
+            if name in _VEILED:
+                self._veiled.pop()
             self._hidden -= name in HIDDEN
 
     def _last(self, name: str) -> int:
@@ -182,7 +219,9 @@ class Page:
             elif name == "a":
                 self._links = 1  # a link within a link ends the outer one
             elif name in HIDDEN:
-                if name in ("script", "style"):
+                if name == "script":
+                    at = _script_end(html, at)
+                elif name in ("style", "textarea"):
                     end = re.compile(rf"</{name}(?![a-z0-9-])[^>]*>?", re.I).search(html, at) if self._has_end(name, at) else None
                     at = end.end() if end else size
                 elif name in RAW:
@@ -191,7 +230,8 @@ class Page:
                     elif name == "title":  # its text is up to the next tag then
                         at = html.find("<", at) if html.find("<", at) >= 0 else size
                 elif name == "head" or self._has_end(name, at):
-                    self._flush()
+                    if name == "head":
+                        self._flush()
                     self._push(name, self._stack[-1][1])
             elif name not in INLINE:
                 self._flush()

@@ -67,6 +67,40 @@ def test_heads_and_hidden_elements():
     assert texts(main.replace("</article>", "<noscript><p>cut</article>"))[0] == want + "\ncut"
 
 
+def test_comments_scripts_and_controls_as_in_html():
+    blocks = lambda h: [t for t in html.Page(h).text if t]
+    more = "<p>More.</p>"
+    for comment in ("<!-- c --!>", "<!-->", "<!--->", "<!-- a -- b -->", "<!---->", "<!-- > -->"):
+        assert blocks(f"<p>The river runs down {comment}to the sea</p>{more}") == ["The river runs down to the sea", "More."], comment
+    for script in ("if (a < b) '<p>x</p>'", "<!-- <script> x </script> y -->", "<!-- x", "<!-- <script> --> z"):
+        assert blocks(f"<p>One<script>{script}</script> two</p>{more}") == ["One two", "More."], script
+    for control in ("<button>Buy <b>now</b></button>", "<select><option>a<option>b</select>", "<svg><title>t</title><path d='x'/></svg>", "<textarea><p>no</textarea>", "<datalist><option value=a>a</option></datalist>"):
+        assert blocks(f"<p>Before {control} behind</p>{more}") == ["Before behind", "More."], control
+    assert blocks(f"<p>Before <button>open</p>{more}")[-1] == "More." and blocks(f"<p>Before <select><option>a</p>{more}")[0].startswith("Before")
+    assert blocks("<p>Kept</p><textarea>never <p>ended") == ["Kept"]
+    assert blocks(f"<div>a<button><div>b</div></button>c</div>{more}") == ["a c", "More."] or blocks(f"<div>a<button><div>b</div></button>c</div>{more}") == ["ac", "More."]
+
+
+def test_decoding_is_the_best_labelling():
+    """Against all labellings of small trees in which no kept node hangs below a dropped one."""
+    rng = np.random.default_rng(3)
+    for trial in range(60):
+        n = int(rng.integers(2, 12))
+        page = html.Page("<p>x</p>")
+        page.parent = [-1, *[int(rng.integers(0, k)) for k in range(1, n)]]
+        page.tag, page.text = ["html", *["#"] * (n - 1)], ["", *[f"t{k}" for k in range(1, n)]]
+        odds = rng.normal(size=n)
+        best = None
+        for bits in range(1 << (n - 1)):
+            keep = [True, *[bool(bits >> k & 1) for k in range(n - 1)]]
+            if all(keep[page.parent[k]] or not keep[k] for k in range(1, n)):
+                value = sum(odds[k] for k in range(1, n) if keep[k])
+                if best is None or value > best[0]:
+                    best = value, keep
+        got = page.decode(odds)
+        assert got == "\n".join(t for t, k in zip(page.text, best[1], strict=True) if k and t), trial
+
+
 def test_reading_is_linear():
     """Doubling a page of unclosed or nested tags doubles the time, to some MB."""
     for unit in ("<b>x <i>y</u> ", "<div>x", "<ul><li><div>x</p>", "<table><td>x</div>", "<noscript>x", "<title>x", "<a \"'>x"):
