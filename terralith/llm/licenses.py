@@ -9,9 +9,10 @@ half of whose other licences are in no training paragraph, and families below `S
 the paragraph. What doesn't match `ANCHORS` is left out before the model is asked; a template asks for a larger share than
 what doesn't match can have of it (`_share`), so this loses nothing.
 
-Of neighbouring lines, every run with fewer than `REACH` words between its first and last line is asked, with at most
-`REACH` words of those two; a template is shorter, so however it is wrapped, some run holds it. Single lines that are
-found stand first. Then come the runs, most similar first, then shortest, then first, where no line is taken yet.
+Single lines are asked first, and what is found stands. Of the neighbouring lines that are left, every run with fewer than `REACH` words between its first and last line is asked, with at most
+`REACH` words of those two; a template is shorter, so however it is wrapped, some run holds it. Runs
+that overlap make a group; in each the most similar stands first, then the shortest, then the first, where no line is taken
+yet. A text of any number of lines, all of them licences, costs in proportion to them.
 
 null and blank texts have no rows; a document has one row for each licence paragraph, so repeated rows repeat them.
 """
@@ -24,9 +25,11 @@ import re
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from terralith.llm.common import materialize
+
 #: Short public wordings by which licences are named, and telling sentences of their texts.
 TEMPLATES = {
     "agpl": ["licensed under the gnu affero general public license version 3", "released under the agpl-3.0 license", "gnu affero general public license", "agpl-3.0", "agpl-3.0-only", "agpl-3.0-or-later"],
@@ -185,9 +188,8 @@ def grams(text: Column) -> Column:
 
 
 def _runs(docs: DataFrame) -> DataFrame:
-    """The lines, and runs of lines, that hold an anchor, each once: under the first line in which, or from which on, it has one."""
-    words = F.transform("lines", lambda x: F.trim(F.regexp_replace(F.lower(x), r"[^a-z0-9.\-]+", " ")))
-    docs = docs.select("row", "doc_id", _once(words).alias("w"))
+    """The runs of two lines and more that hold an anchor, each once: under the first line in which, or from which on, it has one."""
+    docs = docs.select("row", "doc_id", F.col("lines").alias("w"))
     held = F.transform("w", lambda x, i: F.when(F.concat_ws(" ", x, F.get(F.col("w"), i + 1)).rlike(ANCHORS), i))
     docs = docs.withColumn("at", _once(F.filter(held, lambda i: i.isNotNull())))
     lo = lambda a, k: F.greatest(F.coalesce(F.get(F.col("at"), k - 1) + 1, F.lit(0)), a - REACH)
@@ -203,22 +205,19 @@ def _runs(docs: DataFrame) -> DataFrame:
         n = F.when(fits, F.when(s.k == 0, 0).otherwise(s.n + size(x))).otherwise(REACH)
         return F.struct(n.cast("int").alias("n"), (s.k + 1).cast("int").alias("k"), F.when(fits, F.array_append(s.ends, s.k)).otherwise(s.ends).alias("ends"))
 
-    ends = F.filter(F.aggregate("w", none, step, lambda s: s.ends), lambda j: j >= F.col("need"))
+    ends = F.filter(F.aggregate("w", none, step, lambda s: s.ends), lambda j: (j >= F.col("need")) & (j > 0))
     runs = starts.select("row", "doc_id", "first", "w", F.explode(ends).alias("j"))
     words_of = lambda k: F.split(F.get(F.col("w"), k), " ")
     head, tail = words_of(F.lit(0)), words_of(F.col("j"))
-    text = F.when(F.col("j") == 0, F.get("w", F.lit(0))).otherwise(F.concat_ws(" ", F.slice(head, F.greatest(F.size(head) - REACH + 1, F.lit(1)), REACH), F.slice("w", F.lit(2), F.greatest(F.col("j") - 1, F.lit(0))), F.slice(tail, 1, REACH)))
+    text = F.concat_ws(" ", F.slice(head, F.greatest(F.size(head) - REACH + 1, F.lit(1)), REACH), F.slice("w", F.lit(2), F.col("j") - 1), F.slice(tail, 1, REACH))
     return runs.select("row", "doc_id", "first", (F.col("first") + F.col("j")).alias("last"), _once(text).alias("line")).filter(F.col("line").rlike(ANCHORS))
 
 
-def scan(documents: DataFrame) -> DataFrame:
-    """doc_id, paragraph (number from 0 of its first line), family, confidence and similarity of every licence paragraph."""
+def _judged(paragraphs: DataFrame) -> DataFrame:
+    """Of paragraphs (row, doc_id, first, last, line) those that are a licence's, with family, confidence and similarity."""
     model = train()
     strings = lambda xs: F.from_json(F.lit(json.dumps(list(xs))), "array<string>")  # noqa: E731  folded into one literal
-    docs = documents.select(F.col("`doc_id`").cast("bigint").alias("doc_id"), F.col("`text`").cast("string").alias("text"))
-    docs = docs.filter(F.col("text").rlike(f"(?i)({ANCHORS.replace(' ', '[^a-z0-9.-]+')})"))
-    docs = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.split("text", r"\r\n|\n|\r").alias("lines"))
-    rows = _runs(docs).select("row", "doc_id", "first", "last", _once(grams(F.col("line"))).alias("grams"))
+    rows = paragraphs.select("row", "doc_id", "first", "last", _once(grams(F.col("line"))).alias("grams"))
     vocabulary = strings(model["vocabulary"])
     rows = rows.withColumn("hit", _once(F.transform(F.array_intersect("grams", vocabulary), lambda g: F.array_position(vocabulary, g).cast("int"))))
 
@@ -237,13 +236,33 @@ def scan(documents: DataFrame) -> DataFrame:
         best = F.greatest(*share) if len(share) > 1 else share[0]
         same = F.when(F.col("k") == k, best) if same is None else same.when(F.col("k") == k, best)
     rows = rows.withColumn("similarity", _once(same)).filter(F.col("similarity").isNotNull())
-    length = F.col("last") - F.col("first")
-    found = F.struct((length > 0).alias("joined"), (-F.col("similarity")).alias("_s"), length.alias("_n"), "first", "last", F.element_at(strings(TEMPLATES), F.col("k")).alias("family"), "confidence", "similarity")
-    every = rows.groupBy("row", "doc_id").agg(F.sort_array(F.collect_list(found)).alias("every"))
+    return rows.select("row", "doc_id", F.col("first").cast("int").alias("first"), F.col("last").cast("int").alias("last"), F.element_at(strings(TEMPLATES), F.col("k")).alias("family"), "confidence", "similarity")
+
+
+def scan(documents: DataFrame) -> DataFrame:
+    """doc_id, paragraph (number from 0 of its first line), family, confidence and similarity of every licence paragraph."""
+    docs = documents.select(F.col("`doc_id`").cast("bigint").alias("doc_id"), F.col("`text`").cast("string").alias("text"))
+    docs = docs.filter(F.col("text").rlike(f"(?i)({ANCHORS.replace(' ', '[^a-z0-9.-]+')})"))
+    words = F.transform(F.split("text", r"\r\n|\n|\r"), lambda x: F.trim(F.regexp_replace(F.lower(x), r"[^a-z0-9.\-]+", " ")))
+    docs = materialize(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", words.alias("lines")), "licensed")  # few of all documents
+    lines = docs.select("row", "doc_id", F.posexplode("lines").alias("first", "line"))
+    single = materialize(_judged(lines.filter(F.col("line").rlike(ANCHORS)).withColumn("last", F.col("first"))), "single")
+    # documents with found lines, these left blank: a run reaches over none
+    marks = single.select("row", "first", F.lit(True).alias("found"))
+    some = docs.join(marks.select("row").distinct(), "row", "left_semi").select("row", "doc_id", F.posexplode("lines").alias("first", "line")).join(marks, ["row", "first"], "left")
+    blanked = some.groupBy("row", "doc_id").agg(F.sort_array(F.collect_list(F.struct("first", F.when(F.col("found"), "").otherwise(F.col("line")).alias("line")))).alias("x")).select("row", "doc_id", F.col("x.line").alias("lines"))
+    left = docs.join(marks.select("row").distinct(), "row", "left_anti").union(blanked)
+    runs = _judged(_runs(left))
+    # groups of runs that overlap
+    w = Window.partitionBy("row").orderBy("first", "last")
+    opens = F.when(F.col("first") > F.max("last").over(w.rowsBetween(Window.unboundedPreceding, -1)), 1).otherwise(0)
+    runs = runs.withColumn("opens", opens).withColumn("group", F.sum("opens").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    found = F.struct((-F.col("similarity")).alias("_s"), (F.col("last") - F.col("first")).alias("_n"), "first", "last", "family", "confidence", "similarity")
+    every = runs.groupBy("row", "group", "doc_id").agg(F.sort_array(F.collect_list(found)).alias("every"))
     free = lambda taken, x: ~F.exists(taken, lambda t: (t.first <= x.last) & (x.first <= t.last))
     kept = F.aggregate("every", F.slice("every", 1, 0), lambda taken, x: F.when(free(taken, x), F.array_append(taken, x)).otherwise(taken))
-    out = every.select("doc_id", F.explode(kept).alias("x"))
-    return out.select("doc_id", F.col("x.first").cast("bigint").alias("paragraph"), "x.family", "x.confidence", "x.similarity")
+    joined = every.select("doc_id", F.explode(kept).alias("x")).select("doc_id", "x.first", "x.family", "x.confidence", "x.similarity")
+    return single.select("doc_id", "first", "family", "confidence", "similarity").union(joined).select("doc_id", F.col("first").cast("bigint").alias("paragraph"), "family", "confidence", "similarity")
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

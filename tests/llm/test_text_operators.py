@@ -251,6 +251,46 @@ def test_license_names(spark):
     assert licenses.scan(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
 
 
+def test_license_runs_against_all_runs(spark):
+    """Every run of lines, the greedy choice among them."""
+    rng = random.Random(5)
+    parts = ["Licensed under the", "Apache License,", "Version 2.0", "MIT", "License", "Released under the MIT License.", "GNU General Public", "License version 3", "Permission is hereby granted,", "free of charge,", "to any person", "some prose here", "", "--", "distributed under the Boost", "Software License"]
+    texts = ["\n".join(rng.choices(parts, k=rng.randint(2, 14))) for _ in range(60)] + ["MIT\nLicense\n" * 30]
+    want = []
+    for i, text in enumerate(texts):
+        lines = [" ".join(re.sub(r"[^a-z0-9.\-]+", " ", x.lower()).split(" ")).strip() for x in text.split("\n")]
+        single = {k: licenses.classify(x) for k, x in enumerate(lines) if x and re.search(licenses.ANCHORS, x)}
+        taken = {k for k, found in single.items() if found}
+        want += [(i, k, single[k][0]) for k in taken]
+        runs = []
+        for a in range(len(lines)):
+            between = 0
+            for b in range(a + 1, len(lines)):
+                if {a, b} & taken or not lines[a] or not lines[b] or between >= licenses.REACH:
+                    break
+                joined = " ".join([*lines[a].split()[-licenses.REACH :], *lines[a + 1 : b], *lines[b].split()[: licenses.REACH]])
+                found = licenses.classify(joined) if re.search(licenses.ANCHORS, joined) else None
+                if found:
+                    runs.append((-found[2], b - a, a, b, found[0]))
+                between += len(lines[b].split())
+        for _, _, a, b, family in sorted(runs):
+            if not taken & set(range(a, b + 1)):
+                taken |= set(range(a, b + 1))
+                want.append((i, a, family))
+    got = sorted((r.doc_id, r.paragraph, r.family) for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect())
+    assert got == sorted(want) and len(want) > 80
+
+
+def test_many_license_lines_cost_in_proportion(spark):
+    took = {}
+    for n in (2_000, 100_000):
+        docs = spark.createDataFrame([(1, "MIT License\n" * n)], "doc_id bigint, text string")
+        began = time.time()
+        assert licenses.scan(docs).count() == n
+        took[n] = time.time() - began
+    assert took[100_000] < 120
+
+
 def test_license_anchors():
     """A paragraph that the filter leaves out confirms no template."""
     for text in (t for ts in licenses.TEMPLATES.values() for t in ts):
