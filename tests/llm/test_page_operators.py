@@ -152,6 +152,17 @@ def test_held_out_urls(spark):
     assert used == set(urls.FEATURES)  # no kind of address is told by its words alone
 
 
+def test_addresses_written_apart(spark):
+    """Plain addresses that hold words of unwanted ones, long codes and parameters, and unwanted addresses."""
+    from tests.llm import addresses
+
+    rows = [*addresses.PLAIN, *addresses.UNWANTED]
+    got = {r.page_id: r.verdict for r in urls.judge(spark.createDataFrame(list(enumerate(rows)), "page_id bigint, url string"), rules=()).collect()}
+    n = len(addresses.PLAIN)
+    assert n >= 140 and len(rows) - n >= 40
+    assert sum(got[i] == "allow" for i in range(n)) >= 0.95 * n and sum(got[i] == "block" for i in range(n, len(rows))) >= 0.9 * (len(rows) - n)
+
+
 def test_url_scores_by_hand(spark):
     """Features and forest of every address, in Python, against the columns."""
     rows = [u for u, _ in urls.labelled_urls(300, seed=5)] + ["", "no scheme", "http://", "HTTP://A.B/c?d=e&f#g", "http://é.com/ü%20", None]
@@ -166,8 +177,8 @@ def test_url_scores_by_hand(spark):
         size = max(len(u), 1)
         names = re.split(r"[.\-]", host)
         entropy = -sum(u.count(c) / size * np.log2(u.count(c) / size) for c in set(u))
-        part = min([*(parts.get(n, prior) for n in names), *(v for p, v in parts.items() if len(p) >= 4 and any(p in n for n in names))])
-        x = [len(u), len(host), len(path), path.count("/"), host.count("."), sum(c in "0123456789" for c in u) / size, entropy, u.count("=") + u.count("&"), u.count("-") + u.count("_"), u.count("%"), suffixes.get(host.split(".")[-1], prior), part]
+        shares = [parts.get(n, prior) for n in names[:-1]] or [prior]
+        x = [len(u), len(host), len(path), path.count("/"), host.count("."), sum(c in "0123456789" for c in u) / size, entropy, u.count("=") + u.count("&"), u.count("-") + u.count("_"), u.count("%"), suffixes.get(host.split(".")[-1], prior), min(shares), sum(shares) / len(shares)]
         z = float(forest.raw(np.array([x]))[0])
         assert abs(got[i] - 1 / (1 + np.exp(-z))) < 1e-9, u
 
