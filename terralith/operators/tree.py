@@ -24,7 +24,10 @@ def labels(nodes: DataFrame) -> DataFrame:
     both = after.join(first, "id", "left")
     enter = F.struct((F.col("id") * 2).alias("step"), F.coalesce(F.col("child") * 2, F.col("id") * 2 + 1).alias("to"), F.lit(1).cast("bigint").alias("up"))
     leave = F.struct((F.col("id") * 2 + 1).alias("step"), F.coalesce(F.col("next") * 2, F.col("parent") * 2 + 1).alias("to"), F.lit(-1).cast("bigint").alias("up"))
-    walk = settle(both.select(F.inline(F.array(enter, leave))).withColumn("far", F.lit(1).cast("bigint")))
+    steps = settle(both.select(F.inline(F.array(enter, leave))).withColumn("far", F.lit(1).cast("bigint")))
+    given = steps.select(F.col("step").alias("to"), F.lit(True).alias("_given"))
+    lost = F.col("to").isNotNull() & F.col("_given").isNull()  # leads to a node that isn't given: goes round for ever
+    walk = settle(steps.join(given, "to", "left").withColumn("to", F.when(lost, F.col("step")).otherwise(F.col("to"))).select("step", "to", "far", "up"))
     n = walk.count()
     for _ in range(n.bit_length()):  # far: steps from here on, up: nodes entered less nodes left from here on
         ahead = walk.select(F.col("step").alias("to"), F.col("to").alias("_to"), F.col("far").alias("_far"), F.col("up").alias("_up"))
