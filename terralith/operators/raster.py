@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terralith.operators.scratch import settle
+
 #: Side of the blocks that array kernels work on.
 BLOCK = 256
 
@@ -127,13 +129,16 @@ def sobel(raster: DataFrame) -> DataFrame:
     return raster.select(F.inline(parts)).groupBy("x", "y").agg(F.sum("gx").alias("gx"), F.sum("gy").alias("gy"), F.count("*").alias("n")).filter("n = 8").drop("n")
 
 
-def distance_transform(mask: DataFrame, reach: int, straight: float = 1.0, slant: float = 1.4142135623730951) -> DataFrame:
+def distance_transform(mask: DataFrame, reach: int, straight: float = 1.0, slant: float = 1.4142135623730951, only: DataFrame | None = None) -> DataFrame:
     """Chamfer distance of every pixel to the nearest set one, up to reach; blocks carry a halo of reach pixels.
 
-    mask: x, y, v (0 or 1). Farther pixels have a null distance.
+    mask: x, y, v (0 or 1). Farther pixels have a null distance. only: the blocks (bx, by) that are wanted.
     """
     near = F.sequence(F.floor((F.col("x") - reach) / BLOCK), F.floor((F.col("x") + reach) / BLOCK)), F.sequence(F.floor((F.col("y") - reach) / BLOCK), F.floor((F.col("y") + reach) / BLOCK))
     tiled = mask.withColumn("bx", F.explode(near[0])).withColumn("by", F.explode(near[1]))
+    tiled = tiled.filter((F.col("v") > 0) | (F.floor(F.col("x") / BLOCK) == F.col("bx")) & (F.floor(F.col("y") / BLOCK) == F.col("by")))  # of the halo only set pixels count
+    if only is not None:
+        tiled = tiled.join(only, ["bx", "by"], "left_semi")
 
     def kernel(frame: pd.DataFrame) -> pd.DataFrame:
         bx, by = int(frame["bx"].iloc[0]), int(frame["by"].iloc[0])
@@ -158,6 +163,29 @@ def distance_transform(mask: DataFrame, reach: int, straight: float = 1.0, slant
     return tiled.groupBy("bx", "by").applyInPandas(kernel, "x bigint, y bigint, d double").select("x", "y", F.when(~F.isnan("d"), F.col("d")).alias("d"))
 
 
+def distance_field(mask: DataFrame, reach: int = 16, straight: float = 1.0, slant: float = 1.4142135623730951) -> DataFrame:
+    """(x, y, d): the chamfer distance of every pixel to the nearest set one, however far; null without any.
+
+    Blocks in which all pixels find a set one within reach are done; the others are taken again with four times the reach, so
+    a task holds a block and what lies about it as far as its own pixels must look.
+    """
+    pixels = settle(mask.select(F.col("x").cast("bigint").alias("x"), F.col("y").cast("bigint").alias("y"), "v"))
+    x0, x1, y0, y1, some = pixels.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y"), F.max("v")).first()
+    if not some:
+        return pixels.select("x", "y", F.lit(None).cast("double").alias("d"))
+    far = slant * (max(x1 - x0, y1 - y0) + 1)
+    only, out = None, None
+    while True:
+        blocks = {"bx": F.floor(F.col("x") / BLOCK), "by": F.floor(F.col("y") / BLOCK)}
+        found = settle(distance_transform(pixels, reach, straight, slant, only).withColumns(blocks))
+        left = settle(found.filter("d is null").select("bx", "by").distinct())
+        done = found.join(left, ["bx", "by"], "left_anti").select("x", "y", "d")
+        out = done if out is None else out.union(done)
+        if left.isEmpty() or reach > far:
+            return out
+        only, reach = left, reach * 4
+
+
 def polygon_area(corners: DataFrame, key: str = "id", order: str = "ordinal") -> DataFrame:
     """Signed area of each polygon (counter-clockwise is positive)."""
     w = Window.partitionBy(key).orderBy(order)

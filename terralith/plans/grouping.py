@@ -160,10 +160,10 @@ def parity_counts(v):
 _NEAR = "SELECT u.rgb, u.n, p.name, greatest(abs((u.rgb >> 16 & 255) - (p.rgb >> 16 & 255)), abs((u.rgb >> 8 & 255) - (p.rgb >> 8 & 255)), abs((u.rgb & 255) - (p.rgb & 255))) AS distance, p.ordinal FROM u CROSS JOIN palette p"
 
 
-@query(f"""WITH h AS (SELECT v % 700 * 7919 % 16777216 AS rgb FROM raster), u AS (SELECT rgb, count(*) AS n FROM h WHERE rgb NOT IN (SELECT rgb FROM palette) GROUP BY rgb), d AS ({_NEAR})
+@query(f"""WITH h AS (SELECT (v % 700 * 7919 + v % 3) % 16777216 AS rgb FROM raster), u AS (SELECT rgb, count(*) AS n FROM h WHERE rgb NOT IN (SELECT rgb FROM palette) GROUP BY rgb), d AS ({_NEAR})
     SELECT rgb, n, name, distance, CASE WHEN rgb = 0 THEN 'black' WHEN n < 10 OR n < 500 AND distance <= 8 THEN 'stray' ELSE 'unknown' END AS kind FROM (SELECT *, row_number() OVER (PARTITION BY rgb ORDER BY distance, ordinal) AS k FROM d) WHERE k = 1""")
 def unknown_colours(v):
-    return agg.colour_report(v("raster").selectExpr("v % 700 * 7919 % 16777216 as rgb"), v("palette"), spatial.nearest_colour)
+    return agg.colour_report(v("raster").selectExpr("(v % 700 * 7919 + v % 3) % 16777216 as rgb"), v("palette"), spatial.nearest_colour)
 
 
 @query("SELECT s.cat, coalesce(h.n, 0) AS hexes, s.parts, s.cat IN (1, 2, 3, 4) AS coast FROM (SELECT p_size % 15 AS cat, count(*) AS parts FROM part GROUP BY 1) s LEFT JOIN (SELECT cat, count(*) AS n FROM hexes GROUP BY cat) h ON h.cat = s.cat")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from terralith.operators import graph, heights, mesh, paths, ranks, repair, rivers, scatter
+from terralith.operators import graph, heights, hexops, mesh, paths, ranks, repair, rivers, scatter
 from terralith.plans.registry import query
 
 
@@ -164,3 +164,26 @@ def tile_codes(v):
     """Records with the codes of their path and size in dictionaries by first use."""
     t = v("tiles").withColumn("size", F.col("w") * 10 + F.col("h"))
     return ranks.coded(ranks.coded(t, "path", "ordinal", "path_code"), "size", "ordinal", "size_code").select("ordinal", "path_code", "size_code")
+
+
+_OPS = """o AS (SELECT CAST(p_partkey AS BIGINT) AS n, p_partkey * 7 % 50 AS c, p_partkey // 7 AS r, 1 + p_partkey % 3 AS k, p_partkey % 5 AS kind, p_partkey % 12 AS a, p_partkey * 5 % 12 AS b FROM part),
+    w AS (SELECT o.n, h.id, CASE WHEN kind > 2 THEN a END AS f, b AS t FROM o JOIN hexes h ON kind <> 2 AND kind <> 4 AND h.col BETWEEN c AND c + 2 * k AND h.row BETWEEN r - 1 AND r + k
+      UNION ALL SELECT o.n, h.id, NULL, b FROM o JOIN hexes h ON kind = 2 AND greatest(abs(h.col - c), abs(h.row - (h.col - h.col % 2) // 2 - (r - (c - c % 2) // 2)), abs(h.col - c + h.row - (h.col - h.col % 2) // 2 - (r - (c - c % 2) // 2))) <= k
+      UNION ALL SELECT o.n, h.id, a, b FROM o JOIN hexes h ON kind = 4 AND n % 200 = 4)"""
+
+
+@query(f"""WITH {_OPS}, l AS (SELECT id, list({{'n': n, 'f': CAST(f AS BIGINT), 't': CAST(t AS BIGINT)}} ORDER BY n) AS xs FROM w GROUP BY id)
+    SELECT h.id, list_reduce(list_prepend({{'n': CAST(-1 AS BIGINT), 'f': CAST(NULL AS BIGINT), 't': CAST(cat AS BIGINT)}}, coalesce(xs, [])), lambda p, x: CASE WHEN x.f IS NULL OR x.f = p.t THEN x ELSE p END).t AS value FROM hexes h LEFT JOIN l ON l.id = h.id""")
+def hex_operations(v):
+    """The map after one JSON operation for each part: rectangles, circles and replacements, some over the whole map."""
+    p = v("part").selectExpr("cast(p_partkey as bigint) as n", "cast(p_partkey * 7 % 50 as int) as c", "cast(p_partkey div 7 as int) as r", "cast(1 + p_partkey % 3 as int) as k", "p_partkey % 5 as kind", "concat('s', p_partkey % 12) as a", "concat('s', p_partkey * 5 % 12) as b")
+    rect = F.array("c", F.col("r") - 1, F.col("c") + 2 * F.col("k"), F.col("r") + F.col("k"))
+    json = (
+        F.when(F.col("kind") < 2, F.to_json(F.struct(F.lit("paint").alias("op"), F.col("b").alias("set"), rect.alias("rect"))))
+        .when(F.col("kind") == 2, F.to_json(F.struct(F.lit("paint").alias("op"), F.col("b").alias("set"), F.array("c", "r", "k").alias("circle"))))
+        .when(F.col("kind") == 3, F.to_json(F.struct(F.lit("replace").alias("op"), F.col("a").alias("from"), F.col("b").alias("to"), rect.alias("rect"))))
+        .when(F.col("n") % 200 == 4, F.to_json(F.struct(F.lit("replace").alias("op"), F.col("a").alias("from"), F.col("b").alias("to"), F.lit(True).alias("all"))))
+    )
+    ops = p.select(F.col("n").alias("ordinal"), json.alias("json")).filter("json is not null")
+    sets = v("hexes").select("cat").union(p.selectExpr("n % 12")).distinct().selectExpr("concat('s', cat) as name", "cast(cat as bigint) as value", "cast(cat as int) as cat")
+    return hexops.apply_ops(v("hexes").selectExpr("id", "col", "row", "cat as value"), ops, sets, 10, 1).select("id", "value")

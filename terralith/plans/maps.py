@@ -93,15 +93,19 @@ def same_links(v):
     return e.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct().agg(F.count("*").alias("links"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {EDGES}, l(id, comp) USING KEY (id) AS (SELECT id, id FROM hexes UNION SELECT * FROM (SELECT e.dst, min(l.comp) AS c FROM l JOIN e ON e.src = l.id AND e.cat = e.n_cat JOIN recurring.l k ON k.id = e.dst AND l.comp < k.comp GROUP BY e.dst))
+    SELECT comp, count(*) AS size FROM l GROUP BY comp""")
 def hex_components(v):
-    """Components of equal category and their sizes; compared with a union-find loop in the tests."""
+    """Components of equal category and their sizes."""
     return graph.hex_components(v("hexes").select("id", "col", "row", "cat"), "cat").groupBy("comp").agg(F.count("*").alias("size"))
 
 
-@query()
+@query("""WITH RECURSIVE c AS (SELECT id, col AS x, row AS y FROM hexes WHERE NOT EXISTS (SELECT 1 FROM areas WHERE col BETWEEN min_x AND max_x AND row BETWEEN min_y AND max_y)),
+    e AS (SELECT a.id AS src, b.id AS dst FROM c a, (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) AS s(dx, dy) JOIN c b ON b.x = a.x + dx AND b.y = a.y + dy),
+    l(id, comp) USING KEY (id) AS (SELECT id, id FROM c UNION SELECT * FROM (SELECT e.dst, min(l.comp) AS m FROM l JOIN e ON e.src = l.id JOIN recurring.l k ON k.id = e.dst AND l.comp < k.comp GROUP BY e.dst))
+    SELECT comp, count(*) AS size, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y, bool_or(x < 2 OR y < 2 OR x >= 48 OR y >= (SELECT max(row) - 1 FROM hexes)) AS edge FROM l JOIN c ON c.id = l.id GROUP BY comp""")
 def tile_holes(v):
-    """Holes of every cell that no area covers, on a map as high as the table; compared with a union-find loop in the tests."""
+    """Holes of every cell that no area covers, on a map as high as the table."""
     h = v("hexes")
     cells = spatial.uncovered(h.selectExpr("id", "col as x", "row as y"), v("areas"))
     return graph.holes(cells.select("id", "x", "y"), 50, (h.agg(F.max("row")).first()[0] or 0) + 1)

@@ -50,6 +50,11 @@ def distance_transform(v):
     return raster.distance_transform(v("raster").selectExpr("x", "y", "cast(v % 7 = 0 as int) as v"), 3).filter("d is not null").select("x", "y", F.round("d", 6).alias("d"))
 
 
+@query("""SELECT a.x, a.y, round(min(greatest(abs(a.x - b.x), abs(a.y - b.y)) + (sqrt(2e0) - 1) * least(abs(a.x - b.x), abs(a.y - b.y))), 6) AS d FROM raster a, (SELECT x, y FROM raster WHERE v % 997 = 0) b GROUP BY a.x, a.y""")
+def distance_field(v):
+    """Distances to the nearest of a few pixels, however far."""
+    return raster.distance_field(v("raster").selectExpr("x", "y", "cast(v % 997 = 0 as int) as v")).select("x", "y", F.round("d", 6).alias("d"))
+
 
 _FALL = "CASE WHEN sqrt((x - 22) * (x - 22) + (y - 17) * (y - 17)) < 9 THEN 0.5e0 + 0.5e0 * cos(sqrt((x - 22) * (x - 22) + (y - 17) * (y - 17)) / 9 * pi()) ELSE 0 END"
 

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from terralith.operators import graph, heights, mesh, ranks, repair, rivers, scatter, validator
+from terralith.operators import graph, heights, hexops, mesh, ranks, repair, rivers, scatter, validator
 from terralith.plans import lands
 
 RINGS = [(0, 1), (1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0)], [(0, 1), (1, 1), (1, 0), (0, -1), (-1, 0), (-1, 1)]
@@ -281,3 +281,148 @@ def test_flood_and_circles(spark):
         graph.flood(hexes, 4, 4, "cat", limit=0)
     one = graph.circles(spark.createDataFrame([(1, 15, 15), (2, 4, 0)], "id bigint, col bigint, row bigint"), 2)
     assert one.filter("id = 1").count() == one.filter("id = 2").count() == 19
+
+
+class Interpreter:
+    """Hex operations one after the other."""
+
+    def __init__(self, cats, sets):
+        self.map, self.sets, self.cat = dict(cats), {n: v for n, v, _ in sets}, {v: c for _, v, c in sets}
+
+    def ring(self, s):
+        return [n for n in ((s[0] + dc, s[1] + dr) for dc, dr in RINGS[s[0] % 2]) if n in self.map]
+
+    def area(self, o):
+        cube = lambda c, r: (c, r - (c - c % 2) // 2)
+        away = lambda a, b: max(abs(a[0] - b[0]), abs(a[1] - b[1]), abs(a[0] - b[0] + a[1] - b[1]))
+        if "hexes" in o:
+            return [tuple(h) for h in o["hexes"]]
+        if "circle" in o:
+            c, r, k = o["circle"]
+            return [s for s in self.map if away(cube(*s), cube(c, r)) <= k]
+        if "rect" in o:
+            c0, r0, c1, r1 = o["rect"]
+            return [s for s in self.map if min(c0, c1) <= s[0] <= max(c0, c1) and min(r0, r1) <= s[1] <= max(r0, r1)]
+        if "polygon" in o:
+            pts = [(c, r + c % 2 * 0.5) for c, r in o["polygon"]]
+            inside = []
+            for s in self.map:
+                x, y, odd = s[0], s[1] + s[0] % 2 * 0.5, False
+                for (ax, ay), (bx, by) in zip(pts, pts[-1:] + pts[:-1], strict=True):
+                    if (ay > y) != (by > y) and x < (bx - ax) * (y - ay) / (by - ay) + ax:
+                        odd = not odd
+                inside += [s] if odd else []
+            return inside
+        path, points = [], o["points"]
+        for k, p in enumerate(points):
+            if not k:
+                path.append(tuple(p))
+                continue
+            (aq, az), (bq, bz) = cube(*points[k - 1]), cube(*p)
+            n = away((aq, az), (bq, bz))
+            for i in range(1, n + 1):
+                t = i / n
+                q, y, z = aq + (bq - aq) * t + 1e-6, (-aq - az) + ((-bq - bz) - (-aq - az)) * t + 2e-6, az + (bz - az) * t - 3e-6
+                rq, ry, rz = round(q), round(y), round(z)
+                dq, dy, dz = abs(rq - q), abs(ry - y), abs(rz - z)
+                if dq > dy and dq > dz:
+                    rq = -ry - rz
+                elif dy <= dz:
+                    rz = -rq - ry
+                path.append((rq, rz + (rq - rq % 2) // 2))
+        width = o.get("width", 1) - 1
+        return [s for s in self.map if any(away(cube(*s), cube(*p)) <= max(width, 0) for p in path)]
+
+    def apply(self, o):
+        name = o["op"]
+        if name in ("paint", "line"):
+            for s in self.area(o):
+                if s in self.map:
+                    self.map[s] = self.sets[o["set"]]
+        elif name == "replace":
+            for s in self.map if o.get("all") else self.area(o):
+                if self.map.get(s) == self.sets[o["from"]]:
+                    self.map[s] = self.sets[o["to"]]
+        elif name == "fill":
+            todo, seen = [tuple(o["at"])], set()
+            while todo:
+                s = todo.pop()
+                if s not in seen and self.map[s] == self.map[tuple(o["at"])]:
+                    seen.add(s)
+                    todo += self.ring(s)
+            for s in seen:
+                self.map[s] = self.sets[o["set"]]
+        else:
+            todo = {s for s in self.area(o) if s in self.map}
+            back = self.sets[o["to"]] if "to" in o else 100
+            while todo:
+                new = {}
+                for s in todo:
+                    known = [self.map[n] for n in self.ring(s) if n not in todo]
+                    land = [k for k in known if self.cat.get(k) == 10]
+                    if known:
+                        new[s] = min(land, key=lambda k: (-land.count(k), k)) if land else 101 if all(self.cat.get(k) == 1 for k in known) else back
+                if not new:
+                    new = dict.fromkeys(todo, back)
+                self.map.update(new)
+                todo -= set(new)
+
+
+def test_hex_operations_are_the_serial_ones(spark):
+    import json
+
+    rng = random.Random(12)
+    sets = [("land", 100, 10), ("wood", 103, 10), ("sea", 101, 1), ("river", 5, 5), ("road", 9, 9)]
+    names = [n for n, _, _ in sets]
+    cats = {(c, r): rng.choice([100, 100, 101, 101, 103, 5]) for c in range(24) for r in range(20)}
+    spot = lambda: [rng.randrange(-1, 25), rng.randrange(-1, 21)]
+    inner = lambda: [rng.randrange(24), rng.randrange(20)]
+
+    def an_area():
+        return rng.choice([lambda: {"hexes": [spot() for _ in range(rng.randint(0, 4))]}, lambda: {"circle": [*spot(), rng.randint(0, 4)]}, lambda: {"rect": [*spot(), *spot()]}, lambda: {"polygon": [spot() for _ in range(rng.randint(2, 6))]}])()
+
+    ops = []
+    for k in range(240):
+        name = rng.choice(["paint"] * 3 + ["line"] * 2 + ["replace"] * 3) if k % 40 else ["fill", "erase"][k // 40 % 2]
+        o = {"op": name}
+        if name in ("paint", "erase"):
+            o |= an_area()
+        if name in ("paint", "line", "fill"):
+            o["set"] = rng.choice(names)
+        if name == "line":
+            o |= {"points": [inner() for _ in range(rng.randint(2, 4))], "width": rng.choice([1, 1, 2])}
+        if name == "fill":
+            o["at"] = inner()
+        if name == "replace":
+            o |= {"from": rng.choice(names), "to": rng.choice(names)} | ({"all": True} if rng.random() < 0.2 else an_area())
+        ops.append((k * 3, o))
+    want = Interpreter(cats, sets)
+    for _, o in ops:
+        want.apply(o)
+    hexes = spark.createDataFrame([(c + 24 * r, c, r, k) for (c, r), k in cats.items()], "id bigint, col bigint, row bigint, value int")
+    rows = [(k, json.dumps(o)) for k, o in ops]
+    rng.shuffle(rows)
+    table = spark.createDataFrame(rows, "ordinal bigint, json string")
+    named = spark.createDataFrame(sets, "name string, value bigint, cat int")
+    got = {(r.col, r.row): r.value for r in hexops.apply_ops(hexes, table, named, 100, 101).collect()}
+    assert got == want.map and got != cats
+    whole = spark.createDataFrame([(1, '{"op": "erase", "rect": [0, 0, 30, 30]}')], "ordinal bigint, json string")
+    assert {r.value for r in hexops.apply_ops(hexes, whole, named, 100, 101).collect()} == {100}
+    for wrong in ('{"op": "paint", "set": "land"}', '{"op": "dig"}', "no json", '{"op": "fill", "set": "none", "at": [1, 1]}', '{"op": "line", "set": "land", "points": [[1, 1]]}'):
+        with pytest.raises(ValueError, match="operation 4 can't be applied"):
+            hexops.apply_ops(hexes, spark.createDataFrame([(4, wrong)], "ordinal bigint, json string"), named, 100, 101)
+    with pytest.raises(ValueError, match="outside the map"):
+        hexops.apply_ops(hexes, spark.createDataFrame([(4, '{"op": "fill", "set": "land", "at": [99, 1]}')], "ordinal bigint, json string"), named, 100, 101)
+
+
+def test_distance_field(spark, monkeypatch):
+    from terralith.operators import raster
+
+    monkeypatch.setattr(raster, "BLOCK", 8)
+    rng = random.Random(5)
+    spots = {(rng.randrange(12), rng.randrange(40)) for _ in range(3)}
+    table = spark.createDataFrame([(x, y, int((x, y) in spots)) for x in range(50) for y in range(40)], "x int, y int, v int")
+    got = {(r.x, r.y): r.d for r in raster.distance_field(table, reach=2).collect()}
+    want = lambda x, y: min(max(abs(x - a), abs(y - b)) + (2**0.5 - 1) * min(abs(x - a), abs(y - b)) for a, b in spots)
+    assert len(got) == 2000 and all(abs(d - want(x, y)) < 1e-9 for (x, y), d in got.items())
+    assert {r.d for r in raster.distance_field(table.filter("v = 0")).collect()} == {None}
