@@ -296,6 +296,23 @@ def _count(of: np.ndarray, h: np.ndarray, left: np.ndarray, right: np.ndarray, n
     return out
 
 
+def _joined(label: np.ndarray, i: np.ndarray, j: np.ndarray, text: list[str]) -> np.ndarray:
+    """label joined by the links (i, j) of small sets that hold on bytes; only those that join two components are looked at."""
+    root = label.tolist()
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for k in range(0, len(i), 100_000):
+        for x, y in zip(i[k : k + 100_000].tolist(), j[k : k + 100_000].tolist(), strict=True):
+            a, b = find(x), find(y)
+            if a != b and linked(text[x], text[y]):
+                root[max(a, b)] = min(a, b)
+    return np.array([find(x) for x in range(len(root))], dtype=np.int64)
+
+
 def _blocks(sketch, key: int):
     """Links between two blocks of one shingle's classes; rows arrive sorted by (token, lo, hi)."""
 
@@ -326,8 +343,9 @@ def _blocks(sketch, key: int):
         both = _count(of, h, left, right, len(rows))
         ok &= DEN * both >= NUM * (size[left][:, None] + size[right][None, :] - both)
         i, j = np.nonzero(ok)
-        sure = np.array([size[left[x]] > FEW or linked(text[left[x]], text[right[y]]) for x, y in zip(i.tolist(), j.tolist(), strict=True)], dtype=bool)
-        i, j = left[i[sure]], right[j[sure]]
+        i, j = left[i], right[j]
+        few = size[i] <= FEW
+        (i, small_i), (j, small_j) = ((x[~few], x[few]) for x in (i, j))
         label = np.arange(len(rows))
         while True:  # a forest of the links: each class to the least of its component here
             least = np.minimum(label[i], label[j])
@@ -338,6 +356,8 @@ def _blocks(sketch, key: int):
             if (new == label).all():
                 break
             label = new
+        if len(small_i):
+            label = _joined(label, small_i, small_j, text)
         moved = np.flatnonzero(label != np.arange(len(rows)))
         return [cls[k] for k in moved], [cls[k] for k in label[moved]]
 
